@@ -14,28 +14,53 @@ class Split:
     """``light`` holds whole cameras of bounded size, ``heavy`` all others, if any."""
 
     light: DataFrame
+    light_pairs: int
     heavy: DataFrame | None = None
     heavy_cameras: DataFrame | None = None
     heavy_pairs: int = 0
 
 
-def split_by_camera_size(pairs: DataFrame, pairs_per_task: int) -> Split:
+def count_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs per camera: reads one column and combines before its shuffle."""
+    return pairs.groupBy("camera_uid").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def split_by_camera_size(
+    pairs: DataFrame, pairs_per_task: int, camera_sizes: DataFrame | None = None
+) -> Split:
     """Split pairs by whether their camera has more than ``pairs_per_task`` of them.
 
-    Counting reads one column and combines before its shuffle. A heavy camera takes up
-    more than ``pairs_per_task`` rows, hence there are fewer than
-    rows / ``pairs_per_task`` of them, which bounds what is broadcast here.
+    ``camera_sizes`` (``camera_uid, pairs``) saves the counting where sizes, or upper
+    bounds of them, are cheaper to come by.
+
+    There are fewer than rows / ``pairs_per_task`` heavy cameras. Their list is written,
+    so that both halves see the same one and the optimizer knows its size: it is
+    broadcast if small enough, and joined by key if not.
     """
-    counts = pairs.groupBy("camera_uid").agg(F.count(F.lit(1)).alias("_pairs"))
-    crowded = counts.where(F.col("_pairs") > pairs_per_task)
-    heavy_pairs = crowded.agg(F.sum("_pairs")).first()[0]
-    if heavy_pairs is None:
-        return Split(pairs)
-    cameras = stored(crowded.select("camera_uid"), "heavy-cameras")
-    listed = F.broadcast(cameras)
+    sizes = count_pairs(pairs) if camera_sizes is None else camera_sizes
+    is_heavy = F.col("pairs") > pairs_per_task
+    totals = sizes.agg(
+        F.coalesce(F.sum("pairs"), F.lit(0)).alias("all"),
+        F.coalesce(F.sum(F.when(is_heavy, F.col("pairs"))), F.lit(0)).alias("heavy"),
+    ).first()
+    if not totals["heavy"]:
+        return Split(pairs, totals["all"])
+    cameras = stored(sizes.where(is_heavy).select("camera_uid"), "heavy-cameras")
     return Split(
-        light=pairs.join(listed, "camera_uid", "left_anti"),
-        heavy=pairs.join(listed, "camera_uid", "left_semi"),
+        light=pairs.join(cameras, "camera_uid", "left_anti"),
+        light_pairs=totals["all"] - totals["heavy"],
+        heavy=pairs.join(cameras, "camera_uid", "left_semi"),
         heavy_cameras=cameras,
-        heavy_pairs=heavy_pairs,
+        heavy_pairs=totals["heavy"],
     )
+
+
+def partitions_for(
+    df: DataFrame, pairs: int, pairs_per_task: int, most: int = 20_000
+) -> int | None:
+    """Shuffle partitions that keep tasks near ``pairs_per_task``; None where the
+    session's own number is enough (adaptive execution may then still merge small ones).
+    Beyond ``most`` tasks grow instead, and spill."""
+    wanted = min(-(-pairs // max(pairs_per_task, 1)), most)
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return wanted if wanted > own else None

@@ -16,6 +16,7 @@ from ..schemas import (
     mask_schema,
     tiles_schema,
 )
+from ..sources.workspace import stored
 from .utility import rank_split
 
 
@@ -40,11 +41,14 @@ def rank_trajectory(
     *,
     precision: str = "double",
     pairs_per_task: int = PAIRS_PER_TASK,
+    camera_sizes: DataFrame | None = None,
+    gathered: bool = False,
 ) -> DataFrame:
     """Rank the tiles of every camera's mask, all cameras in one job.
 
     The mask is the large table: one row per camera and tile. Tiles and cameras are
-    looked up by key, so the work grows with the mask.
+    looked up by key, so the work grows with the mask. ``camera_sizes`` and ``gathered``
+    are as in ``rank_utilities`` and ``rank_light``.
     """
     checked_levels(num_levels)
     checked_precision(precision)
@@ -54,17 +58,18 @@ def rank_trajectory(
     def prepare(part: DataFrame, heavy_cameras: DataFrame | None) -> DataFrame:
         if heavy_cameras is None:
             return pair_by_mask(part, tiles, cameras, precision)
-        # No more rows than heavy cameras, which the split bounds; a join by shuffle
-        # would send each heavy camera to one task.
-        few = F.broadcast(cameras.join(F.broadcast(heavy_cameras), "camera_uid", "left_semi"))
+        # Few rows: written, so that the optimizer sees that. A join by shuffle would
+        # send each heavy camera to one task, unless split again as skewed.
+        few = stored(cameras.join(heavy_cameras, "camera_uid", "left_semi"), "heavy-centers")
         return pair_by_mask(part, tiles, few, precision)
 
     return rank_split(
-        split_by_camera_size(conform(mask, mask_schema()), pairs_per_task),
+        split_by_camera_size(conform(mask, mask_schema()), pairs_per_task, camera_sizes),
         prepare,
         num_levels,
         precision,
         pairs_per_task,
+        gathered,
     )
 
 

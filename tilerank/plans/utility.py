@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..constants import DEFAULT_LEVELS, PAIRS_PER_TASK
 from ..functions import distance_factor, flat_index, nonnegative, visibility_factor
-from ..operators.heavy import Split, split_by_camera_size
+from ..operators.heavy import Split, partitions_for, split_by_camera_size
 from ..operators.levels import expand_levels
 from ..operators.ranking import rank_across_tasks, rank_within_task
 from ..schemas import checked_levels, checked_precision
@@ -60,17 +59,27 @@ def _ranking_columns(ranking: DataFrame) -> DataFrame:
     )
 
 
-def rank_light(pairs: DataFrame, num_levels: int, precision: str = "double") -> DataFrame:
+def rank_light(
+    pairs: DataFrame,
+    num_levels: int,
+    precision: str = "double",
+    partitions: int | None = None,
+    gathered: bool = False,
+) -> DataFrame:
     """Rank cameras that fit into a task.
 
     Pairs are brought together by camera before they are repeated per level, so the
-    shuffle carries one row per pair and the window needs no other.
+    shuffle carries one row per pair and the window needs no other. ``gathered`` says
+    that a camera's pairs are together already, as in a table bucketed by camera.
     """
-    gathered = score_pairs(pairs, precision).drop("vis_factor", "dist_factor")
-    ranked = rank_within_task(
-        utilities(gathered.repartition("camera_uid"), num_levels, precision)
-    )
-    return _ranking_columns(ranked)
+    scored = score_pairs(pairs, precision).drop("vis_factor", "dist_factor")
+    if not gathered:
+        scored = (
+            scored.repartition(partitions, "camera_uid")
+            if partitions
+            else scored.repartition("camera_uid")
+        )
+    return _ranking_columns(rank_within_task(utilities(scored, num_levels, precision)))
 
 
 def rank_heavy(
@@ -91,20 +100,28 @@ def rank_split(
     num_levels: int,
     precision: str,
     pairs_per_task: int,
+    gathered: bool = False,
 ) -> DataFrame:
     """Rank both parts of a split. ``prepare`` completes pairs to the columns of a score;
     it is also told the heavy cameras when it is given their pairs."""
-    ranking = rank_light(prepare(split.light, None), num_levels, precision)
+
+    def partitions(pairs: int) -> int | None:
+        return partitions_for(split.light, pairs, pairs_per_task)
+
+    ranking = rank_light(
+        prepare(split.light, None),
+        num_levels,
+        precision,
+        partitions(split.light_pairs),
+        gathered,
+    )
     if split.heavy is None:
         return ranking
-    partitions = math.ceil(split.heavy_pairs / pairs_per_task)
-    session = split.heavy.sparkSession
-    default = int(session.conf.get("spark.sql.shuffle.partitions"))
     heavy = rank_heavy(
         prepare(split.heavy, split.heavy_cameras),
         num_levels,
         precision,
-        max(partitions, default),
+        partitions(split.heavy_pairs),
     )
     return ranking.unionByName(heavy)
 
@@ -115,6 +132,8 @@ def rank_utilities(
     *,
     precision: str = "double",
     pairs_per_task: int = PAIRS_PER_TASK,
+    camera_sizes: DataFrame | None = None,
+    gathered: bool = False,
 ) -> DataFrame:
     """Rank all (tile, level) of each camera by descending utility.
 
@@ -122,17 +141,19 @@ def rank_utilities(
     ``tile_idx``. A NULL ``visible`` counts as not visible, a negative distance is an
     error, a NaN distance ranks first and a NULL distance last.
 
-    One small job counts pairs per camera. If none is larger than ``pairs_per_task``,
-    nothing else runs before the result is asked for.
+    One small job counts pairs per camera (see ``split_by_camera_size`` for
+    ``camera_sizes``). If no camera has more than ``pairs_per_task``, nothing else runs
+    before the result is asked for.
     """
     checked_levels(num_levels)
     checked_precision(precision)
     return rank_split(
-        split_by_camera_size(pairs, pairs_per_task),
+        split_by_camera_size(pairs, pairs_per_task, camera_sizes),
         lambda part, _: part.withColumn(
             "distance", nonnegative(F.col("distance"), precision)
         ),
         num_levels,
         precision,
         pairs_per_task,
+        gathered,
     )

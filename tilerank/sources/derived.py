@@ -65,6 +65,13 @@ def lineitem_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(mask, mask_schema())
 
 
+def lineitem_camera_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most this many pairs per supplier: its line items, before repeats are merged."""
+    return _line_items(spark, sf_dir).groupBy("camera_uid").agg(
+        F.count(F.lit(1)).alias("pairs")
+    )
+
+
 def lineitem_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The (supplier, part) pairs alone."""
     return _line_items(spark, sf_dir).select("camera_uid", "tile_index").distinct()

@@ -1,0 +1,3 @@
+from .trajectory import rank_announced_cameras
+
+__all__ = ["rank_announced_cameras"]
