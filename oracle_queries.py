@@ -212,6 +212,7 @@ def build() -> dict[str, str]:
         "trajectory_ranking": full_ranking,
         "ranking_split_cameras": full_ranking,
         "ranking_large_camera": full_ranking,
+        "streamed_ranking": full_ranking,
         "ranking_pairs": _sql(
             _RANKING, "SELECT camera_uid, rank, tile_index, lod_level FROM ranking"
         ),

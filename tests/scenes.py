@@ -1,0 +1,82 @@
+"""Small tables for tests."""
+
+import numpy as np
+import pandas as pd
+
+PAIRS = "camera_uid bigint, tile_index bigint, visible boolean, distance double"
+
+
+def worked_pairs(spark):
+    """Three tiles; tiles 0 and 1 differ only in visibility."""
+    rows = [(7, 0, True, 1.0), (7, 1, False, 1.0), (7, 2, True, 4.0)]
+    return spark.createDataFrame(rows, PAIRS)
+
+
+WORKED_RANKING = [
+    (1, 0, 0, 99.900100),
+    (2, 2, 0, 24.993752),
+    (3, 0, 1, 9.990010),
+    (4, 2, 1, 2.499375),
+    (5, 0, 2, 0.999001),
+    (6, 1, 0, 0.999001),
+    (7, 2, 2, 0.249938),
+    (8, 1, 1, 0.099900),
+    (9, 1, 2, 0.009990),
+]
+
+
+def random_boxes(n, seed, lattice=False):
+    rng = np.random.default_rng(seed)
+    a = rng.normal(size=(n, 3))
+    b = rng.normal(size=(n, 3))
+    if lattice:
+        a, b = np.floor(a * 2) / 2, np.floor(b * 2) / 2
+    return np.minimum(a, b).astype("float32"), np.maximum(a, b).astype("float32")
+
+
+def _corner(values, row):
+    return {axis: float(values[row, k]) for k, axis in enumerate("xyz")}
+
+
+def tiles_frame(spark, low, high, precision="double"):
+    from tilerank.schemas import tiles_schema
+
+    rows = [(i, 1000 + 7 * i, _corner(low, i), _corner(high, i)) for i in range(len(low))]
+    return spark.createDataFrame(rows, tiles_schema(precision))
+
+
+def cameras_frame(spark, centers, precision="double"):
+    from tilerank.schemas import cameras_schema
+
+    # The trajectory runs against the order of the ids.
+    rows = [(50 + i, -i, _corner(centers, i)) for i in range(len(centers))]
+    return spark.createDataFrame(rows, cameras_schema(precision))
+
+
+def dense_mask(spark, visible):
+    cameras, tiles = visible.shape
+    frame = pd.DataFrame(
+        {
+            "camera_uid": np.repeat(np.arange(cameras) + 50, tiles),
+            "tile_index": np.tile(np.arange(tiles), cameras),
+            "visible": visible.ravel(),
+        }
+    )
+    return spark.createDataFrame(frame)
+
+
+def brute_force(visible, distance, levels, dtype="float64"):
+    """(tile, level) of one camera in ranked order, and their utilities."""
+    kind = np.dtype(dtype).type
+    factor = np.where(visible, kind(1.0), kind(0.01))
+    base = factor * (kind(1.0) / (distance.astype(dtype) + kind(0.001)))
+    weights = np.array([10.0 ** (levels - 1 - k) for k in range(levels)], dtype=dtype)
+    flat = (base[:, None] * weights[None, :]).astype(dtype).ravel()
+    order = np.argsort(-flat, kind="stable")
+    return [(int(i) // levels, int(i) % levels) for i in order], flat[order]
+
+
+def brute_distance(low, high, center, dtype="float64"):
+    middle = (low.astype(dtype) + high.astype(dtype)) / np.dtype(dtype).type(2)
+    d = middle - center.astype(dtype)
+    return np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]).astype(dtype)
