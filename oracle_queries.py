@@ -166,6 +166,10 @@ def build() -> dict[str, str]:
         "tile_distances": _sql(
             _SCENE, "SELECT camera_uid, tile_index, distance FROM measured"
         ),
+        "first_camera_distances": _sql(
+            ["embedded", "embedded_first"],
+            "SELECT camera_uid, tile_index, distance FROM measured",
+        ),
         "pair_visibility": _sql(
             ["mask"], "SELECT camera_uid, tile_index, visible FROM mask"
         ),
@@ -212,6 +216,7 @@ def build() -> dict[str, str]:
         "trajectory_ranking": full_ranking,
         "ranking_split_cameras": full_ranking,
         "ranking_large_camera": full_ranking,
+        "ranking_from_files": full_ranking,
         "streamed_ranking": full_ranking,
         "ranking_pairs": _sql(
             _RANKING, "SELECT camera_uid, rank, tile_index, lod_level FROM ranking"

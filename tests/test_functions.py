@@ -56,6 +56,12 @@ def test_row_numbers_cross_partitions(spark):
     assert len(found) == 5000
 
 
+def test_row_numbers_keep_null_groups(spark):
+    df = spark.createDataFrame([(None, 3), (None, 1), (5, 2)], "g bigint, v bigint")
+    got = number_rows(df, ["v"], "place", within=["g"])
+    assert {tuple(r) for r in got.collect()} == {(None, 1, 1), (None, 3, 2), (5, 2, 1)}
+
+
 def test_positions_have_no_gaps(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("label")).repartition(6)
     got = assign_positions(df, ["label"])

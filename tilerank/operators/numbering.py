@@ -61,8 +61,12 @@ def number_rows(
     )
     # Two file scans of known size: the optimizer broadcasts the shifts where they are
     # small enough and joins by key where they are not.
-    return placed.join(shifts, [*within, "_part"]).select(
-        *df.columns, (F.col("_slot") + F.col("_shift")).alias(name)
+    match = placed["_part"] == shifts["_part"]
+    for column in within:
+        match = match & placed[column].eqNullSafe(shifts[column])
+    return placed.join(shifts, match).select(
+        *[placed[column] for column in df.columns],
+        (F.col("_slot") + F.col("_shift")).alias(name),
     )
 
 

@@ -70,10 +70,13 @@ def _fits(found: T.DataType, wanted: T.DataType) -> bool:
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project ``df`` to ``schema``: named columns only, cast to the stated types."""
+    given = df.schema
+    if given.simpleString() == schema.simpleString():
+        return df
     for field in schema:
-        if field.name not in df.columns:
-            raise ValueError(f"column {field.name} is missing; found {df.columns}")
-        found = df.schema[field.name].dataType
+        if field.name not in given.names:
+            raise ValueError(f"column {field.name} is missing; found {given.names}")
+        found = given[field.name].dataType
         if not _fits(found, field.dataType):
             raise ValueError(
                 f"column {field.name} is {found.simpleString()}, "

@@ -15,8 +15,17 @@ from ..functions import box_center, point
 from ..schemas import cameras_schema, conform, mask_schema, tiles_schema
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# The columns used here, stated so that no job has to look them up.
+_COLUMNS = {
+    "part": "p_partkey bigint, p_name string, p_type string, p_size int, p_retailprice double",
+    "supplier": "s_suppkey bigint, s_nationkey int, s_acctbal double",
+    "lineitem": "l_partkey bigint, l_suppkey bigint, l_linestatus string",
+    "embeddings": "vec_id bigint, embedding array<float>",
+}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(_COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def part_tiles(spark: SparkSession, sf_dir: str, precision: str = "double") -> DataFrame:
@@ -24,7 +33,7 @@ def part_tiles(spark: SparkSession, sf_dir: str, precision: str = "double") -> D
     corner_y = F.floor("p_retailprice").cast("double") / 8
     corner_z = F.length("p_name") / 8
     depth = F.length("p_type") / 8
-    tiles = _table(spark, sf_dir, "part").select(
+    tiles = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("tile_index"),
         (F.col("p_partkey") + 1000).alias("tile_idx"),
         point(corner_x, corner_y, corner_z).alias("min_corner"),
@@ -35,7 +44,7 @@ def part_tiles(spark: SparkSession, sf_dir: str, precision: str = "double") -> D
 
 def supplier_cameras(spark: SparkSession, sf_dir: str, precision: str = "double") -> DataFrame:
     """The trajectory visits suppliers from the last key down to the first."""
-    cameras = _table(spark, sf_dir, "supplier").select(
+    cameras = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("camera_uid"),
         (-F.col("s_suppkey")).alias("camera_ord"),
         point(
@@ -48,7 +57,7 @@ def supplier_cameras(spark: SparkSession, sf_dir: str, precision: str = "double"
 
 
 def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("camera_uid"),
         F.col("l_partkey").alias("tile_index"),
         (F.col("l_linestatus") == "O").alias("open"),
@@ -90,7 +99,7 @@ def _component(position: int) -> Column:
 
 def embedding_tiles(spark: SparkSession, sf_dir: str, precision: str = "double") -> DataFrame:
     pairs = [(_component(k), _component(k + 3)) for k in range(3)]
-    tiles = _table(spark, sf_dir, "embeddings").select(
+    tiles = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("tile_index"),
         (F.col("vec_id") + 1000).alias("tile_idx"),
         point(*[F.least(a, b) for a, b in pairs]).alias("min_corner"),
@@ -100,7 +109,7 @@ def embedding_tiles(spark: SparkSession, sf_dir: str, precision: str = "double")
 
 
 def embedding_cameras(spark: SparkSession, sf_dir: str, precision: str = "double") -> DataFrame:
-    cameras = _table(spark, sf_dir, "embeddings").select(
+    cameras = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("camera_uid"),
         F.col("vec_id").alias("camera_ord"),
         point(*[_component(k) for k in range(6, 9)]).alias("camera_center"),
