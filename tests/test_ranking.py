@@ -208,6 +208,14 @@ def test_first_camera_ranks_every_tile(tables, scene):
     assert wide.exceptAll(got).count() == 0 and wide.count() == 450
 
 
+def test_sizes_may_leave_cameras_out(spark):
+    pairs = _hot_pairs(spark)
+    some = pairs.where("camera_uid = -1").groupBy("camera_uid").agg(F.count("*").alias("pairs"))
+    got = rank_utilities(pairs, LEVELS, pairs_per_task=200, camera_sizes=some)
+    assert got.exceptAll(rank_utilities(pairs, LEVELS)).count() == 0
+    assert got.count() == 3600 * LEVELS
+
+
 def _pair(spark, *rows_):
     return spark.createDataFrame(list(rows_), PAIRS)
 
@@ -217,6 +225,17 @@ def test_distance_zero(spark):
     assert rows(got, "rank", "lod_level", "utility") == [(1, 0, 1.0 / 0.001)]
 
 
+@pytest.mark.parametrize("pairs_per_task", [100, 1])
+def test_rows_without_a_camera_stay(spark, pairs_per_task):
+    pairs = _pair(
+        spark, (None, 0, True, 1.0), (None, 1, True, 2.0), (3, 0, True, 1.0), (3, 1, True, 2.0)
+    )
+    got = rank_utilities(pairs, 1, pairs_per_task=pairs_per_task)
+    assert rows(got, "camera_uid", "rank", "tile_index") == [
+        (None, 1, 0), (None, 2, 1), (3, 1, 0), (3, 2, 1)
+    ]
+
+
 def test_null_visibility_counts_as_hidden(spark):
     got = rank_utilities(_pair(spark, (1, 0, None, 1.0), (1, 1, False, 1.0)), 1)
     (a,), (b,) = rows(got, "utility")

@@ -11,7 +11,7 @@ DEFAULT_LEVELS = 3
 
 # Not part of the score. A camera with more pairs than this is ranked over many
 # tasks; any other camera is sorted by one task (pairs x levels rows, spillable).
-PAIRS_PER_TASK = 5_000_000
+PAIRS_PER_TASK = 2_000_000
 
 # Visible lists are kept in pages covering this many consecutive tile positions.
 PAGE_TILES = 4096

@@ -11,10 +11,11 @@ from ..sources.workspace import stored
 
 @dataclass(frozen=True)
 class Split:
-    """``light`` holds whole cameras of bounded size, ``heavy`` all others, if any."""
+    """``light`` holds whole cameras of bounded size, ``heavy`` all others. A part that
+    is known to be empty is None; they never both are."""
 
-    light: DataFrame
-    light_pairs: int
+    light: DataFrame | None
+    light_pairs: int = 0
     heavy: DataFrame | None = None
     heavy_cameras: DataFrame | None = None
     heavy_pairs: int = 0
@@ -31,14 +32,15 @@ def split_by_camera_size(
     """Split pairs by whether their camera has more than ``pairs_per_task`` of them.
 
     ``camera_sizes`` (``camera_uid, pairs``) saves the counting where sizes, or upper
-    bounds of them, are cheaper to come by.
+    bounds of them, are cheaper to come by. A camera missing there is taken to be light.
 
     There are fewer than rows / ``pairs_per_task`` heavy cameras. Their list is written,
     so that both halves see the same one and the optimizer knows its size: it is
     broadcast if small enough, and joined by key if not.
     """
     sizes = count_pairs(pairs) if camera_sizes is None else camera_sizes
-    is_heavy = F.col("pairs") > pairs_per_task
+    # No join would find a NULL again: such rows stay with the light ones.
+    is_heavy = (F.col("pairs") > pairs_per_task) & F.col("camera_uid").isNotNull()
     totals = sizes.agg(
         F.coalesce(F.sum("pairs"), F.lit(0)).alias("all"),
         F.coalesce(F.sum(F.when(is_heavy, F.col("pairs"))), F.lit(0)).alias("heavy"),
@@ -46,9 +48,11 @@ def split_by_camera_size(
     if not totals["heavy"]:
         return Split(pairs, totals["all"])
     cameras = stored(sizes.where(is_heavy).select("camera_uid"), "heavy-cameras")
+    light_pairs = totals["all"] - totals["heavy"]
+    all_heavy = camera_sizes is None and light_pairs == 0
     return Split(
-        light=pairs.join(cameras, "camera_uid", "left_anti"),
-        light_pairs=totals["all"] - totals["heavy"],
+        light=None if all_heavy else pairs.join(cameras, "camera_uid", "left_anti"),
+        light_pairs=light_pairs,
         heavy=pairs.join(cameras, "camera_uid", "left_semi"),
         heavy_cameras=cameras,
         heavy_pairs=totals["heavy"],

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -44,13 +45,30 @@ def flatten_utilities(
     )
 
 
-def _ranking_columns(ranking: DataFrame) -> DataFrame:
-    label = ["tile_idx"] if "tile_idx" in ranking.columns else []
-    return ranking.select(
+def _label(df: DataFrame) -> list[str]:
+    return ["tile_idx"] if "tile_idx" in df.columns else []
+
+
+def _to_sort(pairs: DataFrame, num_levels: int, precision: str) -> DataFrame:
+    """The rows to be ranked: the sort keys and what cannot be computed again later, so
+    that sorts and spills carry no more."""
+    return utilities(score_pairs(pairs, precision), num_levels, precision).select(
+        "camera_uid",
+        "utility",
+        "tile_index",
+        "lod_level",
+        *_label(pairs),
+        "visible",
+        "distance",
+    )
+
+
+def _ranking_columns(ranked: DataFrame, precision: str) -> DataFrame:
+    return score_pairs(ranked, precision).select(
         "camera_uid",
         "rank",
         "tile_index",
-        *label,
+        *_label(ranked),
         "lod_level",
         "visible",
         "distance",
@@ -72,14 +90,16 @@ def rank_light(
     shuffle carries one row per pair and the window needs no other. ``gathered`` says
     that a camera's pairs are together already, as in a table bucketed by camera.
     """
-    scored = score_pairs(pairs, precision).drop("vis_factor", "dist_factor")
+    needed = pairs.select("camera_uid", "tile_index", *_label(pairs), "visible", "distance")
     if not gathered:
-        scored = (
-            scored.repartition(partitions, "camera_uid")
+        needed = (
+            needed.repartition(partitions, "camera_uid")
             if partitions
-            else scored.repartition("camera_uid")
+            else needed.repartition("camera_uid")
         )
-    return _ranking_columns(rank_within_task(utilities(scored, num_levels, precision)))
+    return _ranking_columns(
+        rank_within_task(_to_sort(needed, num_levels, precision)), precision
+    )
 
 
 def rank_heavy(
@@ -89,9 +109,9 @@ def rank_heavy(
     partitions: int | None = None,
 ) -> DataFrame:
     """Rank cameras of any size. Sorts and writes once; see ``number_rows``."""
-    scored = score_pairs(pairs, precision).drop("vis_factor", "dist_factor")
-    ranked = rank_across_tasks(utilities(scored, num_levels, precision), partitions)
-    return _ranking_columns(ranked)
+    return _ranking_columns(
+        rank_across_tasks(_to_sort(pairs, num_levels, precision), partitions), precision
+    )
 
 
 def rank_split(
@@ -105,25 +125,27 @@ def rank_split(
     """Rank both parts of a split. ``prepare`` completes pairs to the columns of a score;
     it is also told the heavy cameras when it is given their pairs."""
 
-    def partitions(pairs: int) -> int | None:
-        return partitions_for(split.light, pairs, pairs_per_task)
-
-    ranking = rank_light(
-        prepare(split.light, None),
-        num_levels,
-        precision,
-        partitions(split.light_pairs),
-        gathered,
-    )
-    if split.heavy is None:
-        return ranking
-    heavy = rank_heavy(
-        prepare(split.heavy, split.heavy_cameras),
-        num_levels,
-        precision,
-        partitions(split.heavy_pairs),
-    )
-    return ranking.unionByName(heavy)
+    parts = []
+    if split.light is not None:
+        parts.append(
+            rank_light(
+                prepare(split.light, None),
+                num_levels,
+                precision,
+                partitions_for(split.light, split.light_pairs, pairs_per_task),
+                gathered,
+            )
+        )
+    if split.heavy is not None:
+        parts.append(
+            rank_heavy(
+                prepare(split.heavy, split.heavy_cameras),
+                num_levels,
+                precision,
+                partitions_for(split.heavy, split.heavy_pairs, pairs_per_task),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 def rank_utilities(
