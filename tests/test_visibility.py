@@ -19,6 +19,13 @@ def test_join_form_equals_column_form(spark):
     assert mark_visible(pairs, mask).count() == 240
 
 
+def test_repeated_sightings_make_one_row(spark):
+    _, mask = _mask(spark)
+    often = mask.union(mask).union(mask.withColumn("visible", F.lit(False)))
+    got = mark_visible(mask.select("camera_uid", "tile_index"), often)
+    assert got.count() == 240 and got.exceptAll(mask).count() == 0
+
+
 def test_null_in_sightings_is_not_visible(spark):
     pairs = spark.createDataFrame([(1, 0), (1, 1)], "camera_uid bigint, tile_index bigint")
     seen = spark.createDataFrame(

@@ -25,6 +25,7 @@ def pair_by_mask(
     mask: DataFrame, tiles: DataFrame, cameras: DataFrame, precision: str = "double"
 ) -> DataFrame:
     """Mask rows with ``tile_idx`` and the camera's ``distance`` to the tile's centre.
+    Rows that name no known tile or camera have no distance and drop out.
 
     The camera is looked up last: if that lookup shuffles, the ranking that follows
     finds its rows already together by camera.

@@ -9,11 +9,15 @@ from ..constants import PAGE_TILES
 
 def mark_visible(pairs: DataFrame, sightings: DataFrame) -> DataFrame:
     """Add ``visible`` to pairs from a table that lists the visible pairs (its own
-    ``visible`` column, if it has one, is respected). A pair not listed is not visible.
+    ``visible`` column, if it has one, is respected). A pair not listed is not visible;
+    one listed repeatedly is visible if any of its rows says so.
     """
     if "visible" not in sightings.columns:
         sightings = sightings.withColumn("visible", F.lit(True))
-    seen = sightings.select("camera_uid", "tile_index", F.col("visible").alias("_seen"))
+    # Repeats are merged before the shuffle that the join needs anyway.
+    seen = sightings.groupBy("camera_uid", "tile_index").agg(
+        F.bool_or("visible").alias("_seen")
+    )
     return (
         pairs.join(seen, ["camera_uid", "tile_index"], "left")
         .withColumn("visible", F.coalesce("_seen", F.lit(False)))

@@ -87,10 +87,8 @@ def lineitem_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineitem_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only the pairs that are visible."""
-    return (
-        _line_items(spark, sf_dir).where("open").select("camera_uid", "tile_index").distinct()
-    )
+    """Only the pairs that are visible, as often as they were seen."""
+    return _line_items(spark, sf_dir).where("open").select("camera_uid", "tile_index")
 
 
 def _component(position: int) -> Column:
