@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -275,3 +276,37 @@ def test_nothing_to_rank(tables):
     assert rank_first_camera(tiles, cameras.where("false"), mask, LEVELS).count() == 0
     assert rank_first_camera(tiles.where("false"), cameras, mask, LEVELS).count() == 0
     assert rank_heavy(_hot_pairs(tiles.sparkSession).where("false"), LEVELS).count() == 0
+
+
+pair_lists = st.lists(
+    st.tuples(
+        st.integers(0, 3),
+        st.integers(0, 30),
+        st.booleans(),
+        st.sampled_from([0.0, 0.5, 1.0, 1.0, 3.25, 1e6]) | st.floats(0, 1e3),
+    ),
+    max_size=40,
+    unique_by=lambda row: row[:2],
+)
+
+
+@settings(
+    max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+@given(pair_lists, st.integers(1, 5), st.sampled_from([1, 10, 1000]))
+def test_any_pairs_equal_brute_force(spark, pairs, levels, pairs_per_task):
+    got = rank_utilities(
+        spark.createDataFrame(pairs, PAIRS), levels, pairs_per_task=pairs_per_task
+    )
+    found = rows(got, "camera_uid", "rank", "tile_index", "lod_level")
+    expected = []
+    for camera in sorted({row[0] for row in pairs}):
+        mine = sorted(row for row in pairs if row[0] == camera)
+        order, _ = brute_force(
+            np.array([row[2] for row in mine]), np.array([row[3] for row in mine]), levels
+        )
+        expected += [
+            (camera, rank, mine[place][1], level)
+            for rank, (place, level) in enumerate(order, 1)
+        ]
+    assert found == expected

@@ -13,5 +13,9 @@ DEFAULT_LEVELS = 3
 # tasks; any other camera is sorted by one task (pairs x levels rows, spillable).
 PAIRS_PER_TASK = 2_000_000
 
+# Shuffle partitions are meant to hold this many pairs: measured, sorting runs faster
+# in small ones, while the memory of many tasks is spared as well.
+PAIRS_PER_PARTITION = 250_000
+
 # Visible lists are kept in pages covering this many consecutive tile positions.
 PAGE_TILES = 4096

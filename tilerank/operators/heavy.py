@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..constants import PAIRS_PER_PARTITION
 from ..sources.workspace import stored
 
 
@@ -62,9 +63,10 @@ def split_by_camera_size(
 def partitions_for(
     df: DataFrame, pairs: int, pairs_per_task: int, most: int = 20_000
 ) -> int | None:
-    """Shuffle partitions that keep tasks near ``pairs_per_task``; None where the
-    session's own number is enough (adaptive execution may then still merge small ones).
-    Beyond ``most`` tasks grow instead, and spill."""
-    wanted = min(-(-pairs // max(pairs_per_task, 1)), most)
+    """Shuffle partitions for so many pairs; None where the session's own number is
+    enough (adaptive execution may then still merge small ones). Beyond ``most``,
+    partitions grow instead, and spill."""
+    target = max(min(pairs_per_task, PAIRS_PER_PARTITION), 1)
+    wanted = min(-(-pairs // target), most)
     own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return wanted if wanted > own else None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..constants import DEFAULT_LEVELS
@@ -19,6 +19,8 @@ def rank_announced_cameras(
     output: str,
     checkpoint: str,
     num_levels: int = DEFAULT_LEVELS,
+    *,
+    camera_sizes: DataFrame | None = None,
     **options,
 ) -> StreamingQuery:
     """Start ranking the cameras named by the stream ``announcements`` (``camera_uid``).
@@ -28,6 +30,8 @@ def rank_announced_cameras(
     ranked whole. Each micro-batch replaces the folder ``batch_id=<n>`` below
     ``output``, so one that is run again after a failure leaves no repeats.
 
+    ``camera_sizes`` and the other options are those of ``rank_trajectory``.
+
     The query takes what is there and stops; start it again with the same
     ``checkpoint`` for what has come since.
     """
@@ -35,11 +39,20 @@ def rank_announced_cameras(
     def rank_batch(batch: DataFrame, batch_id: int) -> None:
         # Written, as the optimizer does not know the size of a micro-batch.
         wanted = stored(batch.select("camera_uid").distinct(), "announced")
+        # The range reaches the scan: files and row groups of other cameras are skipped.
+        lowest = wanted.agg(F.min("camera_uid")).scalar()
+        highest = wanted.agg(F.max("camera_uid")).scalar()
+
+        def announced(table: DataFrame) -> DataFrame:
+            in_range = F.col("camera_uid").between(lowest, highest)
+            return table.where(in_range).join(wanted, "camera_uid", "left_semi")
+
         ranking = rank_trajectory(
             tiles,
             cameras,
-            conform(mask, mask_schema()).join(wanted, "camera_uid", "left_semi"),
+            announced(conform(mask, mask_schema())),
             num_levels,
+            camera_sizes=None if camera_sizes is None else announced(camera_sizes),
             **options,
         )
         ranking.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
