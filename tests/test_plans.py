@@ -168,3 +168,10 @@ def test_task_numbers_follow_the_data(spark):
     assert "hashpartitioning(camera_uid" in plan(rank_utilities(pairs))
     text = plan(rank_utilities(pairs, pairs_per_task=100))
     assert re.search(r"hashpartitioning\(camera_uid#\d+L, 40\), REPARTITION_BY_NUM", text)
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.conf.set(initial, "64")
+    try:
+        text = plan(rank_utilities(pairs, pairs_per_task=100))
+        assert re.search(r"hashpartitioning\(camera_uid#\d+L, 64\), REPARTITION_BY_COL", text)
+    finally:
+        spark.conf.unset(initial)

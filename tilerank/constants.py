@@ -9,13 +9,13 @@ DISTANCE_OFFSET = 0.001
 LEVEL_BASE = 10.0
 DEFAULT_LEVELS = 3
 
-# Not part of the score. A camera with more pairs than this is ranked over many
-# tasks; any other camera is sorted by one task (pairs x levels rows, spillable).
-PAIRS_PER_TASK = 2_000_000
+# Not part of the score. A camera with more rows (pairs x levels) than this is ranked
+# over many tasks; any other camera is sorted by one task, which can spill.
+ROWS_PER_TASK = 6_000_000
 
-# Shuffle partitions are meant to hold this many pairs: measured, sorting runs faster
-# in small ones, while the memory of many tasks is spared as well.
-PAIRS_PER_PARTITION = 250_000
+# Shuffle partitions are meant to hold this many rows: measured, sorting runs faster in
+# small ones, and it spares memory.
+ROWS_PER_PARTITION = 750_000
 
 # Visible lists are kept in pages covering this many consecutive tile positions.
 PAGE_TILES = 4096

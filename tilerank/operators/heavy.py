@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..constants import PAIRS_PER_PARTITION
+from ..constants import ROWS_PER_PARTITION, ROWS_PER_TASK
 from ..sources.workspace import stored
 
 
@@ -60,13 +60,24 @@ def split_by_camera_size(
     )
 
 
+def pairs_for_a_task(num_levels: int, pairs_per_task: int | None = None) -> int:
+    """The given limit, or else as many pairs as make ``ROWS_PER_TASK`` rows."""
+    if pairs_per_task is None:
+        return max(ROWS_PER_TASK // num_levels, 1)
+    return pairs_per_task
+
+
 def partitions_for(
-    df: DataFrame, pairs: int, pairs_per_task: int, most: int = 20_000
+    df: DataFrame, rows: int, rows_per_task: int, most: int = 20_000
 ) -> int | None:
-    """Shuffle partitions for so many pairs; None where the session's own number is
-    enough (adaptive execution may then still merge small ones). Beyond ``most``,
-    partitions grow instead, and spill."""
-    target = max(min(pairs_per_task, PAIRS_PER_PARTITION), 1)
-    wanted = min(-(-pairs // target), most)
-    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return wanted if wanted > own else None
+    """Shuffle partitions for so many rows; None where the session's own number is
+    enough (adaptive execution may then still merge small ones, and a join by the same
+    key before needs no further shuffle). Beyond ``most``, partitions grow instead, and
+    spill."""
+    target = max(min(rows_per_task, ROWS_PER_PARTITION), 1)
+    wanted = min(-(-rows // target), most)
+    conf = df.sparkSession.conf
+    own = conf.get(
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum", None
+    ) or conf.get("spark.sql.shuffle.partitions")
+    return wanted if wanted > int(own) else None

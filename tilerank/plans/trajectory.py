@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..constants import DEFAULT_LEVELS, PAIRS_PER_TASK
-from ..operators.heavy import split_by_camera_size
+from ..constants import DEFAULT_LEVELS
+from ..operators.heavy import pairs_for_a_task, split_by_camera_size
 from ..operators.pairing import first_camera, pair_by_mask, pair_with_camera
 from ..operators.visibility import mark_visible
 from ..schemas import (
@@ -40,7 +40,7 @@ def rank_trajectory(
     num_levels: int = DEFAULT_LEVELS,
     *,
     precision: str = "double",
-    pairs_per_task: int = PAIRS_PER_TASK,
+    pairs_per_task: int | None = None,
     camera_sizes: DataFrame | None = None,
     gathered: bool = False,
 ) -> DataFrame:
@@ -64,7 +64,11 @@ def rank_trajectory(
         return pair_by_mask(part, tiles, few, precision)
 
     return rank_split(
-        split_by_camera_size(conform(mask, mask_schema()), pairs_per_task, camera_sizes),
+        split_by_camera_size(
+            conform(mask, mask_schema()),
+            pairs_for_a_task(num_levels, pairs_per_task),
+            camera_sizes,
+        ),
         prepare,
         num_levels,
         precision,
@@ -80,7 +84,7 @@ def rank_first_camera(
     num_levels: int = DEFAULT_LEVELS,
     *,
     precision: str = "double",
-    pairs_per_task: int = PAIRS_PER_TASK,
+    pairs_per_task: int | None = None,
 ) -> DataFrame:
     """Rank every tile for the first camera of the trajectory.
 
@@ -93,7 +97,7 @@ def rank_first_camera(
     uid = camera.select("camera_uid").scalar()
     seen = conform(mask, mask_schema()).where(F.col("camera_uid") == uid)
     return rank_split(
-        split_by_camera_size(pairs, pairs_per_task),
+        split_by_camera_size(pairs, pairs_for_a_task(num_levels, pairs_per_task)),
         lambda part, _: mark_visible(part, seen),
         num_levels,
         precision,

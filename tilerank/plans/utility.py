@@ -7,9 +7,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..constants import DEFAULT_LEVELS, PAIRS_PER_TASK
+from ..constants import DEFAULT_LEVELS
 from ..functions import distance_factor, flat_index, nonnegative, visibility_factor
-from ..operators.heavy import Split, partitions_for, split_by_camera_size
+from ..operators.heavy import (
+    Split,
+    pairs_for_a_task,
+    partitions_for,
+    split_by_camera_size,
+)
 from ..operators.levels import expand_levels
 from ..operators.ranking import rank_across_tasks, rank_within_task
 from ..schemas import checked_levels, checked_precision
@@ -119,12 +124,17 @@ def rank_split(
     prepare: Callable[[DataFrame, DataFrame | None], DataFrame],
     num_levels: int,
     precision: str = "double",
-    pairs_per_task: int = PAIRS_PER_TASK,
+    pairs_per_task: int | None = None,
     gathered: bool = False,
 ) -> DataFrame:
     """Rank both parts of a split. ``prepare`` completes pairs to the columns of a score;
     it is also told the heavy cameras when it is given their pairs."""
 
+    rows_per_task = pairs_for_a_task(num_levels, pairs_per_task) * num_levels
+
+    def partitions(part: DataFrame, pairs: int) -> int | None:
+        return partitions_for(part, pairs * num_levels, rows_per_task)
+
     parts = []
     if split.light is not None:
         parts.append(
@@ -132,7 +142,7 @@ def rank_split(
                 prepare(split.light, None),
                 num_levels,
                 precision,
-                partitions_for(split.light, split.light_pairs, pairs_per_task),
+                partitions(split.light, split.light_pairs),
                 gathered,
             )
         )
@@ -142,7 +152,7 @@ def rank_split(
                 prepare(split.heavy, split.heavy_cameras),
                 num_levels,
                 precision,
-                partitions_for(split.heavy, split.heavy_pairs, pairs_per_task),
+                partitions(split.heavy, split.heavy_pairs),
             )
         )
     return reduce(DataFrame.unionByName, parts)
@@ -153,7 +163,7 @@ def rank_utilities(
     num_levels: int = DEFAULT_LEVELS,
     *,
     precision: str = "double",
-    pairs_per_task: int = PAIRS_PER_TASK,
+    pairs_per_task: int | None = None,
     camera_sizes: DataFrame | None = None,
     gathered: bool = False,
 ) -> DataFrame:
@@ -164,13 +174,16 @@ def rank_utilities(
     error, a NaN distance ranks first and a NULL distance last.
 
     One small job counts pairs per camera (see ``split_by_camera_size`` for
-    ``camera_sizes``). If no camera has more than ``pairs_per_task``, nothing else runs
-    before the result is asked for.
+    ``camera_sizes``, which help where pairs are costly to compute). If no camera has
+    more than ``pairs_per_task``, by default what makes ``ROWS_PER_TASK`` rows, nothing
+    else runs before the result is asked for.
     """
     checked_levels(num_levels)
     checked_precision(precision)
     return rank_split(
-        split_by_camera_size(pairs, pairs_per_task, camera_sizes),
+        split_by_camera_size(
+            pairs, pairs_for_a_task(num_levels, pairs_per_task), camera_sizes
+        ),
         lambda part, _: part.withColumn(
             "distance", nonnegative(F.col("distance"), precision)
         ),
