@@ -70,6 +70,20 @@ def test_large_lookups_shuffle_by_tile_then_by_camera(
     assert text.count("Exchange hashpartitioning") == 4
 
 
+def test_heavy_cameras_do_not_depend_on_broadcasts(
+    spark, sf_dir, stored_mask, no_broadcast
+):
+    tiles = derived.part_tiles(spark, sf_dir)
+    cameras = derived.supplier_cameras(spark, sf_dir)
+    whole = rank_trajectory(tiles, cameras, stored_mask)
+    sizes = stored_mask.groupBy("camera_uid").count()
+    middle = int(sizes.agg(F.median("count")).first()[0])
+    split = rank_trajectory(tiles, cameras, stored_mask, pairs_per_task=middle)
+    text = plan(split)
+    assert "Union" in text and "Broadcast" not in text
+    assert split.exceptAll(whole).count() == 0 and split.count() == whole.count()
+
+
 def test_bucketed_mask_is_not_shuffled(spark, sf_dir, stored_mask):
     save_mask_by_camera(stored_mask, "mask_by_camera", 4, mode="overwrite")
     mask = spark.table("mask_by_camera")

@@ -156,6 +156,28 @@ def test_many_tasks_give_the_same_ranks(tables, ranking, pairs_per_task):
     assert wide.count() == ranking.count()
 
 
+@pytest.mark.parametrize("pairs_per_task", [40, 10_000])
+def test_input_order_and_partitions_do_not_matter(tables, ranking, pairs_per_task):
+    tiles, cameras, mask = tables
+    mixed = rank_trajectory(
+        tiles.repartition(5),
+        cameras.orderBy(F.xxhash64("camera_uid")),
+        mask.repartition(13, F.xxhash64("tile_index", "camera_uid") % 5),
+        LEVELS,
+        pairs_per_task=pairs_per_task,
+    )
+    assert mixed.exceptAll(ranking).count() == 0 and mixed.count() == ranking.count()
+
+
+def test_cameras_sharing_a_place(tables):
+    tiles, cameras, mask = tables
+    tied = cameras.withColumn("camera_ord", F.lit(0).cast("bigint"))
+    got = rank_first_camera(tiles, tied, mask, LEVELS)
+    assert {r.camera_uid for r in got.select("camera_uid").distinct().collect()} == {50}
+    expected = rank_trajectory(tiles, tied, mask.where("camera_uid = 50"), LEVELS)
+    assert got.exceptAll(expected).count() == 0 and got.count() == 450
+
+
 def _hot_pairs(spark):
     """One camera with 1,200 of 3,600 pairs, at one distance and so all tied."""
     return spark.range(3600).select(

@@ -46,8 +46,9 @@ def pair_by_mask(
 
 
 def first_camera(cameras: DataFrame) -> DataFrame:
-    """The first camera of the trajectory; one row, or none."""
-    return cameras.orderBy("camera_ord").limit(1)
+    """The first camera of the trajectory; one row, or none. The same one each time it is
+    computed, also if two share a place."""
+    return cameras.orderBy("camera_ord", "camera_uid").limit(1)
 
 
 def pair_with_camera(
