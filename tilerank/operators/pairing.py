@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import box_center, point_distance
+from ..functions import box_center, point, point_distance
 
 
 def tile_centers(tiles: DataFrame, precision: str = "double") -> DataFrame:
@@ -28,19 +28,22 @@ def pair_by_mask(
     Rows that name no known tile or camera have no distance and drop out.
 
     The camera is looked up last: if that lookup shuffles, the ranking that follows
-    finds its rows already together by camera.
+    finds its rows already together by camera. Centres travel there as plain columns,
+    which take less room than a struct.
     """
+    centers = tile_centers(tiles, precision).select(
+        "tile_index", "tile_idx", *[F.col(f"center.{a}").alias(f"_{a}") for a in "xyz"]
+    )
+    center = point(F.col("_x"), F.col("_y"), F.col("_z"), precision)
     return (
-        mask.join(tile_centers(tiles, precision), "tile_index")
+        mask.join(centers, "tile_index")
         .join(cameras.select("camera_uid", "camera_center"), "camera_uid")
         .select(
             "camera_uid",
             "tile_index",
             "tile_idx",
             "visible",
-            point_distance(F.col("center"), F.col("camera_center"), precision).alias(
-                "distance"
-            ),
+            point_distance(center, F.col("camera_center"), precision).alias("distance"),
         )
     )
 
