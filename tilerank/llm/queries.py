@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import minhash, packing, quality, secrets, toxicity
+from . import bpe, embeddings, minhash, packing, quality, secrets, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,11 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_documents(read(spark, sf_dir, "documents"), ranks, with_ids=False)
+
+
 def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents"))
     all_spans = F.when(F.col("spans") == "", F.array().cast("array<string>")).otherwise(F.split("spans", ","))
@@ -65,13 +71,19 @@ def minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": best_fit_packing,
+        "op3_byte_bpe": byte_bpe,
         "op5_secret_scans": secret_scans,
         "op6_quality_rules": quality_rules,
         "op7_toxicity": toxicity_scores,
         "op8_minhash_near_dedup": minhash_groups,
+        "op9_embedding_near_dedup": embedding_groups,
     }
 
 
