@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 ARROW = {
     "bigint": pa.int64(),
@@ -74,3 +75,38 @@ def map_texts(
             )
 
     return narrow.mapInArrow(run, schema)
+
+
+def runs_by_key(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """One table per run of rows with equal integer ``keys``; rows come sorted by them."""
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        if not (n := batch.num_rows):
+            continue
+        columns = [batch.column(name).to_numpy() for name in keys]
+        change = np.zeros(n, dtype=bool)
+        for column in columns:
+            change[1:] |= column[1:] != column[:-1]
+        edges = [0, *np.flatnonzero(change).tolist(), n]
+        for start, stop in zip(edges, edges[1:], strict=False):
+            key = tuple(column[start] for column in columns)
+            if key != current and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            current = key
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def part_pairs(parts: str, key: str) -> Column:
+    """For a row of a group that is split into ``parts``: the pairs of parts (``one`` <=
+    ``two``) in which its own ``part``, by a hash of ``key``, meets each part of the group."""
+    part = F.pmod(F.xxhash64(key), F.col(parts))
+    return F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.col(parts) - 1),
+        lambda other: F.struct(
+            F.least(part, other).alias("one"), F.greatest(part, other).alias("two"), part.alias("part")
+        ),
+    )

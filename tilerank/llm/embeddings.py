@@ -19,7 +19,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.workspace import stored
-from .arrow import quoted
+from .arrow import part_pairs, quoted, runs_by_key
 from .components import UnionFind, components
 
 CODE_BITS = 256
@@ -154,29 +154,8 @@ def _group_links(threshold: float, deviations: float, plan: np.ndarray, turns: d
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by bucket; one bucket, or pair of its blocks, is held at a time."""
-        held: list[pa.RecordBatch] = []
-        key = None
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            columns = [batch.column(name).to_numpy() for name in ("band", "bits", "dims", "one", "two")]
-            change = np.zeros(n, dtype=bool)
-            for column in columns:
-                change[1:] |= column[1:] != column[:-1]
-            edges = [0, *np.flatnonzero(change).tolist(), n]
-            for start, stop in zip(edges, edges[1:], strict=False):
-                now = tuple(column[start] for column in columns)
-                if now != key and held:
-                    table = pa.Table.from_batches(held)
-                    held = []
-                    if table.num_rows > 1 and (made := bucket(table)) is not None:
-                        yield made
-                key = now
-                held.append(batch.slice(start, stop - start))
-        if held:
-            table = pa.Table.from_batches(held)
+        """Rows come sorted by bucket; one bucket, or pair of its parts, is held at a time."""
+        for table in runs_by_key(batches, ("band", "bits", "dims", "one", "two")):
             if table.num_rows > 1 and (made := bucket(table)) is not None:
                 yield made
 
@@ -280,21 +259,12 @@ def near_duplicates(
         "large-buckets",
     )
     # A class of a split bucket goes to each pair of parts that its own part belongs to.
-    part = F.pmod(F.xxhash64("class_id"), "parts")
-    pairs = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1),
-        lambda other: F.struct(
-            F.least(F.col("part"), other).alias("one"), F.greatest(F.col("part"), other).alias("two")
-        ),
-    )
     placed = (
         spread.join(large.select(*key, "parts"), key, "left")
         .withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
-        .withColumn("part", part)
-        .withColumn("pair", F.explode(pairs))
-        .select(*key, "pair.one", "pair.two", "part", "class_id", "weight", "dims", "vector")
+        .withColumn("pair", F.explode(part_pairs("parts", "class_id")))
+        .select(*key, "pair.one", "pair.two", "pair.part", "class_id", "weight", "vector")
     )
-    placed = placed.select("band", "bits", "dims", "one", "two", "part", "class_id", "weight", "vector")
     order = ["band", "bits", "dims", "one", "two"]
     found = stored(
         placed.repartition(*order)

@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embeddings, minhash, packing, quality, secrets, toxicity
+from . import bpe, chat, digests, embeddings, minhash, packing, quality, secret_scan, toxicity, url_filter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(read(spark, sf_dir, "pages"))
+
+
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -23,10 +27,20 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), ranks, with_ids=False)
 
 
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame(
+        [(-1, 0, "user", said), (-1, 1, chat.ASSISTANT, said)],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    whole = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(added)
+    return digests.conversation_digests(chat.format_conversations(whole))
+
+
 def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(read(spark, sf_dir, "documents"))
+    found = secret_scan.scan(read(spark, sf_dir, "documents"))
     all_spans = F.when(F.col("spans") == "", F.array().cast("array<string>")).otherwise(F.split("spans", ","))
-    kinds = [rule.kind for rule in secrets.BASE_RULES]
+    kinds = [rule.kind for rule in secret_scan.BASE_RULES]
 
     def of(kind: str):
         return F.filter("_all", lambda span: span.startswith(f"{kind}:"))
@@ -75,15 +89,24 @@ def embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_index(read(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filters": url_filters,
         "op2_best_fit_packing": best_fit_packing,
         "op3_byte_bpe": byte_bpe,
+        "op4_chat_formatting": chat_formatting,
         "op5_secret_scans": secret_scans,
         "op6_quality_rules": quality_rules,
         "op7_toxicity": toxicity_scores,
         "op8_minhash_near_dedup": minhash_groups,
         "op9_embedding_near_dedup": embedding_groups,
+        "op10_warc": warc_archives,
     }
 
 
