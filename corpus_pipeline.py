@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilerank.llm import minhash, packing, quality, secrets, toxicity
+from tilerank.llm import minhash, packing, quality, secret_scan, toxicity
 from tilerank.llm.queries import read
 from tilerank.sources.workspace import stored
 
@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced and ``n_chars`` counted anew."""
-    return secrets.with_length(secrets.redact(docs))
+    return secret_scan.with_length(secret_scan.redact(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
