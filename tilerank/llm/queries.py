@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, digests, embeddings, minhash, packing, quality, secret_scan, toxicity, url_filter, warc
+from . import bpe, chat, digests, embeddings, minhash, oracles, packing, quality
+from . import secret_scan, toxicity, url_filter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,4 +112,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.build()
