@@ -283,7 +283,7 @@ def fit_rules(
     labelled = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col(quoted(text)).alias("_text")
     ).join(F.broadcast(sample), "doc_id")
-    rows = with_statistics(labelled, "_text", ["doc_id", "_q"]).toPandas()
+    rows = with_statistics(labelled, "_text", ["doc_id", "_q"]).toArrow().to_pandas()
     rows = rows.sort_values(["doc_id", "_q", *STATISTICS], ignore_index=True)
     if not len(rows):
         return DecisionList()

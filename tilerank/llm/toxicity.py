@@ -16,9 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .arrow import free_name, map_texts, quoted
-from .words import word_ids
 
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 BUCKETS = 1 << 20
 MASK = BUCKETS - 1
 MEMO_WORDS = 200_000
@@ -127,24 +126,29 @@ def learn(
     give. Weights are never negative, as no sentence makes another one harmless, and each
     step shrinks them, so that words which only keep company with telling ones lose theirs.
     """
-    words: list[bytes] = []
-    sentence_of: list[np.ndarray] = []
-    document_of: list[int] = []
-    n_sentences = 0
-    for number, data in enumerate(texts):
-        for line in sentences(data):
-            words.extend(line)
-            sentence_of.append(np.full(len(line), n_sentences, dtype=np.int32))
-            document_of.append(number)
-            n_sentences += 1
+    numbers: dict[bytes, int] = {}
+    token_parts: list[np.ndarray] = []
+    sentence_sizes: list[int] = []
+    sentence_counts: list[int] = []
+    for data in texts:
+        lines = sentences(data)
+        token_parts.append(
+            np.fromiter(
+                (numbers.setdefault(word, len(numbers)) for line in lines for word in line), np.int32
+            )
+        )
+        sentence_sizes.extend(map(len, lines))
+        sentence_counts.append(len(lines))
+    n_sentences = len(sentence_sizes)
     if not n_sentences or toxic.all() or not toxic.any():
-        return ToxicityModel(np.zeros(BUCKETS), -6.0 if not toxic.any() else 0.0)
-    token, distinct = word_ids(words)
-    del words
-    token_sentence = np.concatenate(sentence_of)
-    sentence_document = np.array(document_of, dtype=np.int64)
-    features = np.array([word_features(word) for word in distinct], dtype=np.int32)
-    feature, feature_word = features.ravel(), np.repeat(np.arange(len(distinct)), features.shape[1])
+        return ToxicityModel(np.zeros(BUCKETS), 0.0 if toxic.any() else -6.0)
+    distinct = list(numbers)
+    token = np.concatenate(token_parts)
+    del numbers, token_parts
+    token_sentence = np.repeat(np.arange(n_sentences, dtype=np.int32), sentence_sizes)
+    sentence_document = np.repeat(np.arange(len(texts)), sentence_counts)
+    feature = np.fromiter((f for word in distinct for f in word_features(word)), np.int32)
+    feature_word = np.repeat(np.arange(len(distinct), dtype=np.int32), len(feature) // len(distinct))
 
     # Toxic and all documents per bucket: each (document, word) once, then its buckets.
     pairs = np.unique(sentence_document[token_sentence] * len(distinct) + token)
@@ -209,10 +213,10 @@ def fit_toxicity(
             F.col("doc_id").cast("bigint").alias("doc_id"), F.col(quoted(text)).alias("_text")
         )
         .join(F.broadcast(sample), "doc_id")
-        .toPandas()
-        .sort_values(["doc_id", "_t", "_text"], ignore_index=True)
+        .toArrow()
+        .sort_by([("doc_id", "ascending"), ("_t", "ascending"), ("_text", "ascending")])
     )
-    texts = [b"" if value is None else value.encode() for value in rows["_text"]]
+    texts = [value or b"" for value in rows["_text"].cast("binary").to_pylist()]
     return learn(texts, rows["_t"].to_numpy() == 1, **options)
 
 
