@@ -145,16 +145,28 @@ literal{level} AS (
     SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY host, template) AS parent_n FROM nodes{level})
     WHERE n >= {u.LEAST_SUPPORT} AND n >= parent_n * {u.LEAST_SHARE}
 ),
-pooled{level} AS (
-    SELECT host, template, sum(l) AS all_l, sum(b) AS all_b FROM literal{level}
-    WHERE l >= {u.LEAST_LABELLED} GROUP BY ALL
+shares{level} AS (
+    SELECT *, b / l AS share, lag(b) OVER w AS b0, lag(l) OVER w AS l0, lag(b / l) OVER w AS share0
+    FROM literal{level} WHERE l >= {u.LEAST_LABELLED}
+    WINDOW w AS (PARTITION BY host, template ORDER BY b / l, seg)
+),
+gaps{level} AS (
+    SELECT *, (b + b0 + 1) / (l + l0 + 2) AS p FROM shares{level}
+),
+grouped{level} AS (
+    SELECT *, sum(CASE WHEN share - share0 <= {u.DEVIATIONS}::DOUBLE * sqrt(p * (1 - p) * (1 / l + 1 / l0))
+        THEN 0 ELSE 1 END) OVER (PARTITION BY host, template ORDER BY share, seg) AS g
+    FROM gaps{level}
+),
+merged{level} AS (
+    SELECT host, template, seg, '<~' || min(seg) OVER (PARTITION BY host, template, g) || '>' AS name,
+        count(*) OVER (PARTITION BY host, template, g) AS many
+    FROM grouped{level}
 ),
 branch{level} AS (
-    SELECT host, template, seg, CASE WHEN l >= {u.LEAST_LABELLED} AND all_l > l
-        AND abs(b - l * (all_b / all_l))
-            <= sqrt(l * (all_b / all_l) * (1 - all_b / all_l)) * {u.DEVIATIONS}
-        THEN '<~>' ELSE seg END AS branch
-    FROM literal{level} LEFT JOIN pooled{level} USING (host, template)
+    SELECT v.host, v.template, v.seg, CASE WHEN many > 1 THEN name ELSE v.seg END AS branch
+    FROM literal{level} v LEFT JOIN merged{level} m
+        ON v.host = m.host AND v.template = m.template AND v.seg = m.seg
 ),
 t{level} AS (
     SELECT p.host, p.path, p.s, p.n, p.n_labelled, p.n_bad, CASE WHEN len(p.s) > {level} THEN p.template || '/' || coalesce(branch,

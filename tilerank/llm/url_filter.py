@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.workspace import stored
 from .arrow import quoted
@@ -67,8 +67,9 @@ def path_templates(
     has at least ``least_support`` urls and a share of ``least_share`` of its parent's;
     otherwise it is variable and becomes ``<n>`` (digits, with or without an extension) or
     ``<*>``. Of the literal branches below a node, those with ``least_labelled`` labelled
-    urls whose bad share lies within ``deviations`` standard deviations of what these
-    branches have together are alike, and become one branch, ``<~>``. What lies below
+    urls are put in the order of their bad shares; neighbours whose shares differ by at most
+    ``deviations`` standard deviations are alike, and alike ones become one branch, ``<~x>``,
+    x being the first of their names. What lies below
     ``levels`` segments becomes ``<..>``. Counts are pre-aggregated per node, and no host is
     gathered anywhere.
     """
@@ -91,22 +92,27 @@ def path_templates(
             .where((F.col("_n") >= least_support) & (F.col("_n") >= F.col("_parent_n") * least_share))
             .drop("_parent_n", "_n")
         )
-        # At most 1 / least_share literal branches per node: small groups.
-        pooled = (
-            literal.where(F.col("_labelled") >= least_labelled)
-            .groupBy("host", "template")
-            .agg(F.sum("_labelled").alias("_all"), F.sum("_bad").alias("_all_bad"))
+        # At most 1 / least_share literal branches per node: a window of bounded size.
+        siblings = Window.partitionBy("host", "template").orderBy("_share", "_segment")
+        together = (F.col("_bad") + F.lag("_bad").over(siblings) + 1) / (
+            F.col("_labelled") + F.lag("_labelled").over(siblings) + 2
         )
-        share = F.col("_all_bad") / F.col("_all")
-        off = F.abs(F.col("_bad") - F.col("_labelled") * share)
-        alike = (F.col("_labelled") >= least_labelled) & (F.col("_all") > F.col("_labelled")) & (
-            off <= F.sqrt(F.col("_labelled") * share * (1 - share)) * deviations
+        apart = (F.col("_share") - F.lag("_share").over(siblings)) > deviations * F.sqrt(
+            together * (1 - together) * (1 / F.col("_labelled") + 1 / F.lag("_labelled").over(siblings))
         )
-        branches = literal.join(pooled, ["host", "template"], "left").select(
-            "host",
-            "template",
-            "_segment",
-            F.when(F.coalesce(alike, F.lit(False)), "<~>").otherwise(F.col("_segment")).alias("_branch"),
+        group = ["host", "template", "_group"]
+        merged = (
+            literal.where(F.col("_labelled") >= least_labelled)
+            .withColumn("_share", F.col("_bad") / F.col("_labelled"))
+            .withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int"))
+            .withColumn("_group", F.sum("_new").over(siblings))
+            .withColumn("_many", F.count(F.lit(1)).over(Window.partitionBy(*group)) > 1)
+            .withColumn("_name", F.min("_segment").over(Window.partitionBy(*group)))
+            .where("_many")
+            .select("host", "template", "_segment", F.concat(F.lit("<~"), "_name", F.lit(">")).alias("_merged"))
+        )
+        branches = literal.join(merged, ["host", "template", "_segment"], "left").select(
+            "host", "template", "_segment", F.coalesce("_merged", "_segment").alias("_branch")
         )
         variable = F.when(F.col("_segment").rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$"), "<n>").otherwise("<*>")
         # Written, as the next level reads it twice.
