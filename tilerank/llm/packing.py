@@ -66,7 +66,7 @@ class Bins:
             stack = [top]
             while stack:
                 node = stack.pop()
-                if shared[node] & bits:
+                if shared[node] < 0 or shared[node] & bits:  # empty, or all of it conflicts
                     continue
                 if node < leaves:
                     stack += (2 * node + 1, 2 * node)
