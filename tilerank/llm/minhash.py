@@ -3,7 +3,7 @@
 Texts with the same set of shingles are one class, known by its smallest doc_id. Classes that
 share a band of their signatures are candidates. A bucket of a band is not expanded into its
 pairs: each member is compared with the bucket's first class, and only members that are not
-found in that class's component meet the bucket's other members.
+found in that class's component meet the bucket's other members, within a task.
 """
 
 from __future__ import annotations
@@ -15,14 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.workspace import stored
-from .arrow import map_texts, quoted
-from .components import components
+from .arrow import map_texts, part_pairs, quoted, runs_by_key
+from .components import UnionFind, components
 from .words import mix, shingles
 
 SLOTS = 256
 BAND_ROWS = 7
 BANDS = SLOTS // BAND_ROWS
 PERCENT = 85
+PART_SHINGLES = 1_000_000
 
 _GOLDEN = 0x9E3779B97F4A7C15
 _STEP_BITS = 24
@@ -133,6 +134,67 @@ def _confirmed(percent: int):
     return run
 
 
+def _met_in_groups(percent: int):
+    """Links between members of a group in different components, at least one of them apart.
+
+    The group's shingles are indexed once. A set can only overlap enough with one that holds
+    any of its rarest shingles, as many as it may lack and one more; sets for which these lead
+    nowhere are passed over, the others' overlaps are counted from the whole index. Of the
+    links found, as many are put out as connect what is linked.
+    """
+
+    def links(table: pa.Table) -> tuple[list[int], list[int]]:
+        ids, component = table.column("class_id").to_numpy(), table.column("component").to_numpy()
+        apart = table.column("apart").to_numpy(zero_copy_only=False)
+        part = table.column("part").to_numpy()
+        across = table.column("one")[0].as_py() != table.column("two")[0].as_py()
+        sets = [np.frombuffer(raw, dtype=np.uint64) for raw in table.column("shingles").to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        if not apart.any():
+            return [], []
+        joined = np.concatenate(sets)
+        order = np.argsort(joined, kind="stable")
+        owner = np.repeat(np.arange(len(sets)), sizes)[order]
+        _, first, count = np.unique(joined[order], return_index=True, return_counts=True)
+        number = np.empty(len(joined), dtype=np.int64)
+        number[order] = np.repeat(np.arange(len(first)), count)
+        ends = np.cumsum(sizes)
+
+        def holders(shingles: np.ndarray) -> np.ndarray:
+            n = count[shingles]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            return owner[np.repeat(first[shingles], n) + step]
+
+        found = UnionFind()
+        for row in np.flatnonzero(apart).tolist():
+            own = number[ends[row] - sizes[row] : ends[row]]
+            may_lack = len(own) - -(-percent * len(own) // 100)
+            other = component != component[row]
+            if across:
+                other &= part != part[row]
+            rare = own[np.argsort(count[own], kind="stable")[: may_lack + 1]]
+            reached = np.zeros(len(sets), dtype=bool)
+            reached[holders(rare)] = True
+            if not (reached & other).any():
+                continue
+            both = np.bincount(holders(own), minlength=len(sets))
+            near = other & (100 * both >= percent * (sizes + sizes[row] - both))
+            for met in np.flatnonzero(near).tolist():
+                found.union(int(ids[row]), int(ids[met]))
+        nodes = [node for node, up in found.parent.items() if node != up]
+        return nodes, [found.find(node) for node in nodes]
+
+    def run(batches):
+        for table in runs_by_key(batches, ("first_id", "one", "two")):
+            a, b = links(table)
+            if a:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"]
+                )
+
+    return run
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets overlap enough."""
     of_a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
@@ -142,7 +204,11 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text: str = "text",
+    percent: int = PERCENT,
+    part_shingles: int = PART_SHINGLES,
 ) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for each row of ``docs``.
 
@@ -154,7 +220,8 @@ def near_duplicates(
     doc_id stay together. Other columns of ``docs`` are ignored.
 
     A pair at 0.85 shares none of the 36 bands of 7 rows with a probability of 1e-6, more
-    similar ones more rarely. What bands propose is confirmed on full sets.
+    similar ones more rarely. What bands propose is confirmed on full sets. A group of more
+    than ``part_shingles`` shingles is split, and its parts meet in pairs.
     """
     known = stored(sketch(docs, id_col, text), "sketches")
     named = known.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -205,9 +272,13 @@ def near_duplicates(
     joined = components(links, "stars")
 
     # Members of a bucket outside its first class's component still have to meet the others.
+    # Buckets with the same first class are one group.
     label = joined.select(F.col("node").alias("class_id"), "component")
     labelled = stored(
-        shared.join(label, "class_id", "left")
+        shared.where("class_id > first_id")
+        .select("first_id", "class_id", "n_shingles")
+        .distinct()
+        .join(label, "class_id", "left")
         .withColumn("component", F.coalesce("component", "class_id"))
         .join(
             label.select(F.col("class_id").alias("first_id"), F.col("component").alias("fc")),
@@ -215,32 +286,32 @@ def near_duplicates(
             "left",
         )
         .withColumn("apart", F.col("component") != F.coalesce("fc", "first_id"))
-        .select("band", "class_id", "first_id", "n_shingles", "component", "apart"),
+        .drop("fc"),
         "labelled",
     )
-    left = labelled.where("apart").select(
-        "band",
-        F.col("class_id").alias("a"),
-        F.col("component").alias("ca"),
-        F.col("n_shingles").alias("na"),
-        "apart",
+    groups = (
+        labelled.groupBy("first_id")
+        .agg(
+            F.max("apart").alias("open"),
+            F.count(F.lit(1)).alias("n"),
+            F.ceil(F.sum("n_shingles") / part_shingles).cast("bigint").alias("parts"),
+        )
+        .where("open AND n > 1")
+        .select("first_id", "parts")
     )
-    others = labelled.where("class_id <> first_id").select(
-        "band",
-        F.col("class_id").alias("b"),
-        F.col("component").alias("cb"),
-        F.col("n_shingles").alias("nb"),
-        F.col("apart").alias("apart_b"),
+    members = (
+        labelled.join(groups, "first_id")
+        .withColumn("pair", F.explode(part_pairs("parts", "class_id")))
+        .select("first_id", "pair.one", "pair.two", "pair.part", "class_id", "component", "apart")
+        .join(sets.withColumnRenamed("doc_id", "class_id"), "class_id")
     )
-    rest = (
-        left.join(others, "band")
-        .where((F.col("ca") != F.col("cb")) & alike("na", "nb"))
-        # Two that are both apart meet once.
-        .where(~F.col("apart_b") | (F.col("a") < F.col("b")))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
+    key = ["first_id", "one", "two"]
+    more = stored(
+        members.repartition(*key)
+        .sortWithinPartitions(*key)
+        .mapInArrow(_met_in_groups(percent), "a bigint, b bigint"),
+        "links",
     )
-    more = stored(confirm(rest, sets, percent), "links")
     whole = components(links.union(more), "groups") if not more.isEmpty() else joined
 
     component = F.coalesce("component", "class_id", "doc_id")
