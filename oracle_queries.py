@@ -214,6 +214,7 @@ def build() -> dict[str, str]:
         ),
         "utility_ranking": full_ranking,
         "trajectory_ranking": full_ranking,
+        "ranking_of_repeats": full_ranking,
         "ranking_split_cameras": full_ranking,
         "ranking_large_camera": full_ranking,
         "ranking_from_files": full_ranking,
@@ -228,7 +229,7 @@ def build() -> dict[str, str]:
             ["tiles", "cameras", "mask", "first", "scored", "levels", "utilities", "ranking"],
             f"SELECT {_RANKING_COLUMNS} FROM ranking",
         ),
-        "continuous_ranking": _sql(
+        "first_camera_continuous_ranking": _sql(
             ["embedded", "embedded_first", "scored", "levels", "utilities", "ranking"],
             f"SELECT {_RANKING_COLUMNS} FROM ranking",
         ),

@@ -1,0 +1,116 @@
+"""Nothing is left out or ranked twice without a word."""
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from tilerank import measure_distances, rank_first_camera, rank_trajectory, rank_utilities
+from tilerank.operators import assign_positions
+from tilerank.operators.heavy import partitions_for, split_by_camera_size
+from tilerank.sources import derived, stored
+
+PAIRS = "camera_uid bigint, tile_index bigint, visible boolean, distance double"
+
+
+@pytest.fixture(scope="module")
+def scene(spark, sf_dir):
+    return (
+        derived.part_tiles(spark, sf_dir),
+        derived.supplier_cameras(spark, sf_dir),
+        derived.lineitem_mask(spark, sf_dir).cache(),
+    )
+
+
+@pytest.mark.parametrize("pairs_per_task", [None, 100])
+def test_unknown_keys_are_an_error_unless_dropped(scene, pairs_per_task):
+    tiles, cameras, mask = scene
+    some_tile = mask.agg(F.min("tile_index")).first()[0]
+    some_camera = mask.agg(F.min("camera_uid")).first()[0]
+    for short in (
+        (tiles.where(F.col("tile_index") != some_tile), cameras),
+        (tiles, cameras.where(F.col("camera_uid") != some_camera)),
+    ):
+        with pytest.raises((PySparkException, ValueError), match="not known"):
+            rank_trajectory(*short, mask, pairs_per_task=pairs_per_task).collect()
+        dropped = rank_trajectory(*short, mask, unknown="drop", pairs_per_task=pairs_per_task)
+        known = mask.join(short[0], "tile_index", "left_semi").join(short[1], "camera_uid", "left_semi")
+        assert dropped.count() == 3 * known.count() > 0
+        with pytest.raises(PySparkException, match="not known"):
+            measure_distances(*short, mask).collect()
+    with pytest.raises(ValueError, match="unknown"):
+        rank_trajectory(tiles, cameras, mask, unknown="ignore")
+
+
+@pytest.mark.parametrize("pairs_per_task", [None, 100])
+def test_repeats_are_ranked_once(spark, sf_dir, scene, pairs_per_task):
+    tiles, cameras, mask = scene
+    listed = derived.lineitem_listed(spark, sf_dir)
+    assert listed.count() > mask.count()
+    whole = rank_trajectory(tiles, cameras, mask)
+    found = rank_trajectory(tiles, cameras, listed, pairs_per_task=pairs_per_task)
+    assert found.exceptAll(whole).count() == 0 and found.count() == whole.count()
+    one = rank_first_camera(tiles, cameras, mask)
+    assert rank_first_camera(tiles, cameras, listed).exceptAll(one).count() == 0
+
+
+def test_a_sparse_mask_is_not_complete(spark, scene):
+    tiles, cameras, mask = scene
+    with pytest.raises(ValueError, match="tiles for camera"):
+        rank_trajectory(tiles, cameras, mask, complete=True)
+    few_tiles, few_cameras = tiles.orderBy("tile_index").limit(5), cameras.orderBy("camera_uid").limit(3)
+    full = few_cameras.select("camera_uid").join(few_tiles.select("tile_index"), how="cross")
+    full = full.withColumn("visible", F.col("tile_index") % 2 == 0)
+    ranking = rank_trajectory(few_tiles, few_cameras, full.union(full), complete=True)
+    assert ranking.count() == 3 * 5 * 3
+    # Repeats do not hide a gap, and a camera without a row is one.
+    first = few_tiles.first()["tile_index"]
+    gap = full.where((F.col("tile_index") != first) | (F.col("camera_uid") > 1))
+    with pytest.raises(ValueError, match="4 of 5"):
+        rank_trajectory(few_tiles, few_cameras, gap.union(gap), complete=True)
+    with pytest.raises(ValueError, match="0 of 5"):
+        rank_trajectory(few_tiles, few_cameras, full.where("camera_uid <> 2"), complete=True)
+    with pytest.raises(ValueError, match="listed 2 times"):
+        rank_trajectory(few_tiles.union(few_tiles), few_cameras, full, complete=True)
+
+
+def test_rows_without_a_camera_are_spread_too(spark, monkeypatch):
+    pairs = spark.range(5000).select(
+        F.lit(None).cast("bigint").alias("camera_uid"),
+        F.col("id").alias("tile_index"),
+        F.lit(True).alias("visible"),
+        (F.col("id") % 7).cast("double").alias("distance"),
+    )
+    split = split_by_camera_size(pairs, 10)
+    assert split.light is None and split.heavy.count() == 5000
+    written = []
+
+    def spy(df, name):
+        written.append(stored(df, name))
+        return written[-1]
+
+    monkeypatch.setattr("tilerank.operators.numbering.stored", spy)
+    ranking = rank_utilities(pairs, pairs_per_task=100)
+    sizes = [r["count"] for r in written[0].groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 15_000 and len(sizes) > 8 and max(sizes) < 3_000
+    whole = rank_utilities(pairs)
+    assert ranking.exceptAll(whole).count() == 0 and ranking.count() == whole.count()
+
+
+def test_partitions_have_no_bound_of_their_own(spark):
+    df = spark.range(1)
+    assert partitions_for(df, 10**13, 750_000) > 10**7
+    assert partitions_for(df, 10**13, 750_000, most=20_000) == 20_000
+
+
+def test_positions_follow_the_number_of_rows(spark, monkeypatch):
+    written = []
+
+    def spy(df, name):
+        written.append(stored(df, name))
+        return written[-1]
+
+    monkeypatch.setattr("tilerank.operators.numbering.stored", spy)
+    tiles = spark.range(1000).select((F.col("id") * 37 % 1000).alias("tile_idx"))
+    placed = assign_positions(tiles, ["tile_idx"], rows_per_task=50)
+    assert placed.where("tile_index <> tile_idx").count() == 0
+    assert written[0].select(F.input_file_name()).distinct().count() > 8

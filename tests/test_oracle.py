@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+import oracle_queries
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -20,13 +21,12 @@ def duck(sf_dir):
 
 
 def test_each_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(driver.tile_queries()) == set(oracle_queries.build())
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(driver.tile_queries()))
 def test_query_equals_sql(spark, duck, sf_dir, name):
-    query = driver.queries()[name]
-    frame = query(spark, sf_dir)
+    frame = driver.queries()[name](spark, sf_dir)
     columns = ", ".join(sorted(frame.columns))
     got = frame.toArrow()
     duck.register("got", got)

@@ -36,7 +36,7 @@ def stored_mask(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(driver.tile_queries()))
 def test_no_query_pairs_rows_without_a_key(spark, sf_dir, name, no_broadcast):
     text = plan(driver.queries()[name](spark, sf_dir))
     assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
@@ -70,6 +70,24 @@ def test_large_lookups_shuffle_by_tile_then_by_camera(
     assert text.count("Exchange hashpartitioning") == 4
 
 
+def test_one_shuffle_by_camera_at_any_number_of_partitions(
+    spark, sf_dir, stored_mask, no_broadcast
+):
+    text = plan(
+        rank_trajectory(
+            derived.part_tiles(spark, sf_dir),
+            derived.supplier_cameras(spark, sf_dir),
+            stored_mask,
+            pairs_per_task=10_000,
+            camera_sizes=stored_mask.groupBy("camera_uid").agg(F.lit(9_000).alias("pairs")),
+        )
+    )
+    wanted = re.findall(r"hashpartitioning\(camera_uid#\d+L?, (\d+)\)", text)
+    # One for the pairs, one for the cameras, and both as many as the pairs ask for.
+    assert len(wanted) == 2 and len(set(wanted)) == 1 and int(wanted[0]) > 8
+    assert text.count("Exchange hashpartitioning") == 4
+
+
 def test_heavy_cameras_do_not_depend_on_broadcasts(
     spark, sf_dir, stored_mask, no_broadcast
 ):

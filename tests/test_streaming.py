@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as driver
 from tilerank import rank_trajectory
 from tilerank.sources import derived
-from tilerank.streaming import rank_announced_cameras
+from tilerank.streaming import rank_announced_cameras, read_current_rankings
 
 
 def test_cameras_are_ranked_as_they_are_announced(spark, sf_dir, folder):
@@ -45,6 +45,12 @@ def test_cameras_are_ranked_as_they_are_announced(spark, sf_dir, folder):
     assert found.drop("batch_id").exceptAll(expected).count() == 0
     assert found.count() == expected.count()
 
+    # Announced again: the latest ranking is the one that counts.
+    announce(2, 4)
+    assert run().count() > expected.count()
+    found = read_current_rankings(spark, output)
+    assert found.exceptAll(expected).count() == 0 and found.count() == expected.count()
+
 
 def test_registered_stream_covers_all_cameras(spark, sf_dir):
     found = driver.queries()["streamed_ranking"](spark, sf_dir)

@@ -1,8 +1,10 @@
+import os
 from types import SimpleNamespace
 
 import pytest
 
-from tilerank.sources import checkpoint_folder, scratch_path, stored
+from local_session import name_folder
+from tilerank.sources import checkpoint_folder, scratch_path, stored, workspace
 
 
 def _session(setting=None, folder=None, master="local[2]"):
@@ -18,14 +20,32 @@ def test_the_named_folder_is_used():
     assert checkpoint_folder(_session(folder="s3a://b/c", master="yarn")) == "s3a://b/c"
 
 
-def test_a_cluster_must_name_a_folder():
+@pytest.mark.parametrize("master", ["yarn", "local[2]"])
+def test_a_session_must_name_a_folder(master):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        checkpoint_folder(_session(master="yarn"))
+        checkpoint_folder(_session(master=master))
 
 
-def test_a_local_session_gets_one_folder():
+def test_a_trial_gets_one_folder_and_a_cluster_none():
     session = _session()
-    assert checkpoint_folder(session) == checkpoint_folder(session)
+    name_folder(session)
+    folder = checkpoint_folder(session)
+    name_folder(session)
+    assert folder and checkpoint_folder(session) == folder
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        session = _session(master=master)
+        name_folder(session)
+        assert session.sparkContext.folder is None
+
+
+def test_a_workspace_takes_its_tables_with_it(spark):
+    with workspace(spark) as folder:
+        kept = stored(spark.range(5), "numbers")
+        assert kept.count() == 5
+        assert folder in kept.inputFiles()[0]
+    where = folder.removeprefix("file:")
+    assert not os.path.exists(where)
+    assert not scratch_path(spark, "a").startswith(folder)
 
 
 def test_stored_tables_keep_rows_and_do_not_collide(spark):

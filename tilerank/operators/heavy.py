@@ -33,15 +33,15 @@ def split_by_camera_size(
     """Split pairs by whether their camera has more than ``pairs_per_task`` of them.
 
     ``camera_sizes`` (``camera_uid, pairs``) saves the counting where sizes, or upper
-    bounds of them, are cheaper to come by. A camera missing there is taken to be light.
+    bounds of them, are cheaper to come by. It must list every camera: one missing there
+    is taken to be light. Rows without a camera are one camera like any other.
 
     There are fewer than rows / ``pairs_per_task`` heavy cameras. Their list is written,
     so that both halves see the same one and the optimizer knows its size: it is
     broadcast if small enough, and joined by key if not.
     """
     sizes = count_pairs(pairs) if camera_sizes is None else camera_sizes
-    # No join would find a NULL again: such rows stay with the light ones.
-    is_heavy = (F.col("pairs") > pairs_per_task) & F.col("camera_uid").isNotNull()
+    is_heavy = F.col("pairs") > pairs_per_task
     totals = sizes.agg(
         F.coalesce(F.sum("pairs"), F.lit(0)).alias("all"),
         F.coalesce(F.sum(F.when(is_heavy, F.col("pairs"))), F.lit(0)).alias("heavy"),
@@ -49,12 +49,13 @@ def split_by_camera_size(
     if not totals["heavy"]:
         return Split(pairs, totals["all"])
     cameras = stored(sizes.where(is_heavy).select("camera_uid"), "heavy-cameras")
+    same = pairs["camera_uid"].eqNullSafe(cameras["camera_uid"])
     light_pairs = totals["all"] - totals["heavy"]
     all_heavy = camera_sizes is None and light_pairs == 0
     return Split(
-        light=None if all_heavy else pairs.join(cameras, "camera_uid", "left_anti"),
+        light=None if all_heavy else pairs.join(cameras, same, "left_anti"),
         light_pairs=light_pairs,
-        heavy=pairs.join(cameras, "camera_uid", "left_semi"),
+        heavy=pairs.join(cameras, same, "left_semi"),
         heavy_cameras=cameras,
         heavy_pairs=totals["heavy"],
     )
@@ -68,14 +69,16 @@ def pairs_for_a_task(num_levels: int, pairs_per_task: int | None = None) -> int:
 
 
 def partitions_for(
-    df: DataFrame, rows: int, rows_per_task: int, most: int = 20_000
+    df: DataFrame, rows: int, rows_per_task: int, most: int | None = None
 ) -> int | None:
     """Shuffle partitions for so many rows; None where the session's own number is
     enough (adaptive execution may then still merge small ones, and a join by the same
-    key before needs no further shuffle). Beyond ``most``, partitions grow instead, and
-    spill."""
+    key before needs no further shuffle). With ``most``, partitions beyond that number
+    grow instead, and spill."""
     target = max(min(rows_per_task, ROWS_PER_PARTITION), 1)
-    wanted = min(-(-rows // target), most)
+    wanted = -(-rows // target)
+    if most is not None:
+        wanted = min(wanted, most)
     conf = df.sparkSession.conf
     own = conf.get(
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum", None

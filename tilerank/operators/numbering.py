@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..constants import ROWS_PER_PARTITION
 from ..sources.workspace import stored
 
 # monotonically_increasing_id(): partition number above bit 33, row below.
@@ -70,7 +71,20 @@ def number_rows(
     )
 
 
-def assign_positions(tiles: DataFrame, stable_key: Sequence[str]) -> DataFrame:
-    """Give tiles that arrive without a position their 0-based ``tile_index``."""
-    numbered = number_rows(tiles, [F.col(key) for key in stable_key], "_place")
+def assign_positions(
+    tiles: DataFrame, stable_key: Sequence[str], rows_per_task: int = ROWS_PER_PARTITION
+) -> DataFrame:
+    """Give tiles that arrive without a position their 0-based ``tile_index``.
+
+    Rows are counted first; the sort gets a partition per ``rows_per_task`` of them, or
+    the session's own number if that is larger.
+    """
+    own = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = -(-tiles.count() // rows_per_task)
+    numbered = number_rows(
+        tiles,
+        [F.col(key) for key in stable_key],
+        "_place",
+        partitions=wanted if wanted > own else None,
+    )
     return numbered.withColumn("tile_index", F.col("_place") - 1).drop("_place")

@@ -21,30 +21,61 @@ def tile_centers(tiles: DataFrame, precision: str = "double") -> DataFrame:
     )
 
 
+UNKNOWN = ("raise", "drop")
+
+
 def pair_by_mask(
-    mask: DataFrame, tiles: DataFrame, cameras: DataFrame, precision: str = "double"
+    mask: DataFrame,
+    tiles: DataFrame,
+    cameras: DataFrame,
+    precision: str = "double",
+    *,
+    unknown: str = "raise",
+    partitions: int | None = None,
+    few_cameras: bool = False,
 ) -> DataFrame:
     """Mask rows with ``tile_idx`` and the camera's ``distance`` to the tile's centre.
-    Rows that name no known tile or camera have no distance and drop out.
+
+    A row that names no known tile or camera has no distance: computing it is an error,
+    unless ``unknown`` is "drop", which leaves such rows out.
 
     The camera is looked up last: if that lookup shuffles, the ranking that follows
-    finds its rows already together by camera. Centres travel there as plain columns,
-    which take less room than a struct.
+    finds its rows already together by camera. With ``partitions``, rows are brought
+    together in so many partitions before, and nowhere else. Centres travel there as
+    plain columns, which take less room than a struct. ``few_cameras`` says that
+    ``cameras`` holds only some of the cameras: they are looked up first, and rows of
+    others are left out.
     """
+    if unknown not in UNKNOWN:
+        raise ValueError(f"unknown is one of {UNKNOWN}, not {unknown!r}")
+    how = "left" if unknown == "raise" else "inner"
     centers = tile_centers(tiles, precision).select(
-        "tile_index", "tile_idx", *[F.col(f"center.{a}").alias(f"_{a}") for a in "xyz"]
+        "tile_index",
+        "tile_idx",
+        *[F.col(f"center.{a}").alias(f"_{a}") for a in "xyz"],
+        F.lit(True).alias("_tile"),
     )
+    places = cameras.select("camera_uid", "camera_center", F.lit(True).alias("_camera"))
+    if few_cameras:
+        rows = mask.join(places, "camera_uid").join(centers, "tile_index", how)
+    else:
+        rows = mask.join(centers, "tile_index", how)
+        if partitions:
+            rows = rows.repartition(partitions, "camera_uid")
+        rows = rows.join(places, "camera_uid", how)
     center = point(F.col("_x"), F.col("_y"), F.col("_z"), precision)
-    return (
-        mask.join(centers, "tile_index")
-        .join(cameras.select("camera_uid", "camera_center"), "camera_uid")
-        .select(
-            "camera_uid",
-            "tile_index",
-            "tile_idx",
-            "visible",
-            point_distance(center, F.col("camera_center"), precision).alias("distance"),
+    distance = point_distance(center, F.col("camera_center"), precision)
+    if unknown == "raise":
+        known = F.col("_tile").isNotNull() & F.col("_camera").isNotNull()
+        message = F.concat(
+            F.lit("the mask names a tile or camera that is not known: camera "),
+            F.coalesce(F.col("camera_uid").cast("string"), F.lit("NULL")),
+            F.lit(", tile "),
+            F.coalesce(F.col("tile_index").cast("string"), F.lit("NULL")),
         )
+        distance = F.when(known, distance).otherwise(F.raise_error(message))
+    return rows.select(
+        "camera_uid", "tile_index", "tile_idx", "visible", distance.alias("distance")
     )
 
 

@@ -6,7 +6,7 @@ from .tables import (
     save_mask_by_camera,
     write_ranking,
 )
-from .workspace import checkpoint_folder, scratch_path, stored
+from .workspace import checkpoint_folder, scratch_path, stored, workspace
 
 __all__ = [
     "checkpoint_folder",
@@ -17,5 +17,6 @@ __all__ = [
     "save_mask_by_camera",
     "scratch_path",
     "stored",
+    "workspace",
     "write_ranking",
 ]

@@ -74,6 +74,11 @@ def lineitem_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(mask, mask_schema())
 
 
+def lineitem_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mask with its repeats in: a row per line item, visible if that one is open."""
+    return conform(_line_items(spark, sf_dir).withColumnRenamed("open", "visible"), mask_schema())
+
+
 def lineitem_camera_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most this many pairs per supplier: its line items, before repeats are merged."""
     return _line_items(spark, sf_dir).groupBy("camera_uid").agg(

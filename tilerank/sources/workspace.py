@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,22 +13,37 @@ SETTING = "spark.checkpoint.dir"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a folder of its own; a cluster must name
-    one, as a machine's own disk goes away with the machine.
-    """
+    """The folder named by ``spark.checkpoint.dir`` or set as checkpoint directory. The
+    session must name one, as a machine's own disk goes away with the machine."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise RuntimeError(f"set {SETTING} to a folder that every executor can reach")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-tilerank-"))
-    return spark.sparkContext.getCheckpointDir()
+    return folder
+
+
+# The folder of the innermost workspace, if any.
+_current: ContextVar[str | None] = ContextVar("workspace", default=None)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """Own the tables written on the way: they go to one folder, removed at the end.
+
+    Results are computed when they are asked for, so write them before leaving.
+    """
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
+    token = _current.set(folder)
+    try:
+        yield folder
+    finally:
+        _current.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = _current.get() or checkpoint_folder(spark).rstrip("/")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

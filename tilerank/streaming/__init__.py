@@ -1,3 +1,3 @@
-from .trajectory import rank_announced_cameras
+from .trajectory import rank_announced_cameras, read_current_rankings
 
-__all__ = ["rank_announced_cameras"]
+__all__ = ["rank_announced_cameras", "read_current_rankings"]

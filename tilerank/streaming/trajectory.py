@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..constants import DEFAULT_LEVELS
@@ -28,7 +28,8 @@ def rank_announced_cameras(
     A camera is announced once its rows are in ``mask``. A ranking needs all pairs of
     its camera, so what streams is the announcement and not the mask: a camera is always
     ranked whole. Each micro-batch replaces the folder ``batch_id=<n>`` below
-    ``output``, so one that is run again after a failure leaves no repeats.
+    ``output``, so one that is run again after a failure leaves no repeats. A camera that
+    is announced again is ranked again; ``read_current_rankings`` gives its latest ranking.
 
     ``camera_sizes`` and the other options are those of ``rank_trajectory``.
 
@@ -63,3 +64,14 @@ def rank_announced_cameras(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_current_rankings(spark: SparkSession, output: str) -> DataFrame:
+    """What ``rank_announced_cameras`` has written, each camera by its latest ranking.
+
+    The latest batch of each camera is a small table; rows of earlier ones drop out by a
+    semi join.
+    """
+    written = spark.read.parquet(output)
+    latest = written.groupBy("camera_uid").agg(F.max("batch_id").alias("batch_id"))
+    return written.join(latest, ["camera_uid", "batch_id"], "left_semi").drop("batch_id")
