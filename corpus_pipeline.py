@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from local_session import with_folder
 from tilerank.llm import minhash, packing, quality, secret_scan, toxicity
 from tilerank.llm.queries import read
-from tilerank.sources.workspace import stored
+from tilerank.sources.workspace import scratch_path, stored, workspace
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +25,9 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id."""
-    return minhash.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates, that with the smallest doc_id. Texts
+    are linked if their sets of 5-word shingles are alike at 0.8 or more."""
+    return minhash.drop_near_duplicates(docs, percent=80)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,19 +41,26 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("toxicity", toxicity_filter),
-    ("minhash_near_dedup", near_dedup),
-    ("secret_scans", secret_scans),
-    ("best_fit_packing", best_fit_packing),
+    ("quality_rules", with_folder(quality_rules)),
+    ("toxicity", with_folder(toxicity_filter)),
+    ("minhash_near_dedup", with_folder(near_dedup)),
+    ("secret_scans", with_folder(secret_scans)),
+    ("best_fit_packing", with_folder(best_fit_packing)),
 ]
 
 # Learned verdicts and packing have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+@with_folder
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. What they wrote on the way goes when the bins are
+    written; the bins themselves stay in the shared folder."""
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
-    return docs
+    bins = scratch_path(spark, "bins")
+    with workspace(spark):
+        for name, stage in STAGES[:-1]:
+            docs = stored(stage(spark, docs, sf_dir), name)
+        packed = STAGES[-1][1](spark, docs, sf_dir)
+        packed.write.parquet(bins)
+    return spark.read.schema(packed.schema).parquet(bins)
