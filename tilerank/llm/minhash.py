@@ -20,9 +20,8 @@ from .components import UnionFind, components
 from .words import mix, shingles
 
 SLOTS = 256
-BAND_ROWS = 7
-BANDS = SLOTS // BAND_ROWS
 PERCENT = 85
+MISS = 1e-5
 PART_SHINGLES = 1_000_000
 
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -66,18 +65,25 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return rows
 
 
-def band_keys(rows: np.ndarray) -> np.ndarray:
+def band_width(percent: int, miss: float = MISS) -> int:
+    """The most slots a band may have for a pair just similar enough to meet in none of the
+    bands with a chance of ``miss`` at most: 7 at 85 percent, 6 at 80."""
+    alike = percent / 100
+    return max(r for r in range(1, 33) if r == 1 or (1 - alike**r) ** (SLOTS // r) <= miss)
+
+
+def band_keys(rows: np.ndarray, width: int) -> np.ndarray:
     """One 64-bit key per set and band; equal slots of a band give equal keys."""
-    keys = np.empty((len(rows), BANDS), dtype=np.uint64)
-    for band in range(BANDS):
+    keys = np.empty((len(rows), SLOTS // width), dtype=np.uint64)
+    for band in range(keys.shape[1]):
         key = np.full(len(rows), band + 1, dtype=np.uint64)
-        for slot in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
+        for slot in range(band * width, (band + 1) * width):
             key = mix(key * np.uint64(_GOLDEN) + rows[:, slot].astype(np.uint64))
         keys[:, band] = key
     return keys.view(np.int64)
 
 
-def _sketch(texts: list[bytes]):
+def _sketch(texts: list[bytes], width: int):
     sizes, digests, keys = [], [], []
     part: list[np.ndarray] = []
     empty = np.empty(0, dtype=np.int64)
@@ -85,7 +91,7 @@ def _sketch(texts: list[bytes]):
     held = 0
 
     def flush() -> None:
-        for place, row in zip(places, band_keys(signatures(part)), strict=True):
+        for place, row in zip(places, band_keys(signatures(part), width), strict=True):
             keys[place] = row
         part.clear()
         places.clear()
@@ -106,13 +112,16 @@ def _sketch(texts: list[bytes]):
     return [sizes, digests, keys]
 
 
-def sketch(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def sketch(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT
+) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``digest`` of the shingle set and the ``bands`` keys."""
+    width = band_width(percent)
     return map_texts(
         docs.select(F.col(quoted(id_col)).cast("bigint").alias("doc_id"), F.col(quoted(text)).alias("_text")),
         "_text",
         [("n_shingles", "bigint"), ("digest", "binary"), ("bands", "array<bigint>")],
-        _sketch,
+        lambda texts: _sketch(texts, width),
         ["doc_id"],
     )
 
@@ -219,11 +228,11 @@ def near_duplicates(
     without a doc_id are linked with nothing: null component, kept. Repeated rows of one
     doc_id stay together. Other columns of ``docs`` are ignored.
 
-    A pair at 0.85 shares none of the 36 bands of 7 rows with a probability of 1e-6, more
-    similar ones more rarely. What bands propose is confirmed on full sets. A group of more
+    A pair just similar enough shares no band with a chance of at most 1e-5, more similar
+    ones more rarely (see ``band_width``). What bands propose is confirmed on full sets. A group of more
     than ``part_shingles`` shingles is split, and its parts meet in pairs.
     """
-    known = stored(sketch(docs, id_col, text), "sketches")
+    known = stored(sketch(docs, id_col, text, percent), "sketches")
     named = known.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(
         named.groupBy("digest").agg(F.min("doc_id").alias("class_id")),
