@@ -292,8 +292,10 @@ def test_one_level(spark):
 
 def test_nothing_to_rank(tables):
     tiles, cameras, mask = tables
-    assert rank_trajectory(tiles.where("false"), cameras, mask, LEVELS).count() == 0
-    assert rank_trajectory(tiles, cameras.where("false"), mask, LEVELS).count() == 0
+    assert rank_trajectory(tiles.where("false"), cameras, mask, LEVELS, unknown="drop").count() == 0
+    with pytest.raises(PySparkException, match="not known"):
+        rank_trajectory(tiles.where("false"), cameras, mask, LEVELS).count()
+    assert rank_trajectory(tiles, cameras.where("false"), mask, LEVELS, unknown="drop").count() == 0
     assert rank_trajectory(tiles, cameras, mask.where("false"), LEVELS).count() == 0
     assert rank_first_camera(tiles, cameras.where("false"), mask, LEVELS).count() == 0
     assert rank_first_camera(tiles.where("false"), cameras, mask, LEVELS).count() == 0

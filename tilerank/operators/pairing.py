@@ -36,7 +36,7 @@ def pair_by_mask(
 ) -> DataFrame:
     """Mask rows with ``tile_idx`` and the camera's ``distance`` to the tile's centre.
 
-    A row that names no known tile or camera has no distance: computing it is an error,
+    A row that names no known tile or camera is an error when the result is computed,
     unless ``unknown`` is "drop", which leaves such rows out.
 
     The camera is looked up last: if that lookup shuffles, the ranking that follows
@@ -73,7 +73,8 @@ def pair_by_mask(
             F.lit(", tile "),
             F.coalesce(F.col("tile_index").cast("string"), F.lit("NULL")),
         )
-        distance = F.when(known, distance).otherwise(F.raise_error(message))
+        # In a filter, so that it is evaluated whichever columns are asked for.
+        rows = rows.where(F.when(known, True).otherwise(F.raise_error(message)))
     return rows.select(
         "camera_uid", "tile_index", "tile_idx", "visible", distance.alias("distance")
     )
