@@ -27,12 +27,16 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """``wanted``, lengthened until the table has no column of that name in any case."""
-    taken = {column.lower() for column in df.columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
+def filtered(docs: DataFrame, text: str, judge: Callable[[DataFrame, str, list[str]], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` leaves, with the columns of ``docs``.
+
+    ``judge`` gets the rows under column names that clash with nothing, the name of the text
+    and the names to keep.
+    """
+    names = docs.columns
+    plain = [f"_column{place}" for place in range(len(names))]
+    kept = judge(docs.toDF(*plain), plain[names.index(text)], plain)
+    return kept.select(*plain).toDF(*names)
 
 
 def map_texts(
@@ -45,25 +49,28 @@ def map_texts(
     """``keep`` columns of each row, and what ``compute`` makes of the texts.
 
     ``compute`` gets the UTF-8 bytes of a batch of texts (a null text is empty) and returns
-    one sequence per field. A field replaces a kept column of the same name.
+    one sequence per field. A field replaces a kept column of the same name. A text that is
+    kept travels once.
     """
     new = {name.lower() for name, _ in fields}
     kept = [name for name in keep if name.lower() not in new]
+    once = text in kept and isinstance(df.schema[text].dataType, T.StringType)
     narrow = df.select(
         *[F.col(quoted(name)) for name in kept],
-        F.col(quoted(text)).cast("string").alias("\x00text"),
+        *([] if once else [F.col(quoted(text)).cast("string").alias("\x00text")]),
     )
     schema = T.StructType(
         [narrow.schema[i] for i in range(len(kept))]
-        + [T.StructField(name, T._parse_datatype_string(kind)) for name, kind in fields]
+        + [T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in fields]
     )
     names = [*kept, *[name for name, _ in fields]]
     kinds = [ARROW[kind] for _, kind in fields]
     width = len(kept)
+    text_at = kept.index(text) if once else width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(width).cast(pa.binary()).to_pylist()
+            texts = batch.column(text_at).cast(pa.binary()).to_pylist()
             made = compute([b"" if value is None else value for value in texts])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(width)]

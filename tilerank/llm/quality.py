@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .arrow import free_name, map_texts, quoted
+from .arrow import filtered, map_texts, quoted
 from .words import repeated_run_words, word_ids
 
 SAMPLE_ROWS = 20_000
@@ -307,11 +307,4 @@ def filter_documents(docs: DataFrame, rules: DecisionList, text: str = "text") -
 
     Columns of ``docs`` that are named like a statistic are kept as they are.
     """
-    names = docs.columns
-    held = free_name(docs, "_row")
-    packed = docs.select(
-        F.struct(*[F.col(quoted(name)) for name in names]).alias(held),
-        F.col(quoted(text)).alias("_text"),
-    )
-    kept = judge(packed, rules, "_text", [held]).where("kept")
-    return kept.select(*[F.col(held)[name].alias(name) for name in names])
+    return filtered(docs, text, lambda rows, body, keep: judge(rows, rules, body, keep).where("kept"))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from .arrow import free_name, map_texts, quoted
+from .arrow import map_texts, quoted
 from .automaton import Automaton, match_automaton, origin_automaton, search_automaton
 
 
@@ -172,19 +172,15 @@ def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -
     def compute(texts: list[bytes]):
         return [[_redacted(scanner, data).decode("utf-8", "replace") for data in texts]]
 
-    names, held = docs.columns, free_name(docs, "_row")
-    packed = docs.select(
-        F.struct(*[F.col(quoted(name)) for name in names]).alias(held),
-        F.col(quoted(text)).alias("_text"),
-    )
-    made = map_texts(packed, "_text", [("_clean", "string")], compute, [held])
-    row = F.col(held)
-    return made.select(
-        *[
-            (F.when(row[name].isNotNull(), F.col("_clean")) if name == text else row[name]).alias(name)
-            for name in names
-        ]
-    )
+    # Under plain names, which clash with nothing; the old text does not come back.
+    names = docs.columns
+    plain = [f"_column{place}" for place in range(len(names))]
+    body = plain[names.index(text)]
+    rows = docs.toDF(*plain).withColumn("_has_text", F.col(body).isNotNull())
+    others = [name for name in plain if name != body]
+    made = map_texts(rows, body, [("_clean", "string")], compute, [*others, "_has_text"])
+    clean = F.when(F.col("_has_text"), F.col("_clean")).alias(body)
+    return made.select(*[clean if name == body else name for name in plain]).toDF(*names)
 
 
 def with_length(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:

@@ -15,7 +15,7 @@ from zlib import crc32
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .arrow import free_name, map_texts, quoted
+from .arrow import filtered, map_texts, quoted
 
 SAMPLE_ROWS = 8_000
 BUCKETS = 1 << 20
@@ -113,9 +113,9 @@ class Scorer(dict):
 def learn(
     texts: list[bytes],
     toxic: np.ndarray,
-    epochs: int = 160,
+    epochs: int = 250,
     rate: float = 0.4,
-    shrink: float = 2e-4,
+    shrink: float = 1e-4,
     least_documents: int = 3,
     least_deviation: float = 4.0,
 ) -> ToxicityModel:
@@ -263,11 +263,8 @@ def filter_documents(
     docs: DataFrame, model: ToxicityModel, text: str = "text", limit: float = 0.5
 ) -> DataFrame:
     """The rows of ``docs`` that score below ``limit``, with the columns of ``docs``."""
-    names = docs.columns
-    held = free_name(docs, "_row")
-    packed = docs.select(
-        F.struct(*[F.col(quoted(name)) for name in names]).alias(held),
-        F.col(quoted(text)).alias("_text"),
+    return filtered(
+        docs,
+        text,
+        lambda rows, body, keep: score_documents(rows, model, body, keep).where(F.col("score") < limit),
     )
-    kept = score_documents(packed, model, "_text", [held]).where(F.col("score") < limit)
-    return kept.select(*[F.col(held)[name].alias(name) for name in names])
