@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .arrow import quoted
 
 CAPACITY = 8192
-ROWS_PER_TASK = 20_000
+ROWS_PER_TASK = 10_000
 
 ALL = -1  # a bitmap with every bit set: no bin at all
 
