@@ -226,7 +226,8 @@ def near_duplicates(
     doc_id reachable by links, itself included; ``kept`` is whether that is the row's own. A
     null or empty text, or one without words, has no shingle and is its own component. Rows
     without a doc_id are linked with nothing: null component, kept. Repeated rows of one
-    doc_id stay together. Other columns of ``docs`` are ignored.
+    doc_id stay together; under one doc_id there should be one text, and rows that differ are
+    judged by their own. Other columns of ``docs`` are ignored.
 
     A pair just similar enough shares no band with a chance of at most 1e-5, more similar
     ones more rarely (see ``band_width``). What bands propose is confirmed on full sets. A group of more
@@ -274,7 +275,7 @@ def near_duplicates(
             [("shingles", "binary")],
             _sets,
             ["doc_id"],
-        ).dropDuplicates(["doc_id"]),
+        ).distinct(),
         "sets",
     )
     links = stored(confirm(star, sets, percent), "links")
