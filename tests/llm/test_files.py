@@ -47,6 +47,32 @@ def test_templates_of_bad_urls_are_blocked(spark):
     assert verdicts == {("/shop/<n>", "block"), ("/<~blog>/<n>", "allow")}
 
 
+def test_many_even_sections_and_rare_ones_keep_their_own_verdicts(spark):
+    # 40 sections of equal size, two of them wholly bad.
+    rows = [(f"http://even.test/part{p}/{i}", p in (7, 31)) for p in range(40) for i in range(20)]
+    # Sections from good to wholly bad in small steps: neighbours are alike, the ends are not.
+    rows += [(f"http://steps.test/part{p}/{i}", i < p) for p in range(31) for i in range(30)]
+    # Rare sections of a hot host, one of them wholly bad and the other without labels.
+    rows += [(f"http://hot.test/en/{i}", False if i < 400 else None) for i in range(1000)]
+    rows += [(f"http://hot.test/de/{i}", True) for i in range(12)]
+    rows += [(f"http://hot.test/it/{i}", None) for i in range(12)]
+    # Numbers stay numbers.
+    rows += [(f"http://hot.test/en/{i}", False) for i in range(100) for _ in range(3)]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "page_id bigint, url string, bad boolean")
+    judged = url_filter.judge_urls(df, bad="bad", rules=()).collect()
+    assert len(judged) == len(rows)
+    found = {}
+    for r in judged:
+        found.setdefault((r.host, r.path.split("/")[1]), set()).add(r.verdict)
+    assert all(len(v) == 1 for v in found.values())
+    blocked = {key for key, v in found.items() if v == {"block"}}
+    assert {k for k in blocked if k[0] == "even.test"} == {("even.test", "part7"), ("even.test", "part31")}
+    assert {("steps.test", "part30"), ("steps.test", "part29")} <= blocked
+    assert not {("steps.test", f"part{p}") for p in range(20)} & blocked
+    assert {k for k in blocked if k[0] == "hot.test"} == {("hot.test", "de")}
+    assert {r.template for r in judged if r.path.startswith("/en/")} == {"/en/<n>"}
+
+
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert url_filter.judge_urls(none).count() == 0

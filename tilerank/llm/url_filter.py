@@ -24,6 +24,8 @@ LEAST_SUPPORT = 3
 LEAST_SHARE = 0.05
 LEAST_LABELLED = 5
 DEVIATIONS = 1.96
+BANDS = 200
+SPLIT_BANDS = 20
 PRIOR_WEIGHT = 4.0
 PURITY = 0.8
 
@@ -53,6 +55,66 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]])
     return rule, verdict
 
 
+def _apart(bad: Column, labelled: Column, bad_0: Column, labelled_0: Column, deviations: float) -> Column:
+    """Whether the first bad share exceeds the second by more than chance explains."""
+    together = (bad + bad_0 + 1) / (labelled + labelled_0 + 2)
+    return (bad / labelled - bad_0 / labelled_0) > deviations * F.sqrt(
+        together * (1 - together) * (1 / labelled + 1 / labelled_0)
+    )
+
+
+def _merged(literal: DataFrame, deviations: float) -> DataFrame:
+    """``_merged``, the common name, for each literal segment that is like another one."""
+    node = ["host", "template"]
+    in_band = literal.withColumn("_band", F.floor(F.col("_bad") * BANDS / F.col("_labelled")))
+    # At most BANDS + 1 rows a node, however many siblings it has.
+    bands = in_band.groupBy(*node, "_band").agg(
+        F.avg("_bad").alias("_bad"),
+        F.avg("_labelled").alias("_labelled"),
+        F.sum("_bad").alias("_all_bad"),
+        F.sum("_labelled").alias("_all_labelled"),
+    )
+    by_share = Window.partitionBy(*node).orderBy("_band")
+    apart = _apart(
+        F.col("_bad"),
+        F.col("_labelled"),
+        F.lag("_bad").over(by_share),
+        F.lag("_labelled").over(by_share),
+        deviations,
+    )
+    in_group = Window.partitionBy(*node, "_group")
+    counts = F.struct("_bad", "_labelled")
+    grouped = (
+        bands.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int"))
+        .withColumn("_group", F.sum("_new").over(by_share))
+        .withColumn("_low", F.min_by(counts, "_band").over(in_group))
+        .withColumn("_high", F.max_by(counts, "_band").over(in_group))
+        .withColumn("_mean", F.sum("_all_bad").over(in_group) / F.sum("_all_labelled").over(in_group))
+        .withColumn(
+            "_split",
+            _apart(
+                F.col("_high._bad"),
+                F.col("_high._labelled"),
+                F.col("_low._bad"),
+                F.col("_low._labelled"),
+                2 * deviations,
+            ),
+        )
+        .select(*node, "_band", "_group", "_mean", "_split")
+    )
+    smoothed = (F.col("_bad") + PRIOR_WEIGHT * F.col("_mean")) / (F.col("_labelled") + PRIOR_WEIGHT)
+    part = F.when(F.col("_split"), F.floor(smoothed * SPLIT_BANDS)).otherwise(F.lit(-1))
+    placed = in_band.join(grouped, [*node, "_band"]).withColumn("_part", part)
+    names = (
+        placed.groupBy(*node, "_group", "_part")
+        .agg(F.count(F.lit(1)).alias("_many"), F.min("_segment").alias("_name"))
+        .where(F.col("_many") > 1)
+    )
+    return placed.join(names, [*node, "_group", "_part"]).select(
+        *node, "_segment", F.concat(F.lit("<~"), "_name", F.lit(">")).alias("_merged")
+    )
+
+
 def path_templates(
     paths: DataFrame,
     levels: int = LEVELS,
@@ -64,12 +126,15 @@ def path_templates(
     """Add ``template`` to distinct (host, path) with ``n``, ``n_labelled`` and ``n_bad``.
 
     Per host a tree of segments is built, level by level. A segment stays itself if its node
-    has at least ``least_support`` urls and a share of ``least_share`` of its parent's;
-    otherwise it is variable and becomes ``<n>`` (digits, with or without an extension) or
-    ``<*>``. Of the literal branches below a node, those with ``least_labelled`` labelled
-    urls are put in the order of their bad shares; neighbours whose shares differ by at most
-    ``deviations`` standard deviations are alike, and alike ones become one branch, ``<~x>``,
-    x being the first of their names. What lies below
+    has at least ``least_support`` urls and either ``least_labelled`` labelled ones, however
+    many siblings it has, or a share of ``least_share`` of its parent's; otherwise it is
+    variable and becomes ``<n>`` (digits, with or without an extension) or ``<*>``. Of the
+    literal branches below a node, those with ``least_labelled`` labelled urls are counted in
+    ``BANDS`` bands of bad share; neighbouring bands whose shares differ by at most
+    ``deviations`` standard deviations of their mean branches are alike, and the branches of
+    alike ones become one, ``<~x>``, x being the first of their names. Where a row of alike
+    bands has ends that differ by twice as much, its branches are instead put together by
+    ``SPLIT_BANDS`` bands of smoothed share. What lies below
     ``levels`` segments becomes ``<..>``. Counts are pre-aggregated per node, and no host is
     gathered anywhere.
     """
@@ -89,28 +154,13 @@ def path_templates(
         parents = nodes.groupBy("host", "template").agg(F.sum("_n").alias("_parent_n"))
         literal = (
             nodes.join(parents, ["host", "template"])
-            .where((F.col("_n") >= least_support) & (F.col("_n") >= F.col("_parent_n") * least_share))
+            .where(
+                (F.col("_n") >= least_support)
+                & ((F.col("_labelled") >= least_labelled) | (F.col("_n") >= F.col("_parent_n") * least_share))
+            )
             .drop("_parent_n", "_n")
         )
-        # At most 1 / least_share literal branches per node: a window of bounded size.
-        siblings = Window.partitionBy("host", "template").orderBy("_share", "_segment")
-        together = (F.col("_bad") + F.lag("_bad").over(siblings) + 1) / (
-            F.col("_labelled") + F.lag("_labelled").over(siblings) + 2
-        )
-        apart = (F.col("_share") - F.lag("_share").over(siblings)) > deviations * F.sqrt(
-            together * (1 - together) * (1 / F.col("_labelled") + 1 / F.lag("_labelled").over(siblings))
-        )
-        group = ["host", "template", "_group"]
-        merged = (
-            literal.where(F.col("_labelled") >= least_labelled)
-            .withColumn("_share", F.col("_bad") / F.col("_labelled"))
-            .withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int"))
-            .withColumn("_group", F.sum("_new").over(siblings))
-            .withColumn("_many", F.count(F.lit(1)).over(Window.partitionBy(*group)) > 1)
-            .withColumn("_name", F.min("_segment").over(Window.partitionBy(*group)))
-            .where("_many")
-            .select("host", "template", "_segment", F.concat(F.lit("<~"), "_name", F.lit(">")).alias("_merged"))
-        )
+        merged = _merged(literal.where(F.col("_labelled") >= least_labelled), deviations)
         branches = literal.join(merged, ["host", "template", "_segment"], "left").select(
             "host", "template", "_segment", F.coalesce("_merged", "_segment").alias("_branch")
         )
