@@ -73,6 +73,21 @@ def test_many_even_sections_and_rare_ones_keep_their_own_verdicts(spark):
     assert {r.template for r in judged if r.path.startswith("/en/")} == {"/en/<n>"}
 
 
+def test_deep_branches_have_templates_of_their_own(spark):
+    rows = [(f"http://h.test/a/b/c/d/e/{part}/{i}", part == "shop") for part in ("shop", "news") for i in range(30)]
+    rows += [("http://one.test/a/b/c/d/e/f/1", None)] * 3 + [("http://two.test/a/2/c/d/e/6.html", None)]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "page_id bigint, url string, bad boolean")
+    judged = url_filter.judge_urls(df, bad="bad", rules=())
+    assert {(r.template, r.verdict) for r in judged.collect()} == {
+        ("/a/b/c/d/e/shop/<n>", "block"),
+        ("/a/b/c/d/e/news/<n>", "allow"),
+        ("/a/b/c/d/e/f/1", "allow"),
+        ("/<*>/<n>/<*>/<*>/<*>/<n>", "allow"),
+    }
+    cut = url_filter.judge_urls(df, bad="bad", rules=(), levels=2).select("template").distinct().collect()
+    assert {r.template for r in cut} == {"/a/b/<..>", "/<*>/<n>/<..>"}
+
+
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert url_filter.judge_urls(none).count() == 0

@@ -6,6 +6,7 @@ Everything here is DataFrame expressions, aggregates and joins.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,7 +20,7 @@ RULES = (
     ("example.com/de/", "block"),
     ("org/fr/", "allow"),
 )
-LEVELS = 4
+LEVELS = 4  # of the SQL form, whose tables have three segments at most
 LEAST_SUPPORT = 3
 LEAST_SHARE = 0.05
 LEAST_LABELLED = 5
@@ -30,6 +31,8 @@ PRIOR_WEIGHT = 4.0
 PURITY = 0.8
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Digits, with or without an extension.
+_NUMBER = r"^[0-9]+(\.[A-Za-z0-9]+)?$"
 # Host up to the first of / ? #, path up to the first of ? #, after the first "://".
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -115,9 +118,19 @@ def _merged(literal: DataFrame, deviations: float) -> DataFrame:
     )
 
 
+def _variable(segment: Column) -> Column:
+    return F.when(segment.rlike(_NUMBER), "<n>").otherwise("<*>")
+
+
+def _lone(rest: Column, n: Column, least_support: int) -> Column:
+    """The template of segments that no other path shares, or that have too few urls."""
+    names = F.when(n >= least_support, rest).otherwise(F.transform(rest, _variable))
+    return F.array_join(F.transform(names, lambda name: F.concat(F.lit("/"), name)), "")
+
+
 def path_templates(
     paths: DataFrame,
-    levels: int = LEVELS,
+    levels: int | None = None,
     least_support: int = LEAST_SUPPORT,
     least_share: float = LEAST_SHARE,
     least_labelled: int = LEAST_LABELLED,
@@ -134,26 +147,36 @@ def path_templates(
     ``deviations`` standard deviations of their mean branches are alike, and the branches of
     alike ones become one, ``<~x>``, x being the first of their names. Where a row of alike
     bands has ends that differ by twice as much, its branches are instead put together by
-    ``SPLIT_BANDS`` bands of smoothed share. What lies below
-    ``levels`` segments becomes ``<..>``. Counts are pre-aggregated per node, and no host is
-    gathered anywhere.
+    ``SPLIT_BANDS`` bands of smoothed share. The
+    levels go on while any node has ``least_support`` urls on two paths or more; what lies
+    below other nodes needs no counts. Only if ``levels`` are given, what lies below so many
+    segments becomes ``<..>``. Counts are pre-aggregated per node, and no host is gathered
+    anywhere.
     """
     segments = F.split(F.regexp_replace("path", "^/", ""), "/")
-    rows = paths.withColumn("_segments", segments).withColumn("template", F.lit(""))
-    for level in range(levels):
+    below = F.lit("")
+    if levels is not None:
+        below = F.when(F.size(segments) > levels, "/<..>").otherwise("")
+        segments = F.slice(segments, 1, levels)
+    rows = paths.withColumns({"_below": below, "_segments": segments, "template": F.lit("")})
+    node = ["host", "template"]
+    done, level = [], 0
+    while levels is None or level < levels:
+        # Rows that have a segment at this level; the others are done.
+        counted = rows.groupBy(*node).agg(F.sum("n").alias("_parent_n"), F.count(F.lit(1)).alias("_paths"))
+        parents = stored(
+            counted.where((F.col("_parent_n") >= least_support) & (F.col("_paths") > 1)).drop("_paths"), "nodes"
+        )
+        if parents.isEmpty():
+            break
         rows = rows.withColumn("_segment", F.get("_segments", F.lit(level)))
-        nodes = (
-            rows.where(F.col("_segment").isNotNull())
-            .groupBy("host", "template", "_segment")
-            .agg(
-                F.sum("n").alias("_n"),
-                F.sum("n_labelled").alias("_labelled"),
-                F.sum("n_bad").alias("_bad"),
-            )
+        nodes = rows.groupBy(*node, "_segment").agg(
+            F.sum("n").alias("_n"),
+            F.sum("n_labelled").alias("_labelled"),
+            F.sum("n_bad").alias("_bad"),
         )
-        parents = nodes.groupBy("host", "template").agg(F.sum("_n").alias("_parent_n"))
         literal = (
-            nodes.join(parents, ["host", "template"])
+            nodes.join(parents, node)
             .where(
                 (F.col("_n") >= least_support)
                 & ((F.col("_labelled") >= least_labelled) | (F.col("_n") >= F.col("_parent_n") * least_share))
@@ -161,27 +184,32 @@ def path_templates(
             .drop("_parent_n", "_n")
         )
         merged = _merged(literal.where(F.col("_labelled") >= least_labelled), deviations)
-        branches = literal.join(merged, ["host", "template", "_segment"], "left").select(
-            "host", "template", "_segment", F.coalesce("_merged", "_segment").alias("_branch")
+        branches = literal.join(merged, [*node, "_segment"], "left").select(
+            *node, "_segment", F.coalesce("_merged", "_segment").alias("_branch")
         )
-        variable = F.when(F.col("_segment").rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$"), "<n>").otherwise("<*>")
+        # A node that is no parent has one path, or too few urls for any literal segment.
+        found = rows.join(parents, node, "left").join(branches, [*node, "_segment"], "left")
+        rest = F.slice("_segments", level + 1, F.greatest(F.size("_segments") - level, F.lit(0)))
         # Written, as the next level reads it twice.
-        rows = stored(
-            rows.join(branches, ["host", "template", "_segment"], "left")
+        moved = stored(
+            found.withColumn("_open", F.col("_parent_n").isNotNull() & (F.size("_segments") > level + 1))
             .withColumn(
                 "template",
                 F.when(
-                    F.col("_segment").isNotNull(),
-                    F.concat("template", F.lit("/"), F.coalesce("_branch", variable)),
-                ).otherwise(F.col("template")),
+                    F.col("_parent_n").isNotNull(),
+                    F.concat("template", F.lit("/"), F.coalesce("_branch", _variable(F.col("_segment")))),
+                ).otherwise(F.concat("template", _lone(rest, F.col("n"), least_support))),
             )
-            .drop("_segment", "_branch"),
+            .drop("_segment", "_branch", "_parent_n"),
             "templates",
         )
-    deeper = F.size("_segments") > levels
-    return rows.withColumn(
-        "template", F.when(deeper, F.concat("template", F.lit("/<..>"))).otherwise(F.col("template"))
-    ).drop("_segments")
+        done.append(moved.where(~F.col("_open")).drop("_open"))
+        rows = moved.where("_open").drop("_open")
+        level += 1
+    rest = F.slice("_segments", level + 1, F.greatest(F.size("_segments") - level, F.lit(0)))
+    done.append(rows.withColumn("template", F.concat("template", _lone(rest, F.col("n"), least_support))))
+    placed = reduce(DataFrame.unionByName, done)
+    return placed.withColumn("template", F.concat("template", "_below")).drop("_segments", "_below")
 
 
 def judge_urls(
