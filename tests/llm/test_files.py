@@ -203,6 +203,41 @@ def test_templates_that_rewrite_history_are_found():
     assert "".join(s.output for s in spans) == chat.instruction_template(turns)
 
 
+def test_long_conversations_are_rendered_whole(spark):
+    turns = [("user" if n else "system", f"t{n}") for n in range(150)]
+
+    def numbers(held):
+        return "".join(f"{t}({n})" for n, (_, t) in enumerate(held))
+
+    def needs_start(held):
+        if held and held[0][0] != "system":
+            raise ValueError("no start")
+        return "".join(f"<{t}>" for _, t in held)
+
+    def forgets(held):
+        return "".join(f"<{t}>" for _, t in held[-40:])
+
+    def marks_late_turns(held):
+        return "".join(f"<{t}>" + "!" * (n > 100) for n, (_, t) in enumerate(held))
+
+    for template in (numbers, needs_start, marks_late_turns, chat.instruction_template):
+        for n in (31, 32, 33, 64, 100, 150):
+            spans = list(chat.incremental_spans(turns[:n], template))
+            whole = [template(turns[: k + 1])[len(template(turns[:k])) :] for k in range(n)]
+            assert [s.output for s in spans] == whole
+            assert [s.output[s.begin : s.end] for s in spans] == [t for _, t in turns[:n]]
+    assert len(list(chat.incremental_spans(turns[:40], forgets))) == 40
+    with pytest.raises(chat.RewritesHistory, match="turn 40 "):
+        list(chat.incremental_spans(turns, forgets))
+
+    rows = [(c, n, f"r{n}", f"t{n}") for c in (1, 2) for n in range(70)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    parts = chat.format_conversations(df, template=numbers).collect()
+    assert sorted((p.conv_id, p.turn_no, p.role, p.output) for p in parts) == [
+        (c, n, f"r{n}", f"t{n}({n})") for c in (1, 2) for n in range(70)
+    ]
+
+
 def test_loser_tree_merges_runs():
     rng = np.random.default_rng(8)
     for k in range(0, 12):

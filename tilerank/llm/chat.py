@@ -8,6 +8,7 @@ the beginning of the later one, the template rewrites history, and that is an er
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -91,36 +92,96 @@ def _grown(before: str, after: str, turn: int) -> str:
     return after[len(before) :]
 
 
-def incremental_spans(turns: Iterable[Turn], template: Template, window: int = WINDOW) -> Iterator[Span]:
+def _span(held: list[Turn], turn: Turn, before: str, template: Template, number: int) -> tuple[Span, str]:
+    """The span of ``turn`` after ``held``, which are rendered as ``before``, and all of it rendered."""
+    after = template([*held, turn])
+    output = _grown(before, after, number)
+    probed = _grown(before, template([*held, (turn[0], _PROBE)]), number)
+    begin = probed.find(_PROBE)
+    if begin < 0:
+        begin = end = len(output)  # this template leaves the text out
+    else:
+        end = len(output) - (len(probed) - begin - len(_PROBE))
+    return Span(output, begin, end), after
+
+
+class _Recent:
+    """Spans from the last turns alone: when ``2 * window`` are held, the first half goes, and
+    the last turn must look the same without it, else the template reaches back too far."""
+
+    def __init__(self, template: Template, window: int):
+        self.template, self.window = template, window
+        self.held: list[Turn] = []
+        self.before = ""
+
+    def add(self, number: int, turn: Turn) -> Span:
+        span, self.before = _span(self.held, turn, self.before, self.template, number)
+        self.held.append(turn)
+        if len(self.held) >= 2 * self.window:
+            self.held = self.held[self.window :]
+            self.before = self.template([*self.held])
+            if _grown(self.template(self.held[:-1]), self.before, number) != span.output:
+                raise RewritesHistory(f"turn {number} depends on turns more than {self.window} before it")
+        return span
+
+
+def incremental_spans(
+    turns: Iterable[Turn], template: Template, window: int | None = None
+) -> Iterator[Span]:
     """One Span per turn; joined, their outputs are the formatted conversation.
 
-    Conversations of up to ``2 * window`` turns are rendered prefix by prefix. Of longer ones
-    only the last turns are held: when ``2 * window`` are, the first half goes, and the last
-    turn must look the same without it, else the template reaches back too far. So work and
-    memory do not grow with the square of a conversation.
+    Conversations of up to ``2 * WINDOW`` turns are rendered prefix by prefix. Of longer ones
+    the last turns are, and the whole conversation whenever its length has doubled and at its
+    end; spans are given out once the whole agrees with them. So work grows in proportion to
+    a conversation. Where the whole disagrees, or the last turns alone cannot be rendered, all
+    prefixes are rendered from the last agreement on, with the square of the length.
+
+    A given ``window`` promises that the template reaches back no further. Then only
+    ``2 * window`` turns are held, the whole is never rendered, and a template that is seen to
+    break the promise is an error.
     """
+    recent: _Recent | None = _Recent(template, window or WINDOW)
+    if window is not None:
+        for number, turn in enumerate(turns):
+            yield recent.add(number, turn)
+        return
     held: list[Turn] = []
-    before = ""
+    pending: list[Span] = []
+    whole, n_given = "", 0
+
+    def settled() -> list[Span]:
+        """The spans not yet given out, by the last turns if the whole agrees."""
+        nonlocal recent, whole, n_given
+        if recent is not None:
+            joined = whole + "".join(span.output for span in pending)
+            if len(held) <= 2 * WINDOW or template([*held]) == joined:
+                spans, whole = [*pending], joined
+            else:
+                recent = None
+        if recent is None:
+            spans = []
+            for number in range(n_given, len(held)):
+                span, whole = _span(held[:number], held[number], whole, template, number)
+                spans.append(span)
+        pending.clear()
+        n_given = len(held)
+        return spans
+
     for number, turn in enumerate(turns):
-        after = template([*held, turn])
-        output = _grown(before, after, number)
-        probed = _grown(before, template([*held, (turn[0], _PROBE)]), number)
-        begin = probed.find(_PROBE)
-        if begin < 0:
-            begin = end = len(output)  # this template leaves the text out
-        else:
-            end = len(output) - (len(probed) - begin - len(_PROBE))
-        yield Span(output, begin, end)
         held.append(turn)
-        before = after
-        if len(held) >= 2 * window:
-            held = held[window:]
-            before = template(held)
-            if _grown(template(held[:-1]), before, number) != output:
-                raise RewritesHistory(f"turn {number} depends on turns more than {window} before it")
-
-
-def _spans(template: Template, window: int):
+        if recent is not None:
+            try:
+                pending.append(recent.add(number, turn))
+            except Exception:  # whatever a template says to a part of a conversation
+                recent = None
+        n = len(held)
+        if recent is None or n <= 2 * WINDOW or n & (n - 1) == 0:
+            yield from settled()
+    if pending:
+        yield from settled()
+
+
+def _spans(template: Template, window: int | None):
     names = ["conv_id", "turn_no", "role", "output", "span_start", "text_start", "text_end", "loss"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 3, pa.bool_()]
 
@@ -147,7 +208,7 @@ def _spans(template: Template, window: int):
         row = next(stream, None)
         while row is not None:
             conversation = row[0]
-            role_of: list[str] = []
+            role_of: deque[str] = deque()
 
             def turns(conversation=conversation, role_of=role_of) -> Iterator[Turn]:
                 nonlocal row
@@ -159,7 +220,7 @@ def _spans(template: Template, window: int):
 
             start = 0
             for number, span in enumerate(incremental_spans(turns(), template, window)):
-                role = role_of.pop()
+                role = role_of.popleft()
                 values = (
                     conversation,
                     number,
@@ -190,7 +251,7 @@ def format_conversations(
     turn: str = "turn",
     role: str = "role",
     text: str = "text",
-    window: int = WINDOW,
+    window: int | None = None,
 ) -> DataFrame:
     """One row per turn: ``conv_id``, ``turn_no`` (from 0), ``role``, ``output`` (what the
     turn adds to the formatted conversation), ``span_start``, ``text_start`` and ``text_end``
@@ -199,8 +260,9 @@ def format_conversations(
 
     Turns are ordered by ``turn``, ties by role and text, nulls first; repeated rows are turns
     of their own. A null role or text is empty, rows without a conv_id are one conversation.
-    Within a partition the result is ordered by conversation and turn. A conversation streams
-    through one task with a bounded window of its turns in memory, however long it is.
+    Within a partition the result is ordered by conversation and turn. A conversation goes
+    through one task, which holds its turns, as the template is to be given all of them; with
+    a ``window``, see ``incremental_spans``, it holds ``2 * window``.
     """
     rows = conversations.select(
         F.col(quoted(conv_id)).cast("bigint").alias("conv_id"),
