@@ -1,5 +1,6 @@
 """Near-duplicates: exact components, by brute force, for ordinary and for hot groups."""
 
+import math
 import re
 
 import numpy as np
@@ -151,3 +152,20 @@ def test_embeddings_equal_brute_force(spark):
         for n in (300, 301, 302, 303, 304):
             assert (found[n].n_links, found[n].component_id, found[n].kept) == (0, n, True)
         assert [r.kept for r in rows if r.vec_id is None] == [True]
+
+
+@pytest.mark.parametrize("n", [10_000, 1_000_000, 33_000_000])
+def test_bands_miss_no_more_for_more_rows(n):
+    rng = np.random.default_rng(12)
+    one, other = rng.standard_normal((2, 20_000, 64))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other -= (one * other).sum(axis=1, keepdims=True) * one
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    other = 0.9 * one + math.sqrt(1 - 0.81) * other
+    plan = embeddings.band_plan(n, 0.9, embeddings.MISS)
+    assert len(np.unique(plan)) == plan.size
+    turn = embeddings.band_rotation(64, plan)
+    same = embeddings.band_keys(one, plan, turn) == embeddings.band_keys(other, plan, turn)
+    # Three standard deviations above the stated chance.
+    missed = (~same.any(axis=1)).mean()
+    assert missed < embeddings.MISS + 3 * math.sqrt(embeddings.MISS / len(one)), missed

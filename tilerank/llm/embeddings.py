@@ -51,38 +51,51 @@ def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.packbits(signs, axis=1), factor
 
 
-def band_plan(n: int, bits: int, threshold: float, miss: float, seed: int = SEED) -> np.ndarray:
+def band_plan(n: int, threshold: float, miss: float) -> np.ndarray:
     """Which bits make up each band: about ``log2(n / 128)`` bits a band, so that buckets of
-    unrelated vectors stay small, and as many bands as ``miss`` asks for."""
+    unrelated vectors stay small, and as many bands as ``miss`` asks for. No two bands share a
+    bit, so a pair whose bits agree less often than most does not miss them all at once; the
+    code that bands are cut from is as long as that takes."""
     width = min(max(6, round(math.log2(max(n, 2) / 128))), 30)
     agree = 1 - math.acos(threshold) / math.pi
     n_bands = max(1, math.ceil(math.log(miss) / math.log(1 - agree**width)))
-    chance = np.random.default_rng(seed)
-    return np.array([np.sort(chance.choice(bits, width, replace=False)) for _ in range(n_bands)])
+    return np.arange(n_bands * width).reshape(n_bands, width)
 
 
-def band_keys(codes: np.ndarray, plan: np.ndarray, bits: int) -> np.ndarray:
-    """One number per vector and band; equal ones are equal bits."""
-    signs = np.unpackbits(codes, axis=1, count=bits)
+def band_rotation(dims: int, plan: np.ndarray) -> np.ndarray:
+    """The rotation whose signs the bands are cut from."""
+    return rotation(dims, max(CODE_BITS, plan.size))
+
+
+def band_keys(unit: np.ndarray, plan: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """One number per unit vector and band; equal ones are equal bits."""
     weights = 1 << np.arange(plan.shape[1], dtype=np.int64)
-    return np.stack([signs[:, band].astype(np.int64) @ weights for band in plan], axis=1)
+    keys = np.empty((len(unit), len(plan)), dtype=np.int64)
+    for low in range(0, len(unit), 256):
+        signs = unit[low : low + 256] @ turn[: plan.size].T >= 0
+        for number, band in enumerate(plan):
+            keys[low : low + 256, number] = signs[:, band] @ weights
+    return keys
 
 
-def _pairs_in_block(a, b, same: bool, band: int, threshold: float, deviations: float):
+def _pairs_in_block(
+    a, b, same: bool, band: int, threshold: float, deviations: float, plan: np.ndarray, turn: np.ndarray
+):
     """Links between two blocks of a bucket that meet here for the first time.
 
-    Blocks are (ids, weights, unit vectors, rotated, codes, factors, keys). For a code ``x``
+    Blocks are (ids, weights, unit vectors, rotated, codes, factors). For a code ``x``
     of ``v``, ``<x, q> / <x, v>`` estimates ``<v, q>`` without bias; its error exceeds
     ``deviations * sqrt((1 - f * f) / f / f / (bits - 1))``, f being ``<x, v>``, as rarely as
     a normal exceeds so many deviations. Pairs whose bound stays below the threshold are
     rejected, the others computed. Yields index arrays of linked pairs, some rows of ``a`` at
     a time.
     """
-    ids_a, _, unit_a, turned_a, _, _, keys_a = a
-    _, _, unit_b, _, codes_b, factors_b, keys_b = b
+    ids_a, _, unit_a, turned_a, _, _ = a
+    _, _, unit_b, _, codes_b, factors_b = b
     bits = turned_a.shape[1]
     signs = np.unpackbits(codes_b, axis=1, count=bits).astype(np.float32) * 2 - 1
     spread = np.sqrt(np.maximum(1 - factors_b**2, 0)) / factors_b / math.sqrt(bits - 1)
+    keys_b, known = np.empty((len(unit_b), band), dtype=np.int64), np.zeros(len(unit_b), dtype=bool)
     for low in range(0, len(ids_a), 256):
         rows = slice(low, low + 256)
         estimate = turned_a[rows].astype(np.float32) @ signs.T / math.sqrt(bits)
@@ -91,16 +104,31 @@ def _pairs_in_block(a, b, same: bool, band: int, threshold: float, deviations: f
         i += low
         if same:
             i, j = i[j > i], j[j > i]
-        if band:
-            # A pair counts in the first band whose bits agree.
-            first = (keys_a[i, :band] != keys_b[j, :band]).all(axis=1)
-            i, j = i[first], j[first]
         cosine = np.einsum("ij,ij->i", unit_a[i], unit_b[j])
         near = cosine >= threshold
-        yield i[near], j[near]
+        i, j = i[near], j[near]
+        if band and len(i):
+            # A pair counts in the first band whose bits agree. Only rows with links need keys.
+            rows_a, i_key = np.unique(i, return_inverse=True)
+            rows_b = np.unique(j)
+            keys_a = band_keys(unit_a[rows_a], plan[:band], turn)
+            new_b = rows_b[~known[rows_b]]
+            keys_b[new_b] = band_keys(unit_b[new_b], plan[:band], turn)
+            known[new_b] = True
+            first = np.ones(len(i), dtype=bool)
+            for number in range(band):
+                first &= keys_a[i_key, number] != keys_b[j, number]
+            i, j = i[first], j[first]
+        yield i, j
 
 
-def _group_links(threshold: float, deviations: float, plan: np.ndarray, turns: dict[int, np.ndarray]):
+def _group_links(
+    threshold: float,
+    deviations: float,
+    plan: np.ndarray,
+    turns: dict[int, np.ndarray],
+    band_turns: dict[int, np.ndarray],
+):
     schema = ["class_id", "links", "below"]
 
     def block_of(table: pa.Table):
@@ -117,7 +145,6 @@ def _group_links(threshold: float, deviations: float, plan: np.ndarray, turns: d
             turned,
             codes,
             factors,
-            band_keys(codes, plan, turn.shape[0]),
         )
 
     def bucket(table: pa.Table) -> pa.RecordBatch | None:
@@ -133,7 +160,8 @@ def _group_links(threshold: float, deviations: float, plan: np.ndarray, turns: d
             a, b = block_of(left), block_of(right)
         links_a, links_b = np.zeros(len(a[0]), np.int64), np.zeros(len(b[0]), np.int64)
         sets = UnionFind()
-        for i, j in _pairs_in_block(a, b, one == two, band, threshold, deviations):
+        turn = band_turns[table.column("dims")[0].as_py()]
+        for i, j in _pairs_in_block(a, b, one == two, band, threshold, deviations, plan, turn):
             np.add.at(links_a, i, b[1][j])
             np.add.at(links_b, j, a[1][i])
             for x, y in zip(a[0][i].tolist(), b[0][j].tolist(), strict=True):
@@ -162,7 +190,7 @@ def _group_links(threshold: float, deviations: float, plan: np.ndarray, turns: d
     return run
 
 
-def _prepare(plan: np.ndarray, turns: dict[int, np.ndarray]):
+def _prepare(plan: np.ndarray, band_turns: dict[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, weights = batch.column("class_id"), batch.column("weight")
@@ -174,8 +202,7 @@ def _prepare(plan: np.ndarray, turns: dict[int, np.ndarray]):
                 rows = np.flatnonzero(dims == size)
                 vectors = np.array([lists[r] for r in rows.tolist()], dtype="<f8")
                 unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-                codes, _ = encode(unit, turns[size])
-                found = band_keys(codes, plan, turns[size].shape[0])
+                found = band_keys(unit, plan, band_turns[size])
                 for at, row in enumerate(rows.tolist()):
                     keys[row], raw[row] = found[at], vectors[at].tobytes()
             yield pa.RecordBatch.from_arrays(
@@ -239,11 +266,11 @@ def near_duplicates(
     n = classes.count()
     lengths = [row[0] for row in classes.select(F.size("embedding").cast("bigint")).distinct().collect()]
     turns = {size: rotation(size) for size in lengths}
-    bits = min([CODE_BITS, *[turn.shape[0] for turn in turns.values()]])
-    plan = band_plan(n, bits, threshold, miss)
+    plan = band_plan(n, threshold, miss)
+    band_turns = {size: band_rotation(size, plan) for size in lengths}
 
     prepared = classes.mapInArrow(
-        _prepare(plan, turns),
+        _prepare(plan, band_turns),
         "class_id bigint, weight bigint, dims bigint, vector binary, keys array<bigint>",
     )
     spread = prepared.select(
@@ -270,7 +297,8 @@ def near_duplicates(
         placed.repartition(*order)
         .sortWithinPartitions(*order)
         .mapInArrow(
-            _group_links(threshold, DEVIATIONS, plan, turns), "class_id bigint, links bigint, below bigint"
+            _group_links(threshold, DEVIATIONS, plan, turns, band_turns),
+            "class_id bigint, links bigint, below bigint",
         ),
         "links",
     )
