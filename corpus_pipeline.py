@@ -48,7 +48,8 @@ STAGES = [
     ("best_fit_packing", with_folder(best_fit_packing)),
 ]
 
-# Learned verdicts and packing have no SQL form; tests hold the stages against brute force.
+# Learned verdicts and packing have no SQL form; tests hold near-duplicates against brute force
+# and run() against the stages by hand.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tilerank.llm import chat, packing, quality, secret_scan, url_filter, warc
+from tilerank.llm import chat, minhash, packing, quality, secret_scan, toxicity, url_filter, warc
 from tilerank.llm import queries as registered
 
 
@@ -295,3 +295,23 @@ def test_pipeline_stages_take_effect(spark, sf_dir):
     assert total == kept[4].agg(F.sum(F.length("text"))).first()[0]
     for df in kept[1:]:
         df.unpersist()
+
+
+def test_pipeline_run_equals_its_stages_by_hand(spark, sf_dir):
+    docs = registered.read(spark, sf_dir, "documents")
+    n = docs.count()
+    steps = [
+        lambda d: quality.filter_documents(d, quality.fit_rules(d, registered.read(spark, sf_dir, "labels"))),
+        lambda d: toxicity.filter_documents(d, toxicity.fit_toxicity(d, registered.read(spark, sf_dir, "labels"))),
+        lambda d: minhash.drop_near_duplicates(d, percent=80),
+        lambda d: secret_scan.with_length(secret_scan.redact(d)),
+        lambda d: packing.pack(d, with_text=True),
+    ]
+    assert len(steps) == len(corpus_pipeline.STAGES)
+    for step in steps:
+        docs = step(docs).cache()
+        docs.count()
+    # Some bins number differently if rows are dealt to several tasks.
+    names = [name for name in docs.columns if n < packing.ROWS_PER_TASK or not name.startswith("bin_")]
+    made = [sorted(map(tuple, df.select(names).collect())) for df in (corpus_pipeline.run(spark, sf_dir), docs)]
+    assert made[0] and made[0] == made[1]

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tilerank.llm import embeddings, minhash
 from tilerank.llm.components import components
 
@@ -169,3 +170,29 @@ def test_bands_miss_no_more_for_more_rows(n):
     # Three standard deviations above the stated chance.
     missed = (~same.any(axis=1)).mean()
     assert missed < embeddings.MISS + 3 * math.sqrt(embeddings.MISS / len(one)), missed
+
+
+def test_pipeline_stage_drops_near_duplicates_at_80_percent(spark):
+    rng = np.random.default_rng(5)
+    rows, n = [], 0
+    for group in range(40):
+        base = [f"g{group}w{k}" for k in range(100)]
+        for _ in range(3):
+            words = list(base)
+            for place in rng.choice([10, 25, 40, 55, 70, 85], rng.integers(0, 4), replace=False):
+                words[place] = f"x{n}_{place}"
+            rows.append((n, " ".join(words), f"s{n % 3}"))
+            n += 1
+    sets = {i: shingle_set(text) for i, text, _ in rows}
+    alike = {
+        (a, b): 100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        for a in sets
+        for b in sets
+        if a < b
+    }
+    assert sum(80 <= share < 85 for share in alike.values()) > 5
+    assert sum(70 <= share < 80 for share in alike.values()) > 5
+    roots = union_find(sorted(sets), [pair for pair, share in alike.items() if share >= 80])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    left = corpus_pipeline.near_dedup(spark, df, "").collect()
+    assert sorted(tuple(r) for r in left) == [row for row in rows if roots[row[0]] == row[0]]
