@@ -196,3 +196,19 @@ def test_pipeline_stage_drops_near_duplicates_at_80_percent(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     left = corpus_pipeline.near_dedup(spark, df, "").collect()
     assert sorted(tuple(r) for r in left) == [row for row in rows if roots[row[0]] == row[0]]
+
+
+@pytest.mark.parametrize("rows", [[(1, None), (2, "")], [(1, None)] * 7, [(3, " \n"), (4, None), (5, "one")]])
+def test_texts_without_words(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert got(minhash.near_duplicates(df)) == expected(rows)
+
+
+@pytest.mark.parametrize("extra", [-4, 0, 1000])
+def test_a_text_that_ends_the_slice(spark, extra):
+    """The last text of a batch takes the slice to its bound, below it and above it."""
+    n = minhash._SLICE_SHINGLES + 4 + extra
+    long = " ".join(f"w{k}" for k in range(n))
+    rows = [(1, None), (2, long), (3, long + " end"), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert got(minhash.near_duplicates(df)) == expected(rows)

@@ -39,7 +39,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     independent hashes. Once each slot of a set holds a value of rank j, visits after the
     j-th cannot change it any more, and the set is done: large sets need one or two visits.
     """
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
     rows = np.full((len(sets), SLOTS), _UNSET, dtype=np.uint32)
     flat = rows.reshape(-1)
     element = np.concatenate(sets) if len(sets) else np.empty(0, dtype=np.uint64)
@@ -91,6 +91,8 @@ def _sketch(texts: list[bytes], width: int):
     held = 0
 
     def flush() -> None:
+        if not part:
+            return
         for place, row in zip(places, band_keys(signatures(part), width), strict=True):
             keys[place] = row
         part.clear()
