@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, chat, digests, embeddings, minhash, oracles, packing, quality
-from . import secret_scan, toxicity, url_filter, warc
+from . import secret_scan, toxicity, url_filter, warc, windows
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +96,11 @@ def warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return windows.pack_windows(read(spark, sf_dir, "documents"), tokenizer)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": url_filters,
@@ -108,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_near_dedup": minhash_groups,
         "op9_embedding_near_dedup": embedding_groups,
         "op10_warc": warc_archives,
+        "op11_window_packing": window_packing,
     }
 
 
