@@ -1,0 +1,91 @@
+"""Collocations against brute force, also where the sample proposes nothing or all."""
+
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tilerank.llm import phrases
+
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def brute(rows, least, top, contained=80):
+    counts, totals = {}, Counter()
+    for lang, text in rows:
+        of = counts.setdefault(lang or "und", Counter())
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            totals[lang or "und"] += len(words)
+            for size in range(1, 5):
+                of.update(tuple(words[i : i + size]) for i in range(len(words) - size + 1))
+    result = []
+    for lang, of in counts.items():
+        candidates = {p: a for p, a in of.items() if len(p) > 1 and a >= least}
+        kept = []
+        for p, a in candidates.items():
+            longer = [
+                q
+                for q in candidates
+                if len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1))
+            ]
+            if any(100 * candidates[q] >= contained * a for q in longer):
+                continue
+            score, k = min((2000000 * a // (of[p[:k]] + of[p[k:]]), k) for k in range(1, len(p)))
+            kept.append((-score, -a, " ".join(p).encode(), of[p[:k]], of[p[k:]]))
+        for rank, (score, a, phrase, l, r) in enumerate(sorted(kept)[:top], 1):
+            result.append((lang, rank, phrase.decode(), -a, l, r, totals[lang], -score))
+    return sorted(result)
+
+
+def texts(seed, n):
+    rng = np.random.default_rng(seed)
+    words = ["New", "york", "of", "the", "Ünï", "d e", "x\x1cy", "'s", "<b>", "a", "b", "City"]
+    rows = []
+    for _ in range(n):
+        size = int(rng.integers(0, 60))
+        # Some words draw the next one with them.
+        chosen, last = [], 0
+        for _ in range(size):
+            last = (last + 1) % len(words) if rng.random() < 0.5 else int(rng.zipf(1.5)) % len(words)
+            chosen.append(words[last] + str(rng.choice(["", "", "", "", ",", ".", "\n", "\t", " \r\n"])))
+        rows.append((rng.choice(["en", "fr", None]), " ".join(chosen)))
+    return [*rows, (None, None), ("de", ""), ("und", "New york"), ("en", " ,.; \n")]
+
+
+@pytest.mark.parametrize(
+    "options",
+    [{}, {"sample_parts": 1}, {"sample_parts": 10**9}, {"filter_bits": 64}, {"top": 5, "contained_percent": 50}],
+)
+def test_equals_brute_force(spark, options):
+    rows = texts(3, 150)
+    df = spark.createDataFrame([(lang, t, "x", 1) for lang, t in rows], "lang string, text string, phrase string, f int")
+    found = phrases.collocations(df.repartition(5), least=6, **options)
+    assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    want = brute(rows, 6, options.get("top", 2000), options.get("contained_percent", 80))
+    assert len(want) > 10
+    assert sorted(tuple(r) for r in found.collect()) == want
+
+
+def test_slices_and_repeated_rows(spark, monkeypatch):
+    rows = [("en", "a b c d e a b c d e")] * 40 + [("en", "a b " * 30_000)]
+    df = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    found = phrases.collocations(df)
+    assert sorted(tuple(r) for r in found.collect()) == brute(rows, 30, 2000)
+
+
+def test_no_rows(spark):
+    df = spark.createDataFrame([], "lang string, text string")
+    assert phrases.collocations(df).collect() == []
+
+
+def test_a_hash_may_pass_wrongly_but_never_fails():
+    rng = np.random.default_rng(1)
+    filled = np.zeros(16, dtype=np.uint64)
+    hashes = rng.integers(0, 2**63, 40, dtype=np.uint64) * np.uint64(2)
+    for h in hashes.tolist():
+        for place in (h & 1023, (h >> 32) & 1023):
+            filled[place >> 6] |= np.uint64(1 << (place & 63))
+    assert phrases._in(filled, hashes).all()
+    assert not phrases._in(np.zeros(16, dtype=np.uint64), hashes).any()

@@ -117,6 +117,19 @@ def test_odd_texts(spark, tokenizer, batch):
     assert [(p.doc_id, p.start) for p in ordered] == sorted((p.doc_id, p.start) for p in pieces)
 
 
+def test_ids_are_the_tokenizers(tokenizer):
+    rng = np.random.default_rng(3)
+    signs = [*map(chr, range(256)), "'s", "'LL", "ABC", "Ünder", "…", "ŀ", "日", "e\u0301", "<|endoftext|>", " "]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(4000)]
+    texts += [chr(c) + "a" + chr(c) for c in range(0x250)]
+    ids, ends, sentences = windows.WordIds(tokenizer, 2).stream([t.encode() for t in texts])
+    start = 0
+    for text, end in zip(texts, ends.tolist(), strict=True):
+        assert ids[start:end].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], text
+        start = end
+    assert set(ends.tolist()) <= set(sentences.tolist())
+
+
 def test_repeated_rows_missing_ids_and_no_rows(spark):
     rows = [(None, "one two"), (3, "same"), (3, "same"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")

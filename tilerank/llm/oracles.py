@@ -123,6 +123,54 @@ FROM p LEFT JOIN first USING (payload_digest)
 """
 
 
+PHRASES = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+starts AS (
+    SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, range(1, 5) AS sizes(m)
+),
+counts AS (
+    SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM starts GROUP BY ALL
+),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+candidates AS (
+    SELECT lang, m, phrase, string_split(phrase, ' ') AS w, f AS a FROM counts WHERE m > 1 AND f >= 30
+),
+cuts AS (
+    SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+    FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates)
+),
+scored AS (
+    SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r,
+        ((2000000::HUGEINT * a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+    FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = head
+        JOIN counts y ON y.lang = c.lang AND y.phrase = tail
+),
+weakest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+),
+inner_runs AS (
+    SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, max(a) AS longer
+    FROM (SELECT lang, w, a, size, unnest(range(1, m - size + 2)) AS i
+        FROM candidates, range(2, 4) AS sizes(size) WHERE size < m)
+    GROUP BY ALL
+),
+kept AS (
+    SELECT w.* FROM weakest w LEFT JOIN inner_runs i ON i.lang = w.lang AND i.phrase = w.phrase
+    WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def _rule_case(result) -> str:
     """CASE over the rules, longest first; ``result`` makes the value from rule and verdict."""
     lines = []
@@ -226,4 +274,5 @@ def build() -> dict[str, str]:
         "op8_minhash_near_dedup": MINHASH,
         "op9_embedding_near_dedup": EMBEDDINGS,
         "op10_warc": WARC,
+        "op12_phrase_collocations": PHRASES,
     }

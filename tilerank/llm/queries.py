@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, digests, embeddings, minhash, oracles, packing, quality
+from . import bpe, chat, digests, embeddings, minhash, oracles, packing, phrases, quality
 from . import secret_scan, toxicity, url_filter, warc, windows
 
 
@@ -101,6 +101,10 @@ def window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.pack_windows(read(spark, sf_dir, "documents"), tokenizer)
 
 
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": url_filters,
@@ -114,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_embedding_near_dedup": embedding_groups,
         "op10_warc": warc_archives,
         "op11_window_packing": window_packing,
+        "op12_phrase_collocations": phrase_collocations,
     }
 
 

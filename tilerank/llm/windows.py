@@ -8,9 +8,11 @@ documents are smallest together. Each partition is a stream of its own, read bat
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,14 @@ INNER_CUTS = 16
 
 _WORDS_HELD = 500_000
 _IDS_HELD = 8_000_000
+# What may follow the sign that ends a sentence.
+_CLOSERS = "\"')]}»”’"
+# Words that the tokenizer's normalizer only lower-cases, and its pattern for them; it shows
+# bytes as printable characters, the others shifted up in the order of their values.
+_PLAIN = re.compile(r"[\x00-\x7f\u00c0-\u00ff]+")
+_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+_HIDDEN = [*range(33), *range(127, 161), 173]
+_SHOWN = {byte: 256 + n for n, byte in enumerate(_HIDDEN)}
 # Neither is a word of a UTF-8 text.
 _LINE_END, _TEXT_END = b"\xff", b"\xfe"
 
@@ -59,15 +69,33 @@ class WordIds(dict):
         self.new.append(word)
         return number
 
+    def _pieces(self, words: list[str]) -> list[list[int]]:
+        """The ids of words of ASCII and Latin-1 letters, whose parts the pattern gives: the
+        model is asked once for each distinct part."""
+        split = [_PART.findall(word.lower()) for word in words]
+        tokenize, known = self.tokenizer.model.tokenize, {}
+        for part in {part for parts in split for part in parts}:
+            shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_SHOWN)
+            known[part] = [token.id for token in tokenize(shown)]
+        return [[number for part in parts for number in known[part]] for parts in split]
+
     def _learn(self) -> None:
         if not self.new:
             return
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in self.new], add_special_tokens=False)
-        made = [encoding.ids for encoding in found]
+        words = [word.decode() for word in self.new]
+        plain = [n for n, word in enumerate(words) if _PLAIN.fullmatch(word)]
+        rest = [n for n, word in enumerate(words) if not _PLAIN.fullmatch(word)]
+        made: list[list[int]] = [[]] * len(words)
+        for n, ids in zip(plain, self._pieces([words[n] for n in plain]), strict=True):
+            made[n] = ids
+        found = self.tokenizer.encode_batch_fast([words[n] for n in rest], add_special_tokens=False)
+        for n, encoding in zip(rest, found, strict=True):
+            made[n] = encoding.ids
         sizes = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
-        self.flat = np.concatenate([self.flat, *[np.array(ids, dtype=np.uint32) for ids in made if ids]])
+        new = np.fromiter(chain.from_iterable(made), dtype=np.uint32, count=int(sizes.sum()))
+        self.flat = np.concatenate([self.flat, new])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        closes = [w.rstrip(b"\"')]}\xc2\xbb\xe2\x80\x9d\x99").endswith((b".", b"!", b"?")) for w in self.new]
+        closes = [word.rstrip(_CLOSERS).endswith((".", "!", "?")) for word in words]
         self.closes = np.concatenate([self.closes, np.array(closes)])
         self.new = []
 
