@@ -171,6 +171,63 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang
 """
 
 
+def _crc_table() -> str:
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ 0xEDB88320 * (value & 1)
+        table.append(value)
+    return "[" + ", ".join(map(str, table)) + "]::BIGINT[]"
+
+
+# The bytes of a key of ASCII and U+00C0 to U+00FF, and their crc32.
+_CRC = f"""xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(key, ''),
+    lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195::BIGINT, ord(c) - 64] END))),
+    lambda value, byte: xor(value >> 8, ({_crc_table()})[(xor(value, byte) & 255) + 1])), 4294967295)"""
+
+SPELLING = f"""
+WITH RECURSIVE runs AS (
+    SELECT doc_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run
+    FROM documents
+),
+keyed AS (
+    SELECT run, count(*) AS c, coalesce(doc_id::VARCHAR, '') || ':' || run AS key FROM runs GROUP BY doc_id, run
+),
+coded AS (SELECT run, c, {_CRC} AS h FROM keyed),
+changed AS (
+    SELECT c, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, (h % length(run))::BIGINT + 2)
+        ELSE run END AS word
+    FROM coded
+),
+words AS (
+    SELECT word, sum(c)::BIGINT AS n FROM changed WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5
+),
+cut AS (
+    SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+    FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)
+),
+near AS (
+    SELECT x.word, x.n, y.word AS other, y.n AS other_n FROM cut x JOIN cut y USING (i, rest) WHERE x.word <> y.word
+    UNION SELECT x.word, x.n, y.word, y.n FROM cut x JOIN words y ON x.rest = y.word
+    UNION SELECT y.word, y.n, x.word, x.n FROM cut x JOIN words y ON x.rest = y.word
+),
+best AS (
+    SELECT word, count(*) AS n_near, arg_min(other, (-other_n, other)) AS other, max(other_n) AS other_n
+    FROM near GROUP BY word
+),
+forms AS (SELECT word, other AS form, other_n AS form_n FROM best JOIN words USING (word) WHERE other_n >= 5 * n),
+steps AS (
+    SELECT word, form AS at, 1 AS step FROM forms
+    UNION ALL SELECT s.word, f.form, step + 1 FROM steps s JOIN forms f ON f.word = s.at
+),
+roots AS (SELECT word, arg_max(at, step) AS root FROM steps GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, coalesce(n_near, 0) AS n_near, form_n
+FROM words LEFT JOIN best USING (word) LEFT JOIN forms USING (word) LEFT JOIN roots USING (word)
+"""
+
+
 def _rule_case(result) -> str:
     """CASE over the rules, longest first; ``result`` makes the value from rule and verdict."""
     lines = []
@@ -275,4 +332,5 @@ def build() -> dict[str, str]:
         "op9_embedding_near_dedup": EMBEDDINGS,
         "op10_warc": WARC,
         "op12_phrase_collocations": PHRASES,
+        "op13_spelling_variants": SPELLING,
     }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, chat, digests, embeddings, minhash, oracles, packing, phrases, quality
-from . import secret_scan, toxicity, url_filter, warc, windows
+from . import secret_scan, spelling, toxicity, url_filter, warc, windows
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +105,10 @@ def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read(spark, sf_dir, "documents"))
 
 
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": url_filters,
@@ -119,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_warc": warc_archives,
         "op11_window_packing": window_packing,
         "op12_phrase_collocations": phrase_collocations,
+        "op13_spelling_variants": spelling_variants,
     }
 
 
