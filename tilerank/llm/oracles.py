@@ -219,10 +219,10 @@ best AS (
 ),
 forms AS (SELECT word, other AS form, other_n AS form_n FROM best JOIN words USING (word) WHERE other_n >= 5 * n),
 steps AS (
-    SELECT word, form AS at, 1 AS step FROM forms
-    UNION ALL SELECT s.word, f.form, step + 1 FROM steps s JOIN forms f ON f.word = s.at
+    SELECT word, form AS reached, 1 AS step FROM forms
+    UNION ALL SELECT s.word, f.form, step + 1 FROM steps s JOIN forms f ON f.word = s.reached
 ),
-roots AS (SELECT word, arg_max(at, step) AS root FROM steps GROUP BY word)
+roots AS (SELECT word, arg_max(reached, step) AS root FROM steps GROUP BY word)
 SELECT word, form, coalesce(root, word) AS root, n, coalesce(n_near, 0) AS n_near, form_n
 FROM words LEFT JOIN best USING (word) LEFT JOIN forms USING (word) LEFT JOIN roots USING (word)
 """
