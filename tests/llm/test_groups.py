@@ -212,3 +212,63 @@ def test_a_text_that_ends_the_slice(spark, extra):
     rows = [(1, None), (2, long), (3, long + " end"), (4, "")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
     assert got(minhash.near_duplicates(df)) == expected(rows)
+
+
+def sub_groups(rng, n_groups, size):
+    """Near copies of texts that are themselves half alike: they share bands, across groups too."""
+    shared = [f"w{n}" for n in range(140)]
+    rows = []
+    for group in range(n_groups):
+        base = shared + [f"g{group}_{n}" for n in range(20)]
+        for _ in range(size):
+            words = list(base)
+            words[int(rng.integers(0, 3))] = f"x{len(rows)}"
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("part_shingles", [1_000, 8_000])
+def test_pivots_settle_sub_groups(spark, part_shingles, monkeypatch):
+    rows = sub_groups(np.random.default_rng(3), 6, 15)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    met = []
+    settle = minhash.settle_by_pivots
+
+    def seen(members, *args):
+        left, links = settle(members, *args)
+        met.append((members.count(), left.count()))
+        return left, links
+
+    monkeypatch.setattr(minhash, "settle_by_pivots", seen)
+    assert got(minhash.near_duplicates(df, part_shingles=part_shingles)) == expected(rows)
+    (all_members, left), = met
+    # Whole sub-groups go with their pivot, so next to nothing meets in parts.
+    assert all_members > 60 and left < 0.2 * all_members
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    def text(name, changed=0):
+        return " ".join(f"{name}{n}" if n >= changed else f"x{n}" for n in range(80))
+
+    rows = [(0, text("a")), (1, text("a")), (1, text("b")), (2, text("b")), (3, text("c")), (1, text("a", 2))]
+    rows += [(5, text("d")), (6, text("d", 2)), (6, text("e")), (6, None), (6, "")]
+    df = spark.createDataFrame([(i, t, t) for i, t in rows], "doc_id bigint, text string, text_key string")
+    left = minhash.drop_near_duplicates(df)
+    assert left.schema == df.schema
+    want = [rows[k][:2] for k in (0, 2, 4, 6, 8, 9, 10)]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(want, key=str)
+    judged = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    # The first text of row 1 belongs to row 0, its second one to itself, with row 2.
+    assert judged[:5] == [(0, 0, True), (1, 0, False), (1, 0, False), (1, 1, True), (2, 1, False)]
+
+
+def test_batches_of_three_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = [(n, " ".join(f"w{k}" for k in rng.integers(0, 9, int(rng.integers(0, 40))))) for n in range(20)]
+    rows += [(100 + n, t) for n, t in rows[:10]] + [(50, None), (51, None), (52, None), (53, " \n"), (54, "")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+        assert got(minhash.near_duplicates(df)) == expected(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
