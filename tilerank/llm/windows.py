@@ -7,6 +7,7 @@ documents are smallest together. Each partition is a stream of its own, read bat
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -33,10 +34,12 @@ _WORDS_HELD = 500_000
 _IDS_HELD = 8_000_000
 # What may follow the sign that ends a sentence.
 _CLOSERS = "\"')]}»”’"
-# Words that the tokenizer's normalizer only lower-cases, and its pattern for them; it shows
-# bytes as printable characters, the others shifted up in the order of their values.
-_PLAIN = re.compile(r"[\x00-\x7f\u00c0-\u00ff]+")
-_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+# Texts that the tokenizer's normalizer only lower-cases and rids of white space. Their parts are
+# those of its pattern; signs keep a space that follows, and a line end is a part without ids.
+_PLAIN = re.compile(r"[\x00-\x7f\u00c0-\u00ff]*")
+_LETTERS = r"a-z\u00df-\u00f6\u00f8-\u00ff"
+_PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9\x20\x09-\x0d{_LETTERS}]+\x20?|\n")
+# It shows bytes as printable characters, the others shifted up in the order of their values.
 _HIDDEN = [*range(33), *range(127, 161), 173]
 _SHOWN = {byte: 256 + n for n, byte in enumerate(_HIDDEN)}
 # Neither is a word of a UTF-8 text.
@@ -44,10 +47,11 @@ _LINE_END, _TEXT_END = b"\xff", b"\xfe"
 
 
 class WordIds(dict):
-    """Numbers words, and keeps the ids of each.
+    """Numbers the parts of texts, and keeps the ids of each.
 
     The tokenizer drops white space and nothing reaches across it, so the ids of a text are
-    those of its words at ASCII white space, one after the other.
+    those of its words at ASCII white space, one after the other: keys of bytes. Plain texts
+    are cut further, into parts that the model is given as they are: keys of str.
     """
 
     def __init__(self, tokenizer, end_id: int):
@@ -58,44 +62,41 @@ class WordIds(dict):
 
     def _empty(self) -> None:
         self.clear()
-        self.new: list[bytes] = []
+        self.new: list[bytes | str] = []
         self.flat = np.array([self.end_id], dtype=np.uint32)
         self.starts = np.array([0, 0, 1], dtype=np.int64)
         self.closes = np.array([True, True])
         self[_LINE_END], self[_TEXT_END] = 0, 1
 
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self.new.append(word)
+    def __missing__(self, key: bytes | str) -> int:
+        number = self[key] = len(self)
+        self.new.append(key)
         return number
 
-    def _pieces(self, words: list[str]) -> list[list[int]]:
-        """The ids of words of ASCII and Latin-1 letters, whose parts the pattern gives: the
-        model is asked once for each distinct part."""
-        split = [_PART.findall(word.lower()) for word in words]
-        tokenize, known = self.tokenizer.model.tokenize, {}
-        for part in {part for parts in split for part in parts}:
-            shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_SHOWN)
-            known[part] = [token.id for token in tokenize(shown)]
-        return [[number for part in parts for number in known[part]] for parts in split]
+    def _ids_of_part(self, part: str) -> list[int]:
+        part = part.removesuffix(" ")
+        if part == "\n":
+            return []
+        shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_SHOWN)
+        return [token.id for token in self.tokenizer.model.tokenize(shown)]
 
     def _learn(self) -> None:
         if not self.new:
             return
-        words = [word.decode() for word in self.new]
-        plain = [n for n, word in enumerate(words) if _PLAIN.fullmatch(word)]
-        rest = [n for n, word in enumerate(words) if not _PLAIN.fullmatch(word)]
-        made: list[list[int]] = [[]] * len(words)
-        for n, ids in zip(plain, self._pieces([words[n] for n in plain]), strict=True):
-            made[n] = ids
-        found = self.tokenizer.encode_batch_fast([words[n] for n in rest], add_special_tokens=False)
-        for n, encoding in zip(rest, found, strict=True):
-            made[n] = encoding.ids
+        words = [key.decode() for key in self.new if isinstance(key, bytes)]
+        of_words = iter(self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
+        made, closes = [], []
+        for key in self.new:
+            if isinstance(key, bytes):
+                made.append(next(of_words).ids)
+                closes.append(key.decode().rstrip(_CLOSERS).endswith((".", "!", "?")))
+            else:
+                made.append(self._ids_of_part(key))
+                closes.append(key == "\n" or key[-1] == " " and not {".", "!", "?"}.isdisjoint(key))
         sizes = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
         new = np.fromiter(chain.from_iterable(made), dtype=np.uint32, count=int(sizes.sum()))
         self.flat = np.concatenate([self.flat, new])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        closes = [word.rstrip(_CLOSERS).endswith((".", "!", "?")) for word in words]
         self.closes = np.concatenate([self.closes, np.array(closes)])
         self.new = []
 
@@ -106,9 +107,18 @@ class WordIds(dict):
             self._empty()
         numbers: list[int] = []
         for data in texts:
-            numbers += map(self.__getitem__, data.replace(b"\n", b" \xff ").split())
+            text = data.decode()
+            if _PLAIN.fullmatch(text):
+                numbers += map(self.__getitem__, _PART.findall(text.lower()))
+            else:
+                numbers += map(self.__getitem__, data.replace(b"\n", b" \xff ").split())
             numbers.append(1)
-        self._learn()
+        # Nothing here is part of a circle, and there is much to go through in search of them.
+        gc.disable()
+        try:
+            self._learn()
+        finally:
+            gc.enable()
         word = np.array(numbers, dtype=np.int64)
         first, size = self.starts[word], self.starts[word + 1] - self.starts[word]
         ends = np.cumsum(size)
