@@ -272,3 +272,31 @@ def test_batches_of_three_rows(spark):
         assert got(minhash.near_duplicates(df)) == expected(rows)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_embeddings_of_any_size_and_clashing_columns(spark):
+    """Doubles whose squares leave the range, signed zeros, and columns named like results."""
+    rows = [(1, [1e-170, 2e-170]), (2, [2e-170, 4e-170]), (3, [1e160, 2e160]), (4, [1.0, -2.0]), (5, [5e-324, 0.0])]
+    rows += [(6, [1.0, 0.0]), (7, [1.0, -0.0]), (8, [float("inf"), 1.0]), (9, [1.0, 2.0, 0.0]), (9, [0.0, 0.0, 7.0])]
+    df = spark.createDataFrame(
+        [(i, v, 5, b"", 1) for i, v in rows],
+        "vec_id bigint, embedding array<double>, n_links int, code binary, node bigint",
+    )
+    found = [tuple(r) for r in embeddings.near_duplicates(df).collect()]
+    want = [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (5, 2, 5), (6, 2, 5), (7, 2, 5), (8, 0, 8), (9, 0, 9), (9, 0, 9)]
+    assert sorted(found) == [(i, n, c, i == c) for i, n, c in want]
+
+
+def test_vectors_of_classes_without_partners_stay_where_they_are(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    vectors = rng.standard_normal((600, 48))
+    vectors[:60:2] = vectors[1:60:2] + 0.05 * rng.standard_normal((30, 48))
+    df = spark.createDataFrame([(n, v.tolist()) for n, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    placed, seen = embeddings._placed, []
+    monkeypatch.setattr(embeddings, "_placed", lambda rows, *args: seen.append(rows) or placed(rows, *args))
+    result = embeddings.near_duplicates(df)
+    assert result.where("n_links = 1").count() == 60
+    codes, fetched = seen
+    assert "vector" not in codes.columns and "vector" in fetched.columns
+    # Chance agreement of short codes adds a few.
+    assert fetched.select("node").distinct().count() < 100

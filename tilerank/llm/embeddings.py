@@ -2,14 +2,17 @@
 their bounds leave open is computed exactly.
 
 Equal vectors are one class. A class gets the signs of its randomly rotated direction as a
-code, and a correction factor that makes the inner product estimated from the code unbiased.
-Bits of the code, in bands, bring classes together; the estimate's confidence bound rejects
-most pairs that meet; for the others the cosine is computed in double precision. Pairs are
-counted where they meet and not written out.
+code, and a correction factor that makes the inner product estimated from the code unbiased;
+both are stored once. Bits, in bands, bring classes together. Only codes travel to the bands:
+how many of two codes' bits agree bounds their angle, and classes that this leaves a partner
+fetch their vectors. Of the pairs among these, the estimate's confidence bound rejects most
+others; for the rest the cosine is computed in double precision. Pairs are counted where they
+meet and not written out.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -122,6 +125,89 @@ def _pairs_in_block(
         yield i, j
 
 
+def least_agreement(threshold: float, deviations: float, bits: int) -> float:
+    """How many of its bits the codes of a pair at the threshold have in common at least: all
+    but ``acos(threshold) / pi`` of them are expected, less ``deviations`` standard ones."""
+    agree = 1 - math.acos(threshold) / math.pi
+    return bits * agree - deviations * math.sqrt(bits * agree * (1 - agree))
+
+
+BUCKET = ("band", "bits", "dims")
+MEETING = (*BUCKET, "one", "two")
+
+
+def _placed(rows: DataFrame, block: int, name: str) -> DataFrame:
+    """Rows of buckets with the pairs of parts in which they meet. Buckets of more than
+    ``block`` rows are split; a row goes to each pair that its own part belongs to."""
+    large = stored(
+        rows.groupBy(*BUCKET)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > block)
+        .select(*BUCKET, F.ceil(F.col("_n") / block).cast("bigint").alias("parts")),
+        name,
+    )
+    return (
+        rows.join(large, list(BUCKET), "left")
+        .withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
+        .withColumn("pair", F.explode(part_pairs("parts", "node")))
+        .select(*BUCKET, "pair.one", "pair.two", "pair.part", *[c for c in rows.columns if c not in BUCKET])
+    )
+
+
+def _met(placed: DataFrame, run, schema: str) -> DataFrame:
+    return placed.repartition(*MEETING).sortWithinPartitions(*MEETING).mapInArrow(run, schema)
+
+
+def _sides(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """The two parts that meet; the same table twice if it is one."""
+    one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
+    if one == two:
+        return table, table
+    is_one = pa.compute.equal(table.column("part"), one)
+    return table.filter(is_one), table.filter(pa.compute.invert(is_one))
+
+
+def _signs(table: pa.Table) -> np.ndarray:
+    packed = np.frombuffer(b"".join(table.column("code").to_pylist()), dtype=np.uint8)
+    return np.unpackbits(packed.reshape(table.num_rows, -1), axis=1).astype(np.float32) * 2 - 1
+
+
+def _with_partners(threshold: float, deviations: float):
+    """The classes of each bucket whose codes agree enough with another one's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs_by_key(batches, MEETING):
+            left, right = _sides(table)
+            if table.num_rows < 2 or not left.num_rows or not right.num_rows:
+                continue
+            a = _signs(left)
+            b = a if left is right else _signs(right)
+            bits = a.shape[1]
+            # The sum of products is the bits that agree less those that do not.
+            least = 2 * least_agreement(threshold, deviations, bits) - bits
+            has_a, has_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
+            for low in range(0, len(a), 256):
+                possible = a[low : low + 256] @ b.T >= least
+                if left is right:
+                    rows = np.arange(len(possible))
+                    possible[rows, low + rows] = False
+                has_a[low : low + 256] |= possible.any(axis=1)
+                has_b |= possible.any(axis=0)
+            sides = [(left, has_a | has_b)] if left is right else [(left, has_a), (right, has_b)]
+            for side, has in sides:
+                if has.any():
+                    found = side.select([*BUCKET, "node"]).filter(pa.array(has)).combine_chunks()
+                    yield from found.to_batches()
+
+    return run
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Directions. Scaled first, so that no square leaves the range of doubles."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 def _group_links(
     threshold: float,
     deviations: float,
@@ -129,45 +215,39 @@ def _group_links(
     turns: dict[int, np.ndarray],
     band_turns: dict[int, np.ndarray],
 ):
-    schema = ["class_id", "links", "below"]
+    schema = ["node", "links", "below"]
 
     def block_of(table: pa.Table):
         dims = table.column("dims")[0].as_py()
-        vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), dtype="<f8").reshape(-1, dims)
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        turn = turns[dims]
-        turned = unit @ turn.T
-        codes, factors = encode(unit, turn)
+        unit = _unit(np.frombuffer(b"".join(table.column("vector").to_pylist()), dtype="<f8").reshape(-1, dims))
+        codes = np.frombuffer(b"".join(table.column("code").to_pylist()), dtype=np.uint8)
         return (
-            table.column("class_id").to_numpy(),
+            table.column("node").to_numpy(),
             table.column("weight").to_numpy(),
             unit,
-            turned,
-            codes,
-            factors,
+            unit @ turns[dims].T,
+            codes.reshape(len(unit), -1),
+            table.column("factor").to_numpy(),
         )
 
     def bucket(table: pa.Table) -> pa.RecordBatch | None:
         band = table.column("band")[0].as_py()
-        one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
-        if one == two:
-            a = b = block_of(table)
-        else:
-            is_one = pa.compute.equal(table.column("part"), one)
-            left, right = table.filter(is_one), table.filter(pa.compute.invert(is_one))
-            if not left.num_rows or not right.num_rows:
-                return None
-            a, b = block_of(left), block_of(right)
+        left, right = _sides(table)
+        if not left.num_rows or not right.num_rows:
+            return None
+        alone = left is right
+        a = block_of(left)
+        b = a if alone else block_of(right)
         links_a, links_b = np.zeros(len(a[0]), np.int64), np.zeros(len(b[0]), np.int64)
         sets = UnionFind()
         turn = band_turns[table.column("dims")[0].as_py()]
-        for i, j in _pairs_in_block(a, b, one == two, band, threshold, deviations, plan, turn):
+        for i, j in _pairs_in_block(a, b, alone, band, threshold, deviations, plan, turn):
             np.add.at(links_a, i, b[1][j])
             np.add.at(links_b, j, a[1][i])
             for x, y in zip(a[0][i].tolist(), b[0][j].tolist(), strict=True):
                 sets.union(x, y)
-        ids = np.concatenate([a[0], b[0]]) if one != two else a[0]
-        links = np.concatenate([links_a, links_b]) if one != two else links_a + links_b
+        ids = a[0] if alone else np.concatenate([a[0], b[0]])
+        links = links_a + links_b if alone else np.concatenate([links_a, links_b])
         linked = links > 0
         if not linked.any():
             return None
@@ -183,37 +263,55 @@ def _group_links(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket; one bucket, or pair of its parts, is held at a time."""
-        for table in runs_by_key(batches, ("band", "bits", "dims", "one", "two")):
+        for table in runs_by_key(batches, MEETING):
             if table.num_rows > 1 and (made := bucket(table)) is not None:
                 yield made
 
     return run
 
 
-def _prepare(plan: np.ndarray, band_turns: dict[int, np.ndarray]):
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors as bytes with a digest; none where a row cannot be linked with any."""
+    for batch in batches:
+        lists = batch.column(1)
+        dims = np.where(np.asarray(lists.is_null()), 0, np.diff(lists.offsets.to_numpy()))
+        starts = lists.offsets.to_numpy()[:-1]
+        flat = lists.values.to_numpy(zero_copy_only=False)
+        raw: list = [None] * len(dims)
+        known = np.asarray(batch.column(0).is_valid())
+        for size in np.unique(dims[known & (dims > 0)]).tolist():
+            rows = np.flatnonzero(known & (dims == size))
+            vectors = flat[starts[rows][:, None] + np.arange(size)].astype("<f8")
+            fine = np.isfinite(vectors).all(axis=1) & (vectors != 0).any(axis=1)
+            for row, vector in zip(rows[fine].tolist(), vectors[fine], strict=True):
+                raw[row] = vector.tobytes()
+        digests = [None if v is None else hashlib.blake2b(v, digest_size=16).digest() for v in raw]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(dims, type=pa.int64()), pa.array(raw, pa.binary()), pa.array(digests, pa.binary())],
+            names=["vec_id", "dims", "vector", "digest"],
+        )
+
+
+def _coded(plan: np.ndarray, turns: dict[int, np.ndarray], band_turns: dict[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, weights = batch.column("class_id"), batch.column("weight")
-            lists = batch.column("embedding").to_pylist()
-            dims = np.array([len(v) for v in lists], dtype=np.int64)
-            keys: list = [None] * len(lists)
-            raw: list = [None] * len(lists)
+            dims, raw = batch.column("dims").to_numpy(), batch.column("vector").to_pylist()
+            keys, codes, factors = [None] * len(raw), [None] * len(raw), np.zeros(len(raw))
             for size in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == size)
-                vectors = np.array([lists[r] for r in rows.tolist()], dtype="<f8")
-                unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+                unit = _unit(np.frombuffer(b"".join([raw[r] for r in rows.tolist()]), dtype="<f8").reshape(-1, size))
+                packed, factors[rows] = encode(unit, turns[size])
                 found = band_keys(unit, plan, band_turns[size])
                 for at, row in enumerate(rows.tolist()):
-                    keys[row], raw[row] = found[at], vectors[at].tobytes()
+                    keys[row], codes[row] = found[at], packed[at].tobytes()
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids,
-                    weights,
-                    pa.array(dims),
-                    pa.array(raw, type=pa.binary()),
+                    *[batch.column(name) for name in ("node", "weight", "dims")],
+                    pa.array(codes, type=pa.binary()),
+                    pa.array(factors),
                     pa.array(keys, type=pa.list_(pa.int64())),
                 ],
-                names=["class_id", "weight", "dims", "vector", "keys"],
+                names=["node", "weight", "dims", "code", "factor", "keys"],
             )
 
     return run
@@ -245,82 +343,77 @@ def near_duplicates(
         F.col(quoted(id_col)).cast("bigint").alias("vec_id"),
         F.col(quoted(vector)).cast("array<double>").alias("embedding"),
     )
-    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    square = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x)
-    usable = F.coalesce(
-        F.col("vec_id").isNotNull()
-        & (F.size("embedding") > 0)
-        & ~odd
-        & (square > 0)
-        & (square < float("inf")),
-        F.lit(False),
+    known = stored(
+        rows.mapInArrow(_read, "vec_id bigint, dims bigint, vector binary, digest binary"), "vectors"
     )
-    known = stored(rows.withColumn("usable", usable), "vectors")
+    # Nodes number the classes, as two may have the same smallest vec_id if its rows differ.
     classes = stored(
-        known.where("usable")
-        .groupBy("embedding")
-        .agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("weight")),
+        known.where("digest IS NOT NULL")
+        .groupBy("digest")
+        .agg(
+            F.min("vec_id").alias("class_id"),
+            F.count(F.lit(1)).alias("weight"),
+            F.first("dims").alias("dims"),
+            F.first("vector").alias("vector"),
+        )
+        .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
     # One number and a short list: how many classes there are and which lengths they have.
     n = classes.count()
-    lengths = [row[0] for row in classes.select(F.size("embedding").cast("bigint")).distinct().collect()]
+    lengths = [row[0] for row in classes.select("dims").distinct().collect()]
     turns = {size: rotation(size) for size in lengths}
     plan = band_plan(n, threshold, miss)
     band_turns = {size: band_rotation(size, plan) for size in lengths}
 
-    prepared = classes.mapInArrow(
-        _prepare(plan, band_turns),
-        "class_id bigint, weight bigint, dims bigint, vector binary, keys array<bigint>",
+    codes = stored(
+        classes.select("node", "weight", "dims", "vector").mapInArrow(
+            _coded(plan, turns, band_turns),
+            "node bigint, weight bigint, dims bigint, code binary, factor double, keys array<bigint>",
+        ),
+        "codes",
     )
-    spread = prepared.select(
-        "class_id", "weight", "dims", "vector", F.posexplode("keys").alias("band", "bits")
+    in_bands = codes.select(F.posexplode("keys").alias("band", "bits"), "dims", "node", "code")
+    partners = stored(
+        _met(
+            _placed(in_bands, block, "large-buckets"),
+            _with_partners(threshold, DEVIATIONS),
+            "band int, bits bigint, dims bigint, node bigint",
+        ).distinct(),
+        "partners",
     )
-    key = ["band", "bits", "dims"]
-    keys_only = prepared.select("dims", F.posexplode("keys").alias("band", "bits"))
-    large = stored(
-        keys_only.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > block)
-        .withColumn("parts", F.ceil(F.col("n") / block).cast("bigint")),
-        "large-buckets",
+    fetched = partners.join(codes.select("node", "weight", "code", "factor"), "node").join(
+        classes.select("node", "vector"), "node"
     )
-    # A class of a split bucket goes to each pair of parts that its own part belongs to.
-    placed = (
-        spread.join(large.select(*key, "parts"), key, "left")
-        .withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
-        .withColumn("pair", F.explode(part_pairs("parts", "class_id")))
-        .select(*key, "pair.one", "pair.two", "pair.part", "class_id", "weight", "vector")
-    )
-    order = ["band", "bits", "dims", "one", "two"]
     found = stored(
-        placed.repartition(*order)
-        .sortWithinPartitions(*order)
-        .mapInArrow(
+        _met(
+            _placed(fetched, block, "large-buckets"),
             _group_links(threshold, DEVIATIONS, plan, turns, band_turns),
-            "class_id bigint, links bigint, below bigint",
+            "node bigint, links bigint, below bigint",
         ),
         "links",
     )
-    counts = found.groupBy("class_id").agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("class_id").alias("a"), F.col("below").alias("b")), "groups")
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    groups = components(found.select(F.col("node").alias("a"), F.col("below").alias("b")), "groups")
+    of_node = groups.join(classes.select("node", "class_id"), "node")
+    smallest = of_node.groupBy("component").agg(F.min("class_id").alias("component_id"))
     of_class = (
-        classes.join(counts, "class_id", "left")
-        .join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")
+        classes.select("node", "digest", "class_id", "weight")
+        .join(counts, "node", "left")
+        .join(of_node.join(smallest, "component").select("node", "component_id"), "node", "left")
         .select(
-            "embedding",
+            "digest",
             (F.col("weight") - 1 + F.coalesce("links", F.lit(0).cast("bigint"))).alias("n_links"),
-            F.coalesce("component", "class_id").alias("component_id"),
+            F.coalesce("component_id", "class_id").alias("component_id"),
         )
     )
     return (
-        known.where("usable")
-        .join(of_class, "embedding")
-        .select("vec_id", "n_links", "component_id")
-        .union(
-            known.where(~F.col("usable")).select(
-                "vec_id", F.lit(0).cast("bigint"), F.col("vec_id")
-            )
+        known.select("vec_id", "digest")
+        .join(of_class, "digest", "left")
+        .select(
+            "vec_id",
+            F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
+            F.coalesce("component_id", "vec_id").alias("component_id"),
         )
         .withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))
     )

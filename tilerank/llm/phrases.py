@@ -9,14 +9,16 @@ counted, and a further pass counts that, until the border holds no frequent phra
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..sources.workspace import stored
 from .arrow import quoted
@@ -103,18 +105,31 @@ def _count(
         before = np.append(done & _in(old, hashes[:-1]) if old is not None else done & False, False)
 
 
-def count_phrases(texts: DataFrame, new: np.ndarray, old: np.ndarray | None, longest: int) -> DataFrame:
-    """``lang``, ``phrase``, ``words``, ``hash`` and ``f`` of what ``new`` lets count and
-    ``old``, if given, did not; without ``old`` also a row of 0 words with the number of all."""
-    context = texts.sparkSession.sparkContext
-    shared = context.broadcast((new, old))
+@contextmanager
+def _shared(spark: SparkSession, *filters: np.ndarray | None):
+    """The filters as tasks get them, until the job that needs them is done."""
+    packed = [None if words is None else zlib.compress(words.tobytes(), 1) for words in filters]
+    held = spark.sparkContext.broadcast(packed)
+    try:
+        yield held
+    finally:
+        held.destroy()
+
+
+def _unpacked(held) -> list[np.ndarray | None]:
+    return [None if raw is None else np.frombuffer(zlib.decompress(raw), dtype=np.uint64) for raw in held.value]
+
+
+def count_phrases(texts: DataFrame, shared, again: bool, longest: int) -> DataFrame:
+    """``lang``, ``phrase``, ``words``, ``hash`` and ``f`` of what the first of the ``shared``
+    filters lets count and the second, if any, did not; unless it is ``again``, also a row of
+    0 words with the number of all."""
     names = ["lang", "phrase", "words", "hash", "c"]
 
-    def counted(lang: str, numbers: _Numbers, ids: list[int]) -> Iterator[pa.RecordBatch]:
-        new, old = shared.value
+    def counted(lang: str, numbers: _Numbers, ids: list[int], new, old) -> Iterator[pa.RecordBatch]:
         stream = np.array(ids, dtype=np.int64)
         found = list(_count(lang, list(numbers), stream, new, old, longest))
-        if old is None:
+        if not again:
             total = np.array([np.count_nonzero(stream)])
             found.append((pa.array([None], type=pa.string()), 0, np.zeros(1, dtype=np.uint64), total))
         for phrases, size, hashes, counts in found:
@@ -132,6 +147,7 @@ def count_phrases(texts: DataFrame, new: np.ndarray, old: np.ndarray | None, lon
                 )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = _unpacked(shared)
         for batch in batches:
             by_lang: dict[str, list[int]] = {}
             for row, lang in enumerate(batch.column(0).to_pylist()):
@@ -142,10 +158,10 @@ def count_phrases(texts: DataFrame, new: np.ndarray, old: np.ndarray | None, lon
                     ids += map(numbers.__getitem__, data.translate(_TABLE).replace(_BREAK, b" \xff ").split())
                     ids.append(0)
                     if len(ids) >= _SLICE_WORDS:
-                        yield from counted(lang, numbers, ids)
+                        yield from counted(lang, numbers, ids, *filters)
                         numbers, ids = _Numbers({_BREAK: 0}), []
                 if ids:
-                    yield from counted(lang, numbers, ids)
+                    yield from counted(lang, numbers, ids, *filters)
 
     rows = texts.mapInArrow(run, "lang string, phrase string, words int, hash bigint, c bigint")
     # A phrase that fills many texts is added up in each task first.
@@ -157,25 +173,26 @@ def _added(phrases: DataFrame, held: np.ndarray) -> np.ndarray | None:
 
     What comes to the driver is at most the filter itself, whatever the number of phrases.
     """
-    shared = phrases.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (known,) = _unpacked(shared)
         for batch in batches:
             hashes = batch.column(0).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(~_in(shared.value, hashes.view(np.uint64))))
+            yield batch.filter(pa.array(~_in(known, hashes.view(np.uint64))))
 
     mask = len(held) * 64 - 1
     place = F.explode(
         F.array(F.col("hash").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("hash", 32).bitwiseAND(F.lit(mask)))
     )
-    bits = (
-        phrases.select("hash")
-        .mapInArrow(run, "hash bigint")
-        .select(place.alias("place"))
-        .groupBy(F.shiftright("place", 6).alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 AS int))")).alias("bits"))
-        .toArrow()
-    )
+    with _shared(phrases.sparkSession, held) as shared:
+        bits = (
+            phrases.select("hash")
+            .mapInArrow(run, "hash bigint")
+            .select(place.alias("place"))
+            .groupBy(F.shiftright("place", 6).alias("word"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 AS int))")).alias("bits"))
+            .toArrow()
+        )
     if not bits.num_rows:
         return None
     filled = held.copy()
@@ -191,8 +208,9 @@ def frequent_phrases(
     found: list[DataFrame] = []
     old = None
     while True:
-        counts = count_phrases(texts, held, old, longest)
-        found.append(stored(counts.where(F.col("words").eqNullSafe(0) | (F.col("f") >= least)), name))
+        with _shared(texts.sparkSession, held, old) as shared:
+            counts = count_phrases(texts, shared, bool(found), longest)
+            found.append(stored(counts.where((F.col("words") == 0) | (F.col("f") >= least)), name))
         border = found[-1].where((F.col("words") >= 1) & (F.col("words") < longest))
         more = _added(border, held)
         if more is None:
