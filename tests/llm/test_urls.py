@@ -1,0 +1,85 @@
+"""URL templates against their SQL on pages that reach deep, banded and split branches."""
+
+import duckdb
+import numpy as np
+import pytest
+
+from tilerank.llm import oracles, queries as registered, url_filter
+
+GOOD, BAD = "<p>" + "word " * 60 + "</p>", "<script>" + "word " * 60 + "</script><b>few"
+
+
+def generated(seed):
+    """Hosts whose sections are bad at different rates, with paths that part up to depth six."""
+    rng = np.random.default_rng(seed)
+    pages = []
+
+    def page(url, bad):
+        pages.append((len(pages), url, BAD if bad else GOOD))
+
+    for section in range(60):  # a continuum of rates: rows of alike bands, some of them split
+        for n in range(int(rng.integers(3, 30))):
+            page(f"http://wide.test/s{section}/{n}.html", rng.random() < section / 60)
+    for section in ("ok", "fine", "spam", "junk"):
+        for n in range(40):
+            page(f"http://two.test/{section}/x{n}", section in ("spam", "junk"))
+    for n in range(300):
+        deep = "/".join(str(rng.choice(["a", "b", str(rng.integers(0, 50))])) for _ in range(int(rng.integers(1, 8))))
+        page(f"https://deep.test/lang/{deep}", rng.random() < (0.9 if "/b" in deep else 0.1))
+    for n in range(20):
+        page(f"http://best-price.test/item/{n}?q#f", False)
+        page(f"http://x.org/fr/{n}", n % 2)
+    return [*pages, (9000, None, None), (9001, "no scheme", GOOD), (9002, "http://lone.test", None), *pages[:5]]
+
+
+def rows_of(result):
+    return sorted(((*r[:6], round(r[6], 9)) for r in result), key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_generated_pages_equal_sql(spark, seed):
+    pages = generated(seed)
+    df = spark.createDataFrame([(*p, "x", False) for p in pages], "page_id bigint, url string, html string, host string, bad boolean")
+    label = url_filter.suspicious(df["url"], df["html"])
+    found = url_filter.judge_urls(df, bad=label).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", pages)
+    assert rows_of(found) == rows_of(con.execute(oracles.urls()).fetchall())
+    by_template = {(r.host, r.template): r.verdict for r in found}
+    assert by_template["best-price.test", "/item/<n>"] == "block"
+    assert by_template["two.test", "/<~junk>/<*>"] == "block" and by_template["two.test", "/<~fine>/<*>"] == "allow"
+    merged = {t for h, t in by_template if h == "wide.test"}
+    assert len({t.split('/')[1] for t in merged}) < 30 and any("<~" in t for t in merged)
+    assert max(t.count("/") for h, t in by_template if h == "deep.test") >= 6
+
+
+def test_templates_decide_some_urls_without_a_rule(spark):
+    judged = registered.queries()["op1_url_filters"](spark, "/root/testdata/sf0.1")
+    left = judged.where("rule IS NULL")
+    assert left.where("verdict = 'block' AND bad_share >= 0.8").count() > 0
+    assert 0 < left.where("verdict = 'allow' AND bad_share < 0.8").count()
+    assert left.where("(verdict = 'block') <> (bad_share >= 0.8)").count() == 0
+
+
+def test_rounds_follow_branches_and_not_lengths(spark, monkeypatch):
+    chain = "/".join(f"s{n}" for n in range(200))
+    pages = [(n, f"http://h.test/{chain}/{'ab'[n // 2]}/{n}") for n in range(4)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string")
+    stored, written = url_filter.stored, []
+    monkeypatch.setattr(url_filter, "stored", lambda df, name: written.append(name) or stored(df, name))
+    found = url_filter.judge_urls(df, rules=(), least_support=2)
+    assert {r.template for r in found.collect()} == {f"/{chain}/a/<n>", f"/{chain}/b/<n>"}
+    assert written.count("nodes") < 10
+    # Paths that end on the way of others.
+    pages = [(n, "http://h.test/" + "/".join("abcdef"[: n + 1])) for n in range(6)] * 2
+    df = spark.createDataFrame(pages, "page_id bigint, url string")
+    assert {r.template for r in url_filter.judge_urls(df, rules=()).collect()} >= {"/a", "/a/b", "/a/b/c/d"}
+
+
+def test_the_first_of_equally_long_rules_decides(spark):
+    df = spark.createDataFrame([(1, "http://a.com/b/"), (2, "http://a.com/c")], "page_id bigint, url string")
+    rules = (("a.com/", "block"), ("com/b/", "allow"))
+    assert [r.rule for r in url_filter.judge_urls(df, rules=rules).orderBy("page_id").collect()] == ["a.com/"] * 2
+    rules = rules[::-1]
+    assert [r.rule for r in url_filter.judge_urls(df, rules=rules).orderBy("page_id").collect()] == ["com/b/", "a.com/"]

@@ -238,77 +238,110 @@ def _rule_case(result) -> str:
     return "CASE " + " ".join(lines) + " END"
 
 
-def _url_level(level: int) -> str:
-    before = f"t{level - 1}" if level else "start"
-    u = url_filter
+def _variable(segment: str) -> str:
+    return f"CASE WHEN regexp_full_match({segment}, '[0-9]+(\\.[A-Za-z0-9]+)?') THEN '<n>' ELSE '<*>' END"
+
+
+def _lone(rest: str) -> str:
+    """The template of the segments below a node that is no parent."""
+    names = f"CASE WHEN n >= {url_filter.LEAST_SUPPORT} THEN '/' || x ELSE '/' || {_variable('x')} END"
+    return f"coalesce(array_to_string(list_transform({rest}, lambda x: {names}), ''), '')"
+
+
+def _apart(b: str, n: str, b0: str, n0: str, deviations: float) -> str:
+    p = f"(({b} + {b0} + 1) / ({n} + {n0} + 2))"
+    return f"(({b} / {n} - {b0} / {n0}) > {deviations}::DOUBLE * sqrt({p} * (1 - {p}) * (1 / {n} + 1 / {n0})))"
+
+
+def _url_level(k: int) -> str:
+    before, u = f"t{k}", url_filter
     return f"""
-nodes{level} AS (
-    SELECT host, template, s[{level + 1}] AS seg, sum(n) AS n, sum(n_labelled) AS l, sum(n_bad) AS b
-    FROM {before} WHERE len(s) > {level} GROUP BY ALL
-),
-literal{level} AS (
-    SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY host, template) AS parent_n FROM nodes{level})
-    WHERE n >= {u.LEAST_SUPPORT} AND n >= parent_n * {u.LEAST_SHARE}
-),
-shares{level} AS (
-    SELECT *, b / l AS share, lag(b) OVER w AS b0, lag(l) OVER w AS l0, lag(b / l) OVER w AS share0
-    FROM literal{level} WHERE l >= {u.LEAST_LABELLED}
-    WINDOW w AS (PARTITION BY host, template ORDER BY b / l, seg)
-),
-gaps{level} AS (
-    SELECT *, (b + b0 + 1) / (l + l0 + 2) AS p FROM shares{level}
-),
-grouped{level} AS (
-    SELECT *, sum(CASE WHEN share - share0 <= {u.DEVIATIONS}::DOUBLE * sqrt(p * (1 - p) * (1 / l + 1 / l0))
-        THEN 0 ELSE 1 END) OVER (PARTITION BY host, template ORDER BY share, seg) AS g
-    FROM gaps{level}
-),
-merged{level} AS (
-    SELECT host, template, seg, '<~' || min(seg) OVER (PARTITION BY host, template, g) || '>' AS name,
-        count(*) OVER (PARTITION BY host, template, g) AS many
-    FROM grouped{level}
-),
-branch{level} AS (
-    SELECT v.host, v.template, v.seg, CASE WHEN many > 1 THEN name ELSE v.seg END AS branch
-    FROM literal{level} v LEFT JOIN merged{level} m
-        ON v.host = m.host AND v.template = m.template AND v.seg = m.seg
-),
-t{level} AS (
-    SELECT p.host, p.path, p.s, p.n, p.n_labelled, p.n_bad, CASE WHEN len(p.s) > {level} THEN p.template || '/' || coalesce(branch,
-        CASE WHEN regexp_full_match(p.s[{level + 1}], '[0-9]+(\\.[A-Za-z0-9]+)?') THEN '<n>' ELSE '<*>' END)
-        ELSE p.template END AS template
-    FROM {before} p LEFT JOIN branch{level} v
-        ON v.host = p.host AND v.template = p.template AND v.seg = p.s[{level + 1}]
+parents{k} AS MATERIALIZED (
+    SELECT host, t, sum(n) AS parent_n FROM {before} WHERE open GROUP BY host, t
+    HAVING sum(n) >= {u.LEAST_SUPPORT} AND count(*) > 1
+),
+literal{k} AS MATERIALIZED (
+    SELECT host, t, s[{k + 1}] AS seg, sum(n_labelled) AS l, sum(n_bad) AS b
+    FROM {before} JOIN parents{k} USING (host, t) WHERE open GROUP BY host, t, s[{k + 1}], parent_n
+    HAVING sum(n) >= {u.LEAST_SUPPORT}
+        AND (sum(n_labelled) >= {u.LEAST_LABELLED} OR sum(n) >= parent_n * {u.LEAST_SHARE}::DOUBLE)
+),
+in_band{k} AS MATERIALIZED (
+    SELECT *, floor(b * {u.BANDS} / l) AS band FROM literal{k} WHERE l >= {u.LEAST_LABELLED}
+),
+bands{k} AS MATERIALIZED (
+    SELECT host, t, band, avg(b) AS b, avg(l) AS l, sum(b) AS all_b, sum(l) AS all_l
+    FROM in_band{k} GROUP BY host, t, band
+),
+steps{k} AS MATERIALIZED (
+    SELECT *, lag(b) OVER w AS b0, lag(l) OVER w AS l0 FROM bands{k}
+    WINDOW w AS (PARTITION BY host, t ORDER BY band)
+),
+rows{k} AS MATERIALIZED (
+    SELECT *, sum(CASE WHEN b0 IS NULL OR {_apart("b", "l", "b0", "l0", u.DEVIATIONS)} THEN 1 ELSE 0 END)
+        OVER (PARTITION BY host, t ORDER BY band) AS g
+    FROM steps{k}
+),
+ends{k} AS MATERIALIZED (
+    SELECT host, t, g, arg_min(b, band) AS low_b, arg_min(l, band) AS low_l, arg_max(b, band) AS high_b,
+        arg_max(l, band) AS high_l, sum(all_b) / sum(all_l) AS mean
+    FROM rows{k} GROUP BY host, t, g
+),
+placed{k} AS MATERIALIZED (
+    SELECT i.host, i.t, i.seg, r.g, CASE WHEN {_apart("high_b", "high_l", "low_b", "low_l", 2 * u.DEVIATIONS)}
+        THEN floor((i.b + {u.PRIOR_WEIGHT}::DOUBLE * mean) / (i.l + {u.PRIOR_WEIGHT}::DOUBLE) * {u.SPLIT_BANDS})
+        ELSE -1 END AS part
+    FROM in_band{k} i JOIN rows{k} r USING (host, t, band) JOIN ends{k} USING (host, t, g)
+),
+names{k} AS MATERIALIZED (
+    SELECT host, t, seg, CASE WHEN count(*) OVER w > 1 THEN '<~' || min(seg) OVER w || '>' ELSE seg END AS name
+    FROM placed{k} WINDOW w AS (PARTITION BY host, t, g, part)
+),
+t{k + 1} AS MATERIALIZED (
+    SELECT p.host, p.path, p.s, p.n, p.n_labelled, p.n_bad,
+        CASE WHEN NOT p.open THEN p.t
+            WHEN parent_n IS NULL THEN p.t || {_lone(f"p.s[{k + 1}:]")}
+            ELSE p.t || '/' || coalesce(m.name, v.seg, {_variable(f"p.s[{k + 1}]")}) END AS t,
+        p.open AND parent_n IS NOT NULL AND len(p.s) > {k + 1} AS open
+    FROM {before} p LEFT JOIN parents{k} r ON r.host = p.host AND r.t = p.t AND p.open
+        LEFT JOIN literal{k} v ON v.host = p.host AND v.t = p.t AND v.seg = p.s[{k + 1}] AND p.open
+        LEFT JOIN names{k} m ON m.host = p.host AND m.t = p.t AND m.seg = p.s[{k + 1}] AND p.open
 ),"""
 
 
-def urls() -> str:
+def urls(levels: int = 8) -> str:
+    """The tree, segment by segment: for paths that part within so many segments."""
     u = url_filter
-    last = f"t{u.LEVELS - 1}"
     return f"""
-WITH parts AS (
-    SELECT page_id,
+WITH parts AS MATERIALIZED (
+    SELECT page_id, html,
         translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''),
             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-        coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path
+        coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path,
+        regexp_extract_all(regexp_replace(regexp_replace(html,
+            '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs'), '<[^>]*>', ' ', 'g'),
+            '[^\\x20\\x09-\\x0D]+') AS words
     FROM pages
 ),
-ruled AS (
+ruled AS MATERIALIZED (
     SELECT *, {_rule_case(lambda text, verdict: text)} AS rule,
-        {_rule_case(lambda text, verdict: verdict)} AS rule_verdict
+        {_rule_case(lambda text, verdict: verdict)} AS rule_verdict,
+        CASE WHEN contains(host, '-') THEN true WHEN html IS NULL THEN NULL
+            ELSE len(words) < {u.LEAST_WORDS} OR 100 * len(list_filter(words,
+                lambda word: regexp_matches(word, '[A-Za-z\\x{{C0}}-\\x{{FF}}]'))) < {u.LEAST_LETTERED} * len(words) END AS bad
     FROM parts
 ),
-start AS (
-    SELECT host, path, string_split(regexp_replace(path, '^/', ''), '/') AS s, '' AS template,
-        count(*) AS n, count(rule_verdict) AS n_labelled,
-        count(*) FILTER (rule_verdict = 'block') AS n_bad
+t0 AS MATERIALIZED (
+    SELECT host, path, string_split(regexp_replace(path, '^/', ''), '/') AS s,
+        count(*) AS n, count(bad) AS n_labelled, count(*) FILTER (bad) AS n_bad, '' AS t, true AS open
     FROM ruled GROUP BY host, path
 ),
-mean AS (SELECT (sum(n_bad) + 1) / (sum(n_labelled) + 2) AS share FROM start),
-{"".join(_url_level(level) for level in range(u.LEVELS))}
-placed AS (
-    SELECT * REPLACE (CASE WHEN len(s) > {u.LEVELS} THEN template || '/<..>' ELSE template END AS template)
-    FROM {last}
+mean AS (SELECT (sum(n_bad) + 1) / (sum(n_labelled) + 2) AS share FROM t0),
+{"".join(_url_level(level) for level in range(levels))}
+placed AS MATERIALIZED (
+    SELECT host, path, n_labelled, n_bad,
+        CASE WHEN open THEN t || {_lone(f"s[{levels + 1}:]")} ELSE t END AS template
+    FROM t{levels}
 ),
 judged AS (
     SELECT host, template,

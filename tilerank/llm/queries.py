@@ -16,7 +16,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(read(spark, sf_dir, "pages"))
+    label = url_filter.suspicious(F.col("url"), F.col("html"))
+    return url_filter.judge_urls(read(spark, sf_dir, "pages"), bad=label)
 
 
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,6 @@ RULES = (
     ("example.com/de/", "block"),
     ("org/fr/", "allow"),
 )
-LEVELS = 4  # of the SQL form, whose tables have three segments at most
 LEAST_SUPPORT = 3
 LEAST_SHARE = 0.05
 LEAST_LABELLED = 5
@@ -30,9 +29,18 @@ SPLIT_BANDS = 20
 PRIOR_WEIGHT = 4.0
 PURITY = 0.8
 
+# Published bounds for text worth keeping, in words and in percent of them that
+# have a letter.
+LEAST_WORDS = 50
+LEAST_LETTERED = 80
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Digits, with or without an extension.
 _NUMBER = r"^[0-9]+(\.[A-Za-z0-9]+)?$"
+_HIDDEN = "(?s)<(script|style)[^>]*>.*?</(script|style)>"
+_TAG = "<[^>]*>"
+_SPACES = r"[\x20\x09-\x0D]+"
+_LETTER = "[A-Za-z\u00c0-\u00ff]"
 # Host up to the first of / ? #, path up to the first of ? #, after the first "://".
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -46,11 +54,26 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
+def suspicious(url: Column, html: Column) -> Column:
+    """Whether a page speaks against its url, from its own row; null if that says nothing.
+
+    It does if the host has a hyphen, as few hosts that are not made for search engines have,
+    or if what the html shows (no tags, scripts or styles) has fewer than ``LEAST_WORDS`` words,
+    or letters in fewer than ``LEAST_LETTERED`` percent of them.
+    """
+    shown = F.regexp_replace(F.regexp_replace(html, _HIDDEN, " "), _TAG, " ")
+    words = F.filter(F.split(shown, _SPACES), lambda word: word != "")
+    lettered = F.filter(words, lambda word: word.rlike(_LETTER))
+    poor = (F.size(words) < LEAST_WORDS) | (F.size(lettered) * 100 < F.size(words) * LEAST_LETTERED)
+    return F.when(host_of(url).contains("-"), True).when(html.isNotNull(), poor)
+
+
 def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
     """The longest rule that fits, and its verdict; nulls where none does. A rule's host fits
     itself and its subdomains; its path fits what begins with it. Ties go to the first."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for text, decision in sorted(rules, key=lambda pair: len(pair[0])):
+    # What comes later decides, so of equally long ones the first comes last.
+    for text, decision in sorted(reversed(rules), key=lambda pair: len(pair[0])):
         name, slash, rest = text.partition("/")
         fits = ((host == name) | host.endswith("." + name)) & path.startswith(slash + rest)
         rule = F.when(fits, text).otherwise(rule)
@@ -124,7 +147,10 @@ def _variable(segment: Column) -> Column:
 
 def _lone(rest: Column, n: Column, least_support: int) -> Column:
     """The template of segments that no other path shares, or that have too few urls."""
-    names = F.when(n >= least_support, rest).otherwise(F.transform(rest, _variable))
+    return _joined(F.when(n >= least_support, rest).otherwise(F.transform(rest, _variable)))
+
+
+def _joined(names: Column) -> Column:
     return F.array_join(F.transform(names, lambda name: F.concat(F.lit("/"), name)), "")
 
 
@@ -148,8 +174,10 @@ def path_templates(
     alike ones become one, ``<~x>``, x being the first of their names. Where a row of alike
     bands has ends that differ by twice as much, its branches are instead put together by
     ``SPLIT_BANDS`` bands of smoothed share. The
-    levels go on while any node has ``least_support`` urls on two paths or more; what lies
-    below other nodes needs no counts. Only if ``levels`` are given, what lies below so many
+    tree grows while any node has ``least_support`` urls on two paths or more; what lies
+    below other nodes needs no counts. Segments that all paths below a node share, which would
+    all stay themselves, are passed in one step, so that rounds grow with how often paths
+    part and not with their length. Only if ``levels`` are given, what lies below so many
     segments becomes ``<..>``. Counts are pre-aggregated per node, and no host is gathered
     anywhere.
     """
@@ -158,30 +186,42 @@ def path_templates(
     if levels is not None:
         below = F.when(F.size(segments) > levels, "/<..>").otherwise("")
         segments = F.slice(segments, 1, levels)
-    rows = paths.withColumns({"_below": below, "_segments": segments, "template": F.lit("")})
+    # What is left of each path below its node.
+    rows = paths.withColumns({"_below": below, "_rest": segments, "template": F.lit("")})
     node = ["host", "template"]
-    done, level = [], 0
-    while levels is None or level < levels:
-        # Rows that have a segment at this level; the others are done.
-        counted = rows.groupBy(*node).agg(F.sum("n").alias("_parent_n"), F.count(F.lit(1)).alias("_paths"))
+    done = []
+    while True:
+        # The first and the last path below a node share what all of them do.
+        pairs = F.zip_with("_first", "_last", lambda one, other: one.eqNullSafe(other))
+        differ = F.array_position(pairs, F.lit(False)).cast("int")
+        common = F.when(differ > 0, differ - 1).otherwise(F.size("_first"))
         parents = stored(
-            counted.where((F.col("_parent_n") >= least_support) & (F.col("_paths") > 1)).drop("_paths"), "nodes"
+            rows.groupBy(*node)
+            .agg(
+                F.sum("n").alias("_parent_n"),
+                F.count(F.lit(1)).alias("_paths"),
+                F.min("_rest").alias("_first"),
+                F.max("_rest").alias("_last"),
+            )
+            .where((F.col("_parent_n") >= least_support) & (F.col("_paths") > 1))
+            .select(*node, "_parent_n", F.slice("_first", F.lit(1), common).alias("_chain")),
+            "nodes",
         )
         if parents.isEmpty():
             break
-        rows = rows.withColumn("_segment", F.get("_segments", F.lit(level)))
+        rows = rows.withColumn("_segment", F.get("_rest", F.lit(0)))
         nodes = rows.groupBy(*node, "_segment").agg(
             F.sum("n").alias("_n"),
             F.sum("n_labelled").alias("_labelled"),
             F.sum("n_bad").alias("_bad"),
         )
         literal = (
-            nodes.join(parents, node)
+            nodes.join(parents.where(F.size("_chain") == 0), node)
             .where(
                 (F.col("_n") >= least_support)
                 & ((F.col("_labelled") >= least_labelled) | (F.col("_n") >= F.col("_parent_n") * least_share))
             )
-            .drop("_parent_n", "_n")
+            .drop("_parent_n", "_n", "_chain")
         )
         merged = _merged(literal.where(F.col("_labelled") >= least_labelled), deviations)
         branches = literal.join(merged, [*node, "_segment"], "left").select(
@@ -189,34 +229,37 @@ def path_templates(
         )
         # A node that is no parent has one path, or too few urls for any literal segment.
         found = rows.join(parents, node, "left").join(branches, [*node, "_segment"], "left")
-        rest = F.slice("_segments", level + 1, F.greatest(F.size("_segments") - level, F.lit(0)))
-        # Written, as the next level reads it twice.
+        passed = F.greatest(F.size("_chain"), F.lit(1))
+        step = F.when(F.size("_chain") > 0, _joined(F.col("_chain"))).otherwise(
+            F.concat(F.lit("/"), F.coalesce("_branch", _variable(F.col("_segment"))))
+        )
+        # Written, as the next round reads it twice.
         moved = stored(
-            found.withColumn("_open", F.col("_parent_n").isNotNull() & (F.size("_segments") > level + 1))
+            found.withColumn("_open", F.col("_parent_n").isNotNull() & (F.size("_rest") > passed))
             .withColumn(
                 "template",
-                F.when(
-                    F.col("_parent_n").isNotNull(),
-                    F.concat("template", F.lit("/"), F.coalesce("_branch", _variable(F.col("_segment")))),
-                ).otherwise(F.concat("template", _lone(rest, F.col("n"), least_support))),
+                F.when(F.col("_parent_n").isNotNull(), F.concat("template", step)).otherwise(
+                    F.concat("template", _lone(F.col("_rest"), F.col("n"), least_support))
+                ),
+            )
+            .withColumn(
+                "_rest", F.when(F.col("_open"), F.slice("_rest", passed + 1, F.size("_rest"))).otherwise(F.array())
             )
-            .drop("_segment", "_branch", "_parent_n"),
+            .drop("_segment", "_branch", "_parent_n", "_chain"),
             "templates",
         )
         done.append(moved.where(~F.col("_open")).drop("_open"))
         rows = moved.where("_open").drop("_open")
-        level += 1
-    rest = F.slice("_segments", level + 1, F.greatest(F.size("_segments") - level, F.lit(0)))
-    done.append(rows.withColumn("template", F.concat("template", _lone(rest, F.col("n"), least_support))))
+    done.append(rows.withColumn("template", F.concat("template", _lone(F.col("_rest"), F.col("n"), least_support))))
     placed = reduce(DataFrame.unionByName, done)
-    return placed.withColumn("template", F.concat("template", "_below")).drop("_segments", "_below")
+    return placed.withColumn("template", F.concat("template", "_below")).drop("_rest", "_below")
 
 
 def judge_urls(
     pages: DataFrame,
     id_col: str = "page_id",
     url: str = "url",
-    bad: str | None = None,
+    bad: str | Column | None = None,
     rules: Sequence[tuple[str, str]] = RULES,
     purity: float = PURITY,
     prior_weight: float = PRIOR_WEIGHT,
@@ -227,20 +270,21 @@ def judge_urls(
 
     A rule decides where one fits. Elsewhere the path's template does: it is blocked if its
     share of bad urls among its labelled ones, smoothed by ``prior_weight`` urls of the mean
-    share, reaches ``purity``. Labels are the boolean column ``bad`` (null: none) or, without
-    one, the verdicts of the rules. A null url, or one without ``://``, has empty host and
+    share, reaches ``purity``. Labels are the boolean column ``bad`` (null: none), as
+    ``suspicious`` gives, or, without one, the verdicts of the rules. A null url, or one without ``://``, has empty host and
     path, and is allowed unless a rule or template says otherwise. Repeated rows count as
     often as they come; other columns are ignored.
     """
+    label = F.lit(None).cast("boolean") if bad is None else F.col(quoted(bad)) if isinstance(bad, str) else bad
     host, path = host_of(F.col(quoted(url))), path_of(F.col(quoted(url)))
     rule, decision = matching_rule(F.col("host"), F.col("path"), rules)
     rows = pages.select(
         F.col(quoted(id_col)).cast("bigint").alias("page_id"),
         host.alias("host"),
         path.alias("path"),
-        (F.col(quoted(bad)) if bad else F.lit(None).cast("boolean")).alias("_bad"),
+        label.alias("_bad"),
     ).withColumns({"rule": rule, "_rule_verdict": decision})
-    label = F.col("_bad") if bad else F.col("_rule_verdict") == "block"
+    label = F.col("_bad") if bad is not None else F.col("_rule_verdict") == "block"
     paths = stored(
         rows.groupBy("host", "path").agg(
             F.count(F.lit(1)).alias("n"),
