@@ -2,6 +2,9 @@
 
 import glob
 import gzip
+import os
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -266,14 +269,54 @@ def test_archives_round_trip(spark):
 
 def test_archives_are_plain_warc_and_the_index_is_ordered(spark, sf_dir, folder):
     pages = registered.read(spark, sf_dir, "pages")
-    warc.write_archives(warc.decide(pages), folder + "/a", file_bytes=100_000)
-    files = glob.glob(folder + "/a/*.gz")
-    assert len(files) > 1
-    kinds = [f[b"warc-type"] for path in files for f, _, _ in warc.parse(gzip.open(path).read())]
-    assert len(kinds) == pages.count()
-    merged = warc.merged_index(warc.read_archives(spark, folder + "/a"), ranges=4)
-    order = [(r.urlkey, r.captured, r.page_id) for r in merged.collect()]
+    warc.write_archives(warc.decide(pages).repartition(5), folder + "/a", file_bytes=20_000)
+    files = glob.glob(folder + "/a/*/part-*")
+    assert len(files) > 5
+    # Bounded by bytes, whatever the records' sizes, and readable as one gzip stream.
+    sizes = [os.path.getsize(path) for path in files]
+    kinds = []
+    for path in files:
+        found = [f[b"warc-type"] for f, _, _ in warc.parse(gzip.open(path).read())]
+        assert os.path.getsize(path) <= 20_000 or len(found) == 1
+        kinds += found
+    assert len(kinds) == pages.count() and sum(sizes) > 0
+    captures = warc.read_archives(spark, folder + "/a")
+    merged = warc.merged_index(captures, range_rows=40, fan_in=3)
+    rows = merged.withColumn("part", F.spark_partition_id()).collect()
+    order = [(r.urlkey, r.captured, r.page_id) for r in rows]
     assert order == sorted(order) and len(order) == len(kinds)
+    assert max(Counter(r.part for r in rows).values()) < 120
+    assert sorted(tuple(r) for r in merged.collect()) == sorted(
+        tuple(r) for r in captures.select(merged.columns).collect()
+    )
+    # A row of the index finds its record.
+    by_id = {r.page_id: r.html for r in pages.collect()}
+    for row in rows[:: max(1, len(rows) // 5)]:
+        fields, block = warc.fetch_record(spark, folder + "/a", row.run, row.run_offset, row.run_length)
+        assert fields[b"warc-target-uri"].decode() == row.url and fields[b"warc-type"].decode() == row.record_type
+        assert block == (b"" if row.record_type == "revisit" else (by_id[row.page_id] or "").encode())
+
+
+def test_members_of_records_above_16_mb():
+    large = random.Random(1).randbytes(1 << 24)
+    made = [warc.member(data) for data in (b"one", large, b"two")]
+    assert all(data[-1] == 0 for data in made)
+    joined = b"".join(made)
+    assert gzip.decompress(joined) == b"one" + large + b"two"
+    found = list(warc.members(joined))
+    assert [content for _, _, content in found] == [b"one", large, b"two"]
+    assert [joined[a : a + n] for a, n, _ in found] == made
+
+
+def test_no_pages_and_clashing_columns(spark):
+    none = spark.createDataFrame([], "page_id bigint, url string, html string")
+    assert warc.archive_and_index(none).count() == 0
+    df = spark.createDataFrame(
+        [(1, "http://a/", "x" * 1200, "r", 1), (2, "http://b/", "x" * 1200, "r", 2)],
+        "page_id bigint, url string, html string, run string, payload_digest int",
+    )
+    rows = warc.archive_and_index(df).collect()
+    assert [(r.page_id, r.record_type, r.refers_to) for r in rows] == [(1, "revisit", 2), (2, "response", None)]
 
 
 def test_pipeline_stages_take_effect(spark, sf_dir):

@@ -1,9 +1,10 @@
 """WARC archives: records written and read back by Spark, and their index merged.
 
-A record is a row of text whose separator ends it, so that Spark's own writer makes the
-files, wherever they are kept. An archive is read as whole files of bounded size. Each
-archive's captures are a sorted run; runs meet in ranges of the URL key, where a loser tree
-merges them into one ordered history.
+Each record is a gzip member of its own, so that a reader can seek to it. A member is a row of
+Spark's own text writer, which makes the files wherever they are kept; archives are closed by
+their bytes and read as whole files. Each archive's captures are sorted on their own, as a run.
+Runs are merged in passes of bounded fan-in: what a task merges, by a loser tree, is a range of
+the URL key with a bounded number of rows.
 """
 
 from __future__ import annotations
@@ -12,21 +13,27 @@ import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.numbering import number_rows
 from ..sources.workspace import scratch_path, stored
-from .arrow import quoted
+from .arrow import quoted, runs_by_key
 
 VERSION = "WARC/1.1"
 LINE = "\r\n"
 LEAST_SHARED = 1000
 FILE_BYTES = 16 << 20
+RANGE_ROWS = 100_000
+FAN_IN = 64
 
 SCHEMA = (
     "page_id bigint, url string, urlkey string, captured string, record_type string,"
-    " payload_bytes bigint, payload_digest string, refers_to bigint, run string, run_offset bigint"
+    " payload_bytes bigint, payload_digest string, refers_to bigint, run string, run_offset bigint,"
+    " run_length bigint"
 )
+ORDER = ["urlkey", "captured", "page_id"]
 
 
 def url_key(url: Column) -> Column:
@@ -123,23 +130,84 @@ def records(decided: DataFrame) -> Column:
     )
 
 
+def member(record: bytes) -> bytes:
+    """A record as a gzip member whose last byte is zero. That is the top byte of the record's
+    length, which takes 16 MB to be anything else; then an empty member follows."""
+    made = _gzip(record)
+    return made if not made[-1] else made + _gzip(b"")
+
+
+def _gzip(data: bytes) -> bytes:
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
+def _members(file_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive, used = 0, 0
+        for batch in batches:
+            made = [member(record + b"\r\n\r\n") for record in batch.column(1).to_pylist()]
+            numbers = []
+            for data in made:
+                if used and used + len(data) > file_bytes:
+                    archive, used = archive + 1, 0
+                used += len(data)
+                numbers.append(archive)
+            task = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                # The zero at the end of a member is what the writer puts after each row.
+                [pa.array((task << 32) + np.array(numbers)), pa.array([data[:-1] for data in made], type=pa.binary())],
+                names=["archive", "value"],
+            )
+
+    return run
+
+
 def write_archives(decided: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
-    """Write one record per row into gzipped archives under ``path``.
+    """Write one record per row into archives under ``path``, one gzip member per record.
 
-    A file is closed by its number of records, which the mean record size sets, so that files
-    stay near ``file_bytes``; a single larger record makes a larger file.
+    An archive is closed before it would pass ``file_bytes``, whatever the records' sizes; a
+    single larger record is an archive of its own.
     """
-    sized = decided.agg(F.avg("payload_bytes")).first()[0] or 0
-    per_file = max(1, int(file_bytes // (sized + 512)))
+    rows = decided.select(
+        F.spark_partition_id().cast("bigint").alias("task"), F.encode(records(decided), "UTF-8").alias("record")
+    )
     (
-        decided.select(records(decided).alias("value"))
-        .write.option("lineSep", LINE * 2)
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", per_file)
+        rows.mapInArrow(_members(file_bytes), "archive bigint, value binary")
+        .select("archive", F.col("value").cast("string"))
+        .write.partitionBy("archive")
+        .option("lineSep", "\0")
         .text(path)
     )
 
 
+def members(raw: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and content of the gzip members of an archive; empty ones belong to
+    those before them. A file that is not gzipped is one member."""
+    if raw[:2] != b"\x1f\x8b":
+        yield 0, len(raw), raw
+        return
+    at, held = 0, None
+    while at < len(raw):
+        unpack, parts, start = zlib.decompressobj(31), [], at
+        while not unpack.eof:
+            piece = raw[at : at + 4096]
+            if not piece:
+                raise ValueError(f"the member at offset {start} has no end")
+            parts.append(unpack.decompress(piece))
+            at += len(piece)
+        at -= len(unpack.unused_data)
+        content = b"".join(parts)
+        if held is not None and not content:
+            held = (held[0], at - held[0], held[2])
+            continue
+        if held is not None:
+            yield held
+        held = (start, at - start, content)
+    if held is not None:
+        yield held
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes, int]]:
     """Header fields (names in lower case), block and offset of each record in an archive."""
     at = 0
@@ -169,36 +237,38 @@ def _page(urn: bytes | None) -> int | None:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "url", "captured", "record_type", "payload_bytes", "payload_digest"]
-    names += ["refers_to", "run", "run_offset"]
+    names += ["refers_to", "run", "run_offset", "run_length"]
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            raw = content.as_py()
-            data = zlib.decompress(raw, 47) if raw[:2] == b"\x1f\x8b" else raw
+            run = "/".join(path.split("/")[-2:])
             out: list[list] = [[] for _ in names]
-            for fields, block, offset in parse(data):
-                kind = fields[b"warc-type"].decode()
-                told = fields[b"warc-payload-digest"].removeprefix(b"sha1:").decode()
-                if kind == "revisit":
-                    length, digest = int(fields[b"x-payload-length"]), told
-                else:
-                    length, digest = len(block), hashlib.sha1(block).hexdigest()
-                    if digest != told:
-                        raise ValueError(f"the payload at {offset} of {path} is not what was written")
-                url = fields.get(b"warc-target-uri")
-                row = (
-                    _page(fields[b"warc-record-id"]),
-                    None if url is None else url.decode(),
-                    fields[b"warc-date"].decode(),
-                    kind,
-                    length,
-                    digest,
-                    _page(fields.get(b"warc-refers-to")),
-                    path.rpartition("/")[2],
-                    offset,
-                )
-                for held, value in zip(out, row, strict=True):
-                    held.append(value)
-            kinds = [pa.int64(), *[pa.string()] * 3, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            for start, length, data in members(content.as_py()):
+                for fields, block, offset in parse(data):
+                    kind = fields[b"warc-type"].decode()
+                    told = fields[b"warc-payload-digest"].removeprefix(b"sha1:").decode()
+                    if kind == "revisit":
+                        size, digest = int(fields[b"x-payload-length"]), told
+                    else:
+                        size, digest = len(block), hashlib.sha1(block).hexdigest()
+                        if digest != told:
+                            raise ValueError(f"the payload at {start + offset} of {path} is not what was written")
+                    url = fields.get(b"warc-target-uri")
+                    row = (
+                        _page(fields[b"warc-record-id"]),
+                        None if url is None else url.decode(),
+                        fields[b"warc-date"].decode(),
+                        kind,
+                        size,
+                        digest,
+                        _page(fields.get(b"warc-refers-to")),
+                        run,
+                        start,
+                        length,
+                    )
+                    for held, value in zip(out, row, strict=True):
+                        held.append(value)
+            kinds = [pa.int64(), *[pa.string()] * 3, pa.int64(), pa.string(), pa.int64(), pa.string()]
+            kinds += [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays(
                 [pa.array(values, type=kind) for values, kind in zip(out, kinds, strict=True)], names=names
             )
@@ -206,14 +276,31 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark, path: str) -> DataFrame:
     """The captures in the archives under ``path``, with payload length and digest: of the
-    payload itself for responses, as told for revisits. One archive is read at a time."""
+    payload itself for responses, as told for revisits. ``run`` is the archive; the record is
+    the gzip member of ``run_length`` bytes at ``run_offset``. One archive is read at a time,
+    and its captures come sorted."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     found = files.mapInArrow(
         _read,
         "page_id bigint, url string, captured string, record_type string, payload_bytes bigint,"
-        " payload_digest string, refers_to bigint, run string, run_offset bigint",
+        " payload_digest string, refers_to bigint, run string, run_offset bigint, run_length bigint",
     )
-    return found.withColumn("urlkey", url_key(F.col("url")))
+    return found.withColumn("urlkey", url_key(F.col("url"))).sortWithinPartitions("run", *ORDER)
+
+
+def fetch_record(spark, path: str, run: str, offset: int, length: int) -> tuple[dict[bytes, bytes], bytes]:
+    """Header fields and block of one record, by what the index says of it: only its bytes are
+    read, from any file system that Spark knows."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{run}")
+    stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file)
+    try:
+        stream.seek(offset)
+        raw = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length))
+    finally:
+        stream.close()
+    ((_, _, data),) = members(raw)
+    fields, block, _ = next(parse(data))
+    return fields, block
 
 
 def merge_runs(runs: list[Iterable[tuple]]) -> Iterator[tuple]:
@@ -255,37 +342,46 @@ def merge_runs(runs: list[Iterable[tuple]]) -> Iterator[tuple]:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One range of the index: rows come run after run, each run sorted."""
-    table = pa.Table.from_batches(held) if (held := list(batches)) else None
-    if table is None or not table.num_rows:
-        return
-    run = table.column("run").to_pylist()
-    # Nulls first, as Spark sorts; the row number stands for the rest of the row.
-    keys = [
-        (key, captured, page is not None, page or 0, row)
-        for row, (key, captured, page) in enumerate(
-            zip(*[table.column(c).to_pylist() for c in ("urlkey", "captured", "page_id")], strict=True)
-        )
-    ]
-    starts = [0] + [i for i in range(1, len(run)) if run[i] != run[i - 1]] + [len(run)]
-    runs = [keys[a:b] for a, b in zip(starts, starts[1:], strict=False)]
-    order = [key[-1] for key in merge_runs(runs)]
-    yield from table.take(pa.array(order, type=pa.int64())).combine_chunks().to_batches()
+    """A range of one or more groups: rows come group after group, in each run after run."""
+    for table in runs_by_key(batches, ("_group",)):
+        number = table.column("_no").to_numpy()
+        # Nulls first, as Spark sorts; the row number stands for the rest of the row.
+        keys = [
+            (key, captured, page is not None, page or 0, row)
+            for row, (key, captured, page) in enumerate(
+                zip(*[table.column(c).to_pylist() for c in ORDER], strict=True)
+            )
+        ]
+        starts = [0, *(np.flatnonzero(number[1:] != number[:-1]) + 1).tolist(), len(number)]
+        order = [key[-1] for key in merge_runs([keys[a:b] for a, b in zip(starts, starts[1:], strict=False)])]
+        yield from table.take(pa.array(order, type=pa.int64())).combine_chunks().to_batches()
 
 
-def merged_index(captures: DataFrame, ranges: int | None = None) -> DataFrame:
+def merged_index(captures: DataFrame, range_rows: int = RANGE_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """All captures in the order of ``urlkey``, ``captured``, ``page_id``: the partitions of
     the result follow each other, and each is ordered.
 
-    Each archive is a run, sorted within a range. A range is bounded by rows, not by urls: the
-    captures of one url spread over several if they are many. Only index rows are held.
+    Each archive is a sorted run. A pass merges ``fan_in`` runs at a time to one, until one is
+    left; it deals a group of runs to tasks by sampled splitters, as many as ``range_rows``
+    rows a task ask for. What a task holds is one such range, however large the table. A range
+    is bounded by rows, not by urls: the captures of one url, and rows that are equal but for
+    their place, spread over several if they are many. Only index rows are moved.
     """
-    order = ["urlkey", "captured", "page_id"]
-    columns = ["page_id", "url", "urlkey", "captured", "record_type", "payload_bytes", "payload_digest"]
-    columns += ["refers_to", "run", "run_offset"]
-    rows = captures.select(*columns)
-    ranged = rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)
-    return ranged.sortWithinPartitions("run", *order).mapInArrow(_merge, SCHEMA)
+    columns = [part.split()[0] for part in SCHEMA.split(", ")]
+    runs = stored(number_rows(captures.select("run").distinct(), ["run"], "_no"), "runs")
+    left, n = runs.count(), captures.count()
+    rows = captures.select(*columns).join(runs, "run").withColumn("_no", F.col("_no") - 1)
+    n_ranges = max(1, -(-n // range_rows))
+    while True:
+        grouped = rows.withColumn("_group", F.floor(F.col("_no") / fan_in)).select(*columns, "_no", "_group")
+        ranged = grouped.repartitionByRange(n_ranges, "_group", *ORDER, "run", "run_offset")
+        merged = ranged.sortWithinPartitions("_group", "_no", *ORDER).mapInArrow(
+            _merge, f"{SCHEMA}, _no bigint, _group bigint"
+        )
+        if left <= fan_in:
+            return merged.select(*columns)
+        left = -(-left // fan_in)
+        rows = stored(merged.drop("_no").withColumnRenamed("_group", "_no"), "merged")
 
 
 def archive_and_index(pages: DataFrame, **columns) -> DataFrame:
