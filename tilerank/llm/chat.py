@@ -21,7 +21,6 @@ Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
 ASSISTANT = "assistant"
-WINDOW = 16
 
 _CONTROL = re.compile(r"\\|<(?=/?s>)|\[(?=/?INST\])")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
@@ -130,55 +129,25 @@ def incremental_spans(
 ) -> Iterator[Span]:
     """One Span per turn; joined, their outputs are the formatted conversation.
 
-    Conversations of up to ``2 * WINDOW`` turns are rendered prefix by prefix. Of longer ones
-    the last turns are, and the whole conversation whenever its length has doubled and at its
-    end; spans are given out once the whole agrees with them. So work grows in proportion to
-    a conversation. Where the whole disagrees, or the last turns alone cannot be rendered, all
-    prefixes are rendered from the last agreement on, with the square of the length.
+    The template is a black box, so each prefix of the conversation, whatever its length, is
+    rendered and compared with the one before: a template that ever changes what it said is an
+    error. That is work in proportion to the conversation for each of its turns.
 
-    A given ``window`` promises that the template reaches back no further. Then only
-    ``2 * window`` turns are held, the whole is never rendered, and a template that is seen to
-    break the promise is an error.
+    A given ``window`` promises that the template reaches back no further. Then only the last
+    turns, ``2 * window`` at most, are held and rendered, and a template that is seen to break
+    the promise is an error.
     """
-    recent: _Recent | None = _Recent(template, window or WINDOW)
     if window is not None:
+        recent = _Recent(template, window)
         for number, turn in enumerate(turns):
             yield recent.add(number, turn)
         return
     held: list[Turn] = []
-    pending: list[Span] = []
-    whole, n_given = "", 0
-
-    def settled() -> list[Span]:
-        """The spans not yet given out, by the last turns if the whole agrees."""
-        nonlocal recent, whole, n_given
-        if recent is not None:
-            joined = whole + "".join(span.output for span in pending)
-            if len(held) <= 2 * WINDOW or template([*held]) == joined:
-                spans, whole = [*pending], joined
-            else:
-                recent = None
-        if recent is None:
-            spans = []
-            for number in range(n_given, len(held)):
-                span, whole = _span(held[:number], held[number], whole, template, number)
-                spans.append(span)
-        pending.clear()
-        n_given = len(held)
-        return spans
-
+    before = ""
     for number, turn in enumerate(turns):
+        span, before = _span(held, turn, before, template, number)
         held.append(turn)
-        if recent is not None:
-            try:
-                pending.append(recent.add(number, turn))
-            except Exception:  # whatever a template says to a part of a conversation
-                recent = None
-        n = len(held)
-        if recent is None or n <= 2 * WINDOW or n & (n - 1) == 0:
-            yield from settled()
-    if pending:
-        yield from settled()
+        yield span
 
 
 def _spans(template: Template, window: int | None):
