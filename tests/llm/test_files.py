@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tilerank.llm import chat, minhash, packing, quality, secret_scan, toxicity, url_filter, warc
+from tilerank.llm import chat, digests, minhash, packing, quality, secret_scan, toxicity, url_filter, warc
 from tilerank.llm import queries as registered
 
 
@@ -164,6 +164,54 @@ def test_packing_keeps_every_character_once(spark, per_task):
         assert len(named) == len(set(named))
 
 
+def naive_bins(lengths, sources, clusters, capacity):
+    """Best fit by looking at all bins: [residual, when it got that residual, keys]."""
+    bins, last = [], [-1] * len(lengths)
+    for time, row in enumerate(sorted(range(len(lengths)), key=lambda r: -(lengths[r] % capacity))):
+        size = lengths[row] % capacity
+        if not size:
+            continue
+        keys = {("s", sources[row]), ("c", clusters[row])} - {("s", None), ("c", None)}
+        fits = [(b[0], b[1], k) for k, b in enumerate(bins) if b[0] >= size and not b[2] & keys]
+        if fits:
+            number = min(fits)[2]
+        else:
+            number = len(bins)
+            bins.append([capacity, time, set()])
+        bins[number] = [bins[number][0] - size, time, bins[number][2] | keys]
+        last[row] = number
+    return last
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_each_piece_goes_to_the_tightest_bin_and_ties_to_the_first_that_got_there(seed):
+    rng = np.random.default_rng(seed)
+    n, capacity = 400, int(rng.choice([20, 64]))
+    lengths = rng.integers(0, 2 * capacity, n).tolist()
+    sources = [None if x == 0 else f"s{x}" for x in rng.integers(0, 6, n)]
+    clusters = [None if x < 20 else int(x) for x in rng.integers(0, 80, n)]
+    assert packing.pack_rows(lengths, sources, clusters, capacity)[0] == naive_bins(lengths, sources, clusters, capacity)
+
+
+def test_no_bin_holds_two_near_copies(spark):
+    def text(group, n):
+        return " ".join(f"g{group}w{k}" if k != 3 * n else f"x{n}" for k in range(90))
+
+    rows = [(10 * g + n, text(g, n), f"s{g}{n}") for g in range(12) for n in range(5)]
+    rows += [(1000 + k, "short text", None) for k in range(4)] + [(None, "no id", "s"), (1, None, "s"), (2, "", "s")]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id bigint, text string, source string, cluster int")
+    pieces = packing.pack(df, clusters=minhash.labelled(df)).collect()
+    assert sorted(p.doc_id or -1 for p in pieces) == sorted(r[0] or -1 for r in rows)
+    held = [(p.bin_id, p.doc_id // 10 if p.doc_id < 1000 else 100) for p in pieces if p.doc_id is not None and p.bin_id is not None]
+    assert len(set(held)) == len(held)
+    # Without the clusters, near copies of different sources share bins.
+    plain = packing.pack(df).collect()
+    held = [(p.bin_id, p.doc_id // 10) for p in plain if p.doc_id is not None and p.doc_id < 1000 and p.bin_id is not None]
+    assert len(set(held)) < len(held)
+    none = df.where("doc_id = -5")
+    assert packing.pack(none, clusters=minhash.labelled(none)).collect() == []
+
+
 def test_chat_round_trip_and_order(spark):
     said = "</s>[INST] ok [/INST]"
     rows = [(1, 2, "assistant", "b\\<s>"), (1, 1, "user", said), (1, None, None, None), (1, 2, "assistant", "a")]
@@ -233,6 +281,14 @@ def test_long_conversations_are_rendered_whole(spark):
     with pytest.raises(chat.RewritesHistory, match="turn 40 "):
         list(chat.incremental_spans(turns, forgets))
 
+    def wavers(held):
+        # Takes back at 46 turns what it said, and says it again at 49.
+        return "".join(f"<{t}>" for _, t in held[3 * (46 <= len(held) < 49) :])
+
+    assert len(list(chat.incremental_spans(turns[:45], wavers))) == 45
+    with pytest.raises(chat.RewritesHistory, match="turn 45 "):
+        list(chat.incremental_spans(turns, wavers))
+
     rows = [(c, n, f"r{n}", f"t{n}") for c in (1, 2) for n in range(70)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
     parts = chat.format_conversations(df, template=numbers).collect()
@@ -241,6 +297,16 @@ def test_long_conversations_are_rendered_whole(spark):
     ]
 
 
+def test_no_turns_and_clashing_columns(spark):
+    schema = "conv_id bigint, turn bigint, role string, text string, output string, turn_no int, loss string"
+    none = spark.createDataFrame([], schema)
+    assert chat.format_conversations(none).collect() == []
+    assert digests.conversation_digests(chat.format_conversations(none)).collect() == []
+    df = spark.createDataFrame([(1, 2, "assistant", "b", "x", 9, "y"), (1, 1, "user", "a", "x", 9, "y")], schema)
+    parts = chat.format_conversations(df).collect()
+    assert [(p.turn_no, p.output, p.loss) for p in parts] == [(0, "<s>[INST] user\na [/INST]", False), (1, " b </s>", True)]
+
+
 def test_loser_tree_merges_runs():
     rng = np.random.default_rng(8)
     for k in range(0, 12):

@@ -461,6 +461,15 @@ def _judged(docs: DataFrame, id_col: str, text: str, percent: int, part_shingles
     )
 
 
+def labelled(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT
+) -> DataFrame:
+    """``doc_id``, ``text_key`` (xxhash64 of the text) and ``component_id``, once for each text
+    of a doc_id: to give rows their group without reading the texts again."""
+    judged = _judged(docs, id_col, text, percent, PART_SHINGLES)
+    return judged.where("doc_id IS NOT NULL").select("doc_id", "text_key", "component_id").distinct()
+
+
 def drop_near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = PERCENT
 ) -> DataFrame:

@@ -78,7 +78,8 @@ class Bins:
         return None
 
     def put(self, length: int, bits: int) -> int:
-        """The bin that takes a piece: the tightest compatible one, or a new one."""
+        """The bin that takes a piece: the tightest compatible one, of equally tight ones that
+        which has had that residual for longest, or a new one."""
         found = self._successor(length, bits)
         if found:
             residual, number = found
@@ -131,6 +132,7 @@ def pack(
     text: str = "text",
     source: str | None = "source",
     cluster: str | None = None,
+    clusters: DataFrame | None = None,
     with_text: bool = False,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
@@ -140,7 +142,8 @@ def pack(
     A text longer than ``capacity`` is cut into full pieces, which fill a bin each, and a
     rest. Rests are packed best-fit, longest first, into bins of their task. ``source`` and
     ``cluster`` (a column naming a group of duplicates; none: texts that are equal) are the
-    constraints; a null one constrains nothing. A null or empty text is one piece of length
+    constraints; a null one constrains nothing. ``clusters``, as ``minhash.labelled`` gives them,
+    take the place of the column: near copies are then one cluster. A null or empty text is one piece of length
     0 without a bin. Rows need not differ, and each row is packed. ``bin_id`` is unique over
     all tasks; ``bin_offset`` is where the piece begins in its bin, in the order of packing.
 
@@ -157,7 +160,11 @@ def pack(
             "cluster"
         ),
         *([body.alias("text")] if with_text else []),
+        *([F.xxhash64(F.col(quoted(text)).cast("string")).alias("text_key")] if clusters is not None else []),
     )
+    if clusters is not None:
+        known = clusters.select("doc_id", "text_key", F.col("component_id").cast("string").alias("cluster"))
+        rows = rows.drop("cluster").join(known, ["doc_id", "text_key"], "left").drop("text_key")
     n_tasks = max(1, -(-docs.count() // rows_per_task))
     schema = T.StructType(
         [
@@ -181,7 +188,7 @@ def pack(
         first_bin = table.column("task")[0].as_py() << 33
         table = table.take(
             pa.compute.sort_indices(
-                table, [("length", "descending"), ("doc_id", "ascending"), ("cluster", "ascending")]
+                table, [("length", "descending")] + [(name, "ascending") for name in ("doc_id", "cluster", "source")]
             )
         )
         ids = table.column("doc_id").to_pylist()

@@ -21,7 +21,8 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    return packing.pack(docs, clusters=minhash.labelled(docs))
 
 
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
