@@ -4,7 +4,9 @@ Toivonen, and each is rated by the weakest place at which it could be cut.
 A sample proposes the frequent phrases. A pass over everything counts exactly what was
 proposed and its negative border: the phrases that were not proposed although all of their
 parts were. Where one of the border is frequent after all, what lies above it has not been
-counted, and a further pass counts that, until the border holds no frequent phrase.
+counted, and a further pass counts that, until the border holds no frequent phrase. Passes
+count 62-bit hashes, as nearly all of the border is rare; a last one counts, as they are
+written, the phrases whose hashes are frequent.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ TOP = 2000
 SAMPLE_PARTS = 8
 FILTER_BITS = 1 << 26
 
-_SLICE_WORDS = 1 << 20
+_SLICE_WORDS = 1 << 19
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 # A-Z lower-cased; what ends a piece becomes a byte that no UTF-8 text has.
 _BREAK = b"\xff"
@@ -56,53 +58,91 @@ def _in(filter_words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-def _count(
-    lang: str, distinct: list[bytes], ids: np.ndarray, new: np.ndarray, old: np.ndarray | None, longest: int
-) -> Iterator[tuple[pa.Array, int, np.ndarray, np.ndarray]]:
-    """Phrases, their length, hashes and counts in a stream of words, 0 being a break.
+def _hashed(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes whose low two bits tell the number of words, less one."""
+    return mix(hashes) & ~np.uint64(3) | np.uint64(size - 1)
 
-    A phrase is counted if its first and last words but one are both in ``new``, or it is one
-    word; with ``old`` only if it was not counted with that.
-    """
-    seed = np.uint64(xxhash.xxh64_intdigest(lang.encode()))
-    of_word = np.array([xxhash.xxh64_intdigest(word) for word in distinct], dtype=np.uint64)
-    names = words = pa.array([b"", *distinct[1:]], type=pa.string())
-    hashes = mix(seed + of_word * _FACTOR)
-    if old is None:
-        counts = np.bincount(ids, minlength=len(distinct))
-        yield names[1:], 1, hashes[1:], counts[1:]
-    # For each place the phrase that starts there, and whether it is in new and in old.
-    phrase = ids
-    inside = _in(new, hashes)
-    before = _in(old, hashes) if old is not None else np.zeros(len(distinct), dtype=bool)
-    inside[0] = before[0] = False
-    for size in range(2, longest + 1):
-        has, had = inside[phrase], before[phrase]
-        start = np.flatnonzero(has[:-1] & has[1:])
-        if not len(start):
-            return
-        key = phrase[start] * len(distinct) + ids[start + size - 1]
-        _, first, number, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        at = start[first]
-        done = had[at] & had[at + 1]
-        begin, last = phrase[at], ids[at + size - 1]
-        names = pc.binary_join_element_wise(names.take(pa.array(begin)), words.take(pa.array(last)), " ")
-        hashes = mix(hashes[begin] + of_word[last] * _FACTOR)
+
+class _Stream:
+    """Words of one language as numbers, 0 being a break, and the hashes of words."""
+
+    def __init__(self, lang: str, distinct: list[bytes], ids: list[int]):
+        self.ids = np.array(ids, dtype=np.int64)
+        self.distinct = distinct
+        self.of_word = np.array([xxhash.xxh64_intdigest(word) for word in distinct], dtype=np.uint64)
+        seed = np.uint64(xxhash.xxh64_intdigest(lang.encode()))
+        self.of_one = _hashed(seed + self.of_word * _FACTOR, 1)
+
+    def longer(self, at: np.ndarray, hashes: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of the phrases of ``size`` at ``at``, from those that lack the last word."""
+        return _hashed(hashes + self.of_word[self.ids[at + size - 1]] * _FACTOR, size)
+
+    def border(self, new: np.ndarray, old: np.ndarray | None, longest: int, above: bool):
+        """Hashes and counts of the phrases whose first and last words but one are in ``new``,
+        and of all words; with ``old`` only of those that were not counted with that. With
+        ``above``, what is counted now is taken as if it were in ``new``."""
+        ids = self.ids
         if old is None:
-            yield names, size, hashes, counts
-        elif not done.all():
-            fresh = ~done
-            yield names.filter(pa.array(fresh)), size, hashes[fresh], counts[fresh]
-        if size == longest:
-            return
-        # One more phrase, of the places where none is counted.
-        moved = np.full(len(ids) - size + 1, len(counts), dtype=np.int64)
-        moved[start] = number
-        phrase = moved
-        names = pa.concat_arrays([names, pa.array([""])])
-        hashes = np.append(hashes, np.uint64(0))
-        inside = np.append(_in(new, hashes[:-1]), False)
-        before = np.append(done & _in(old, hashes[:-1]) if old is not None else done & False, False)
+            counts = np.bincount(ids, minlength=len(self.distinct))
+            yield self.of_one[1:], counts[1:]
+        is_word = np.arange(len(self.distinct)) > 0
+        inside = (_in(new, self.of_one) & is_word)[ids]
+        before = (_in(old, self.of_one) & is_word)[ids] if old is not None else np.zeros(len(ids), dtype=bool)
+        hashes = self.of_one[ids]
+        for size in range(2, longest + 1):
+            n = max(len(ids) - size + 1, 0)
+            at = np.flatnonzero(inside[:n] & inside[1 : n + 1])
+            found = self.longer(at, hashes[at], size)
+            done = before[at] & before[at + 1]
+            fresh = found if old is None else found[~done]
+            if len(fresh):
+                yield np.unique(fresh, return_counts=True)
+            in_new = _in(new, found) | ~done if above else _in(new, found)
+            hashes, inside, had = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+            hashes[at], inside[at] = found, in_new
+            if old is not None:
+                had[at] = done & _in(old, found)
+            before = had
+
+    def phrases(self, held: np.ndarray, longest: int):
+        """Phrases of the filter, their length and counts."""
+        ids, hashes = self.ids, self.of_one[self.ids]
+        names = words = pa.array([b"", *self.distinct[1:]], type=pa.string())
+        counts = np.bincount(ids, minlength=len(words))
+        chosen = _in(held, self.of_one)
+        chosen[0] = False
+        yield names.filter(pa.array(chosen)), 1, counts[chosen]
+        number = np.where(chosen[ids], ids, -1)
+        for size in range(2, longest + 1):
+            n = max(len(ids) - size + 1, 0)
+            at = np.flatnonzero((number[:n] >= 0) & (number[1 : n + 1] >= 0))
+            found = self.longer(at, hashes[at], size)
+            near = _in(held, found)
+            at, found = at[near], found[near]
+            key = number[at] * len(words) + ids[at + size - 1]
+            _, first, which, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            begin, last = number[at[first]], ids[at[first] + size - 1]
+            names = pc.binary_join_element_wise(names.take(pa.array(begin)), words.take(pa.array(last)), " ")
+            yield names, size, counts
+            hashes, number = np.zeros(n, dtype=np.uint64), np.full(n, -1)
+            hashes[at], number[at] = found, which
+
+
+def _streams(batch: pa.RecordBatch) -> Iterator[tuple[str, _Stream]]:
+    by_lang: dict[str, list[int]] = {}
+    for row, lang in enumerate(batch.column(0).to_pylist()):
+        by_lang.setdefault(lang, []).append(row)
+    for lang, rows in by_lang.items():
+        numbers, ids = _Numbers({_BREAK: 0}), []
+        for row in rows:
+            data = batch.column(1)[row].as_py()
+            ids += map(numbers.__getitem__, data.translate(_TABLE).replace(_BREAK, b" \xff ").split())
+            ids.append(0)
+            if len(ids) >= _SLICE_WORDS:
+                yield lang, _Stream(lang, list(numbers), ids)
+                numbers, ids = _Numbers({_BREAK: 0}), []
+        if ids:
+            yield lang, _Stream(lang, list(numbers), ids)
 
 
 @contextmanager
@@ -120,52 +160,46 @@ def _unpacked(held) -> list[np.ndarray | None]:
     return [None if raw is None else np.frombuffer(zlib.decompress(raw), dtype=np.uint64) for raw in held.value]
 
 
-def count_phrases(texts: DataFrame, shared, again: bool, longest: int) -> DataFrame:
-    """``lang``, ``phrase``, ``words``, ``hash`` and ``f`` of what the first of the ``shared``
-    filters lets count and the second, if any, did not; unless it is ``again``, also a row of
-    0 words with the number of all."""
-    names = ["lang", "phrase", "words", "hash", "c"]
-
-    def counted(lang: str, numbers: _Numbers, ids: list[int], new, old) -> Iterator[pa.RecordBatch]:
-        stream = np.array(ids, dtype=np.int64)
-        found = list(_count(lang, list(numbers), stream, new, old, longest))
-        if not again:
-            total = np.array([np.count_nonzero(stream)])
-            found.append((pa.array([None], type=pa.string()), 0, np.zeros(1, dtype=np.uint64), total))
-        for phrases, size, hashes, counts in found:
-            n = len(phrases)
-            if n:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang]).take(pa.array(np.zeros(n, dtype=np.int64))),
-                        phrases,
-                        pa.array(np.full(n, size, dtype=np.int32)),
-                        pa.array(hashes.view(np.int64)),
-                        pa.array(counts.astype(np.int64)),
-                    ],
-                    names=names,
-                )
+def count_border(texts: DataFrame, shared, longest: int, above: bool) -> DataFrame:
+    """``hash`` and ``f`` of what the first of the ``shared`` filters lets count and the
+    second, if any, did not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = _unpacked(shared)
+        new, old = _unpacked(shared)
         for batch in batches:
-            by_lang: dict[str, list[int]] = {}
-            for row, lang in enumerate(batch.column(0).to_pylist()):
-                by_lang.setdefault(lang, []).append(row)
-            for lang, rows in by_lang.items():
-                numbers, ids = _Numbers({_BREAK: 0}), []
-                for data in batch.column(1).take(pa.array(rows)).to_pylist():
-                    ids += map(numbers.__getitem__, data.translate(_TABLE).replace(_BREAK, b" \xff ").split())
-                    ids.append(0)
-                    if len(ids) >= _SLICE_WORDS:
-                        yield from counted(lang, numbers, ids, *filters)
-                        numbers, ids = _Numbers({_BREAK: 0}), []
-                if ids:
-                    yield from counted(lang, numbers, ids, *filters)
-
-    rows = texts.mapInArrow(run, "lang string, phrase string, words int, hash bigint, c bigint")
+            for _, stream in _streams(batch):
+                for hashes, counts in stream.border(new, old, longest, above):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], names=["hash", "c"]
+                    )
+
     # A phrase that fills many texts is added up in each task first.
-    return rows.groupBy("lang", "phrase", "words").agg(F.max("hash").alias("hash"), F.sum("c").alias("f"))
+    return texts.mapInArrow(run, "hash bigint, c bigint").groupBy("hash").agg(F.sum("c").alias("f"))
+
+
+def count_phrases(texts: DataFrame, shared, longest: int) -> DataFrame:
+    """``lang``, ``phrase``, ``words`` and ``f`` of the phrases of a filter, and a row of 0
+    words with the number of all words of each language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (held,) = _unpacked(shared)
+        for batch in batches:
+            for lang, stream in _streams(batch):
+                total = (pa.array([None], type=pa.string()), 0, np.array([np.count_nonzero(stream.ids)]))
+                for phrases, size, counts in (total, *stream.phrases(held, longest)):
+                    n = len(phrases)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([lang]).take(pa.array(np.zeros(n, dtype=np.int64))),
+                            phrases,
+                            pa.array(np.full(n, size, dtype=np.int32)),
+                            pa.array(counts.astype(np.int64)),
+                        ],
+                        names=["lang", "phrase", "words", "c"],
+                    )
+
+    rows = texts.mapInArrow(run, "lang string, phrase string, words int, c bigint")
+    return rows.groupBy("lang", "phrase", "words").agg(F.sum("c").alias("f"))
 
 
 def _added(phrases: DataFrame, held: np.ndarray) -> np.ndarray | None:
@@ -200,22 +234,45 @@ def _added(phrases: DataFrame, held: np.ndarray) -> np.ndarray | None:
     return filled
 
 
-def frequent_phrases(
-    texts: DataFrame, least: int, longest: int, held: np.ndarray, name: str = "phrases"
-) -> tuple[DataFrame, np.ndarray]:
-    """All phrases of up to ``longest`` words that occur ``least`` times, with exact counts,
-    and the filter that proposes all of them that are shorter than ``longest``."""
-    found: list[DataFrame] = []
-    old = None
-    while True:
-        with _shared(texts.sparkSession, held, old) as shared:
-            counts = count_phrases(texts, shared, bool(found), longest)
-            found.append(stored(counts.where((F.col("words") == 0) | (F.col("f") >= least)), name))
-        border = found[-1].where((F.col("words") >= 1) & (F.col("words") < longest))
-        more = _added(border, held)
+def propose(sample: DataFrame, least: int, longest: int, nothing: np.ndarray) -> np.ndarray:
+    """The filter of all phrases up to ``longest`` words that occur ``least`` times, found
+    length by length."""
+    held, old = nothing, None
+    for _ in range(longest):
+        with _shared(sample.sparkSession, held, old) as shared:
+            counts = stored(count_border(sample, shared, longest, False).where(F.col("f") >= least), "sampled")
+        more = _added(counts, held)
         if more is None:
-            return reduce(DataFrame.unionByName, found), held
+            break
         old, held = held, more
+    return held
+
+
+def frequent_phrases(texts: DataFrame, least: int, longest: int, proposed: np.ndarray) -> DataFrame:
+    """All phrases of up to ``longest`` words that occur ``least`` times, with exact counts,
+    and a row of 0 words with the number of all words of each language.
+
+    The second pass counts all that lies above the border's failures at once: it takes what it
+    counts as proposed. So its own border, phrases with a part that is rare, cannot fail.
+    """
+    spark = texts.sparkSession
+    with _shared(spark, proposed, None) as shared:
+        counted = count_border(texts, shared, longest, False)
+        found = [stored(counted.where(F.col("f") >= least), "border")]
+    shorter = F.col("hash").bitwiseAND(F.lit(3)) < longest - 1
+    more = _added(found[0].where(shorter), proposed)
+    if more is not None:
+        with _shared(spark, more, proposed) as shared:
+            counted = count_border(texts, shared, longest, True)
+            found.append(stored(counted.where(F.col("f") >= least), "border"))
+    every = reduce(DataFrame.unionByName, found)
+    # Hashes that meet by chance only make a phrase counted in vain.
+    held = _added(every, np.zeros_like(proposed))
+    if held is None:
+        held = np.zeros_like(proposed)
+    with _shared(spark, held) as shared:
+        counts = count_phrases(texts, shared, longest)
+        return stored(counts.where((F.col("words") == 0) | (F.col("f") >= least)), "phrases")
 
 
 def _rest(words: Column, start: Column | int, length: Column | int) -> Column:
@@ -259,8 +316,8 @@ def collocations(
     sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(sample_parts)) == 0)
     nothing = np.zeros(filter_bits // 64, dtype=np.uint64)
     lower = max(2, least // (2 * sample_parts))
-    proposed = frequent_phrases(sample, lower, LONGEST - 1, nothing, "sampled")[1]
-    frequent, _ = frequent_phrases(texts, least, LONGEST, proposed)
+    proposed = propose(sample, lower, LONGEST - 1, nothing)
+    frequent = frequent_phrases(texts, least, LONGEST, proposed)
 
     totals = frequent.where("words = 0").select("lang", F.col("f").alias("n"))
     counts = frequent.where("words > 0").select("lang", "phrase", "words", "f")
