@@ -2,12 +2,13 @@
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tilerank.llm import bpe, quality, secret_scan, toxicity
+from tilerank.llm import bpe, quality, samples, secret_scan, toxicity
 from tilerank.llm import queries as registered
 from tilerank.llm.automaton import match_automaton, search_automaton
 
@@ -85,6 +86,66 @@ def test_rules_are_learned_and_become_one_expression(spark):
     assert judged.where("rule IS NULL AND NOT kept AND NOT base_failed").count() == 0
 
 
+def test_learned_verdicts_equal_row_by_row(spark, sf_dir, documents):
+    labels = registered.read(spark, sf_dir, "labels")
+    rules = quality.fit_rules(documents, labels)
+    rules.rules.append([quality.Condition("upper_per_char", True, 0.05), quality.Condition("n_words", False, 300.0)])
+    rows = quality.judge(documents, rules).collect()
+
+    def measure(row, name):
+        top, bottom = quality.MEASURES[name]
+        return row[top] / (max(row[bottom], 1) if bottom else 1)
+
+    fired = 0
+    for row in rows:
+        hit = None
+        for number, rule in enumerate(rules.rules):
+            if all((measure(row, c.measure) >= c.threshold) == c.above for c in rule):
+                hit = number
+                break
+        assert row.kept == (not base_quality(row.text or "")[5] and hit is None)
+        assert (row.rule is None) == (hit is None)
+        if hit is not None:
+            fired += 1
+            assert row.rule == hit + 1
+    assert 0 < fired < len(rows)
+
+
+def test_scores_equal_noisy_or_by_hand(spark, sf_dir, documents, odd):
+    """Weights of each word's buckets, a logistic per sentence, one minus the product."""
+    model = toxicity.fit_toxicity(documents, registered.read(spark, sf_dir, "labels"))
+    assert np.count_nonzero(model.weights) > 0
+    marks = re.compile(r"""[,;:"'()\[\]{}%*$&#|<>=+~^\\/_\-\t\x0b\x0c]""")
+    for df in (documents, odd.select("doc_id", "text")):
+        for row in toxicity.score_documents(df, model).collect():
+            harmless = 1.0
+            for sentence in re.split(r"[.!?\n\r]", (row.text or "").lower()):
+                words = [w.encode() for w in marks.sub(" ", sentence).encode().decode().split(" ") if w]
+                if not words:
+                    continue
+                logit = model.bias
+                for word in words:
+                    keys = (b" " + word, word[:3], word[:4], word[:5], word[:6])
+                    logit += sum(model.weights[zlib.crc32(key) % toxicity.BUCKETS] for key in keys)
+                harmless *= 1 - 1 / (1 + np.exp(-logit))
+            assert abs(row.score - (1 - harmless)) < 1e-9
+
+
+def test_repeated_rows_and_long_texts_do_not_reach_the_driver(spark):
+    words = [f"w{n}" for n in range(60)]
+    docs = [(n, " ".join(words[n % 7 :])) for n in range(40)] + [(1, f"copy {n}") for n in range(300)] + [(2, "long " * 5000)]
+    df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id bigint, text string, label string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(40)] * 3 + [(5, 0), (None, 1), (7, None)], "doc_id bigint, toxic int")
+    sample = samples.sampled_labels(labels, "toxic", 30)
+    assert sample.count() == 30 and sample.select("doc_id").distinct().count() == 30
+    found = samples.sampled_texts(df, samples.sampled_labels(labels, "toxic", 40), "text", 64 * 400)
+    rows = found.collect()
+    assert len(rows) == len({r.doc_id for r in rows}) == 40
+    assert {r.text for r in rows if r.doc_id == 2} == {docs[2][1]}
+    few = samples.sampled_texts(df, samples.sampled_labels(labels, "toxic", 40), "text", 64 * 230).collect()
+    assert sum(len(r.text) for r in few) <= 64 * 230
+
+
 def test_without_labels_nothing_is_learned(spark, odd):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert quality.fit_rules(odd, none).rules == []

@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .arrow import filtered, map_texts, quoted
+from .samples import sampled_labels
 from .words import repeated_run_words, word_ids
 
 SAMPLE_ROWS = 20_000
@@ -224,7 +225,9 @@ def learn(
     """Sequential covering: grow a conjunction on two folds, prune it on the third, take out
     what it covers, and go on while the pruned rule is pure enough on rows not used to grow it.
 
-    ``fold`` gives each row a number; rows of fold 0 prune. Ties go to the first measure.
+    ``fold`` gives each row a number; rows of fold 0 prune. Ties go to the first measure. A
+    list has at most ``most_rules`` rules of at most ``longest`` conditions, whose thresholds are
+    ``cuts`` quantiles of a measure: bounds on what is learned, as no row goes for them.
     """
     found = DecisionList()
     values, left = measure_values(statistics), np.ones(len(bad), dtype=bool)
@@ -268,28 +271,29 @@ def fit_rules(
 ) -> DecisionList:
     """Learn a decision list from at most ``sample_rows`` labelled documents.
 
-    The sample holds the labels whose doc_id has the smallest hashes, so it is the same in
-    each run and no larger for a larger corpus; it is the only thing the driver sees. Rows
-    without a label or doc_id teach nothing; without any labelled row the list is empty.
+    The sample holds the labels whose doc_id has the smallest hashes, one row for each, so it
+    is the same in each run and no larger for a larger corpus; its statistics are the only
+    thing the driver sees. Of rows that share a doc_id the one with the smallest statistics
+    teaches. Rows without a label or doc_id teach nothing; without any labelled row the list
+    is empty. The ``options`` are those of ``learn``.
     """
-    order = F.xxhash64("doc_id")
-    sample = (
-        labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
-        .select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("_q"))
-        .orderBy(order, "doc_id", "_q")
-        .limit(sample_rows)
-    )
     # At most sample_rows narrow rows: safe to broadcast.
+    sample = sampled_labels(labels, "quality", sample_rows)
     labelled = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col(quoted(text)).alias("_text")
     ).join(F.broadcast(sample), "doc_id")
-    rows = with_statistics(labelled, "_text", ["doc_id", "_q"]).toArrow().to_pandas()
-    rows = rows.sort_values(["doc_id", "_q", *STATISTICS], ignore_index=True)
+    one = (
+        with_statistics(labelled, "_text", ["doc_id", "label"])
+        .groupBy("doc_id", "label")
+        .agg(F.min(F.struct(*STATISTICS)).alias("_first"))
+        .select("doc_id", "label", "_first.*")
+    )
+    rows = one.toArrow().to_pandas().sort_values("doc_id", ignore_index=True)
     if not len(rows):
         return DecisionList()
     statistics = {name: rows[name].to_numpy(dtype=np.float64) for name in STATISTICS}
     fold = np.arange(len(rows)) % 3
-    return learn(statistics, rows["_q"].to_numpy() == 0, fold, **options)
+    return learn(statistics, rows["label"].to_numpy() == 0, fold, **options)
 
 
 def judge(docs: DataFrame, rules: DecisionList, text: str = "text", keep=None) -> DataFrame:

@@ -16,8 +16,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .arrow import filtered, map_texts, quoted
+from .samples import sampled_labels, sampled_texts
 
 SAMPLE_ROWS = 8_000
+SAMPLE_BYTES = 64 << 20
 BUCKETS = 1 << 20
 MASK = BUCKETS - 1
 MEMO_WORDS = 200_000
@@ -192,32 +194,20 @@ def fit_toxicity(
     labels: DataFrame,
     text: str = "text",
     sample_rows: int = SAMPLE_ROWS,
+    sample_bytes: int = SAMPLE_BYTES,
     **options,
 ) -> ToxicityModel:
     """Learn from at most ``sample_rows`` labelled documents that are not held out.
 
-    The sample holds the labels whose doc_id has the smallest hashes: the same in each run,
-    bounded for any corpus. Only texts and ``toxic`` are used. Rows without doc_id or label
-    teach nothing; without both classes the model scores all documents alike.
+    The sample holds the labels whose doc_id has the smallest hashes, one text for each, and at
+    most ``sample_bytes`` of text (see ``samples``): the same in each run, bounded for any
+    corpus. Only texts and ``toxic`` are used. Rows without doc_id or label teach nothing;
+    without both classes the model scores all documents alike.
     """
-    sample = (
-        labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-        .select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("_t"))
-        .where(~held_out())
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "_t")
-        .limit(sample_rows)
-    )
-    # At most sample_rows narrow rows: safe to broadcast.
-    rows = (
-        docs.select(
-            F.col("doc_id").cast("bigint").alias("doc_id"), F.col(quoted(text)).alias("_text")
-        )
-        .join(F.broadcast(sample), "doc_id")
-        .toArrow()
-        .sort_by([("doc_id", "ascending"), ("_t", "ascending"), ("_text", "ascending")])
-    )
-    texts = [value or b"" for value in rows["_text"].cast("binary").to_pylist()]
-    return learn(texts, rows["_t"].to_numpy() == 1, **options)
+    sample = sampled_labels(labels, "toxic", sample_rows, ~held_out())
+    rows = sampled_texts(docs, sample, text, sample_bytes).toArrow().sort_by("doc_id")
+    texts = rows["text"].cast("binary").to_pylist()
+    return learn(texts, rows["label"].to_numpy() == 1, **options)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, text: str = "text", keep=None) -> DataFrame:
