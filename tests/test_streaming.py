@@ -1,8 +1,12 @@
+import os
+from urllib.parse import urlparse
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from tilerank import rank_trajectory
 from tilerank.sources import derived
+from tilerank.sources.workspace import checkpoint_folder
 from tilerank.streaming import rank_announced_cameras, read_current_rankings
 
 
@@ -52,6 +56,31 @@ def test_cameras_are_ranked_as_they_are_announced(spark, sf_dir, folder):
     assert found.exceptAll(expected).count() == 0 and found.count() == expected.count()
 
 
+def test_what_batches_write_on_the_way_is_removed(spark, sf_dir, folder):
+    shared = urlparse(checkpoint_folder(spark)).path
+    before = set(os.listdir(shared))
+    uids = [(1,), (4,), (None,), (7,), (None,), (2,)]
+    for number, uid in enumerate(uids):
+        spark.createDataFrame([uid], "camera_uid bigint").coalesce(1).write.parquet(f"{folder}/inbox/{number}")
+    stream = (
+        spark.readStream.schema("camera_uid bigint")
+        .option("maxFilesPerTrigger", 1)
+        .option("recursiveFileLookup", "true")
+        .parquet(f"{folder}/inbox")
+    )
+    scene = (derived.part_tiles(spark, sf_dir), derived.supplier_cameras(spark, sf_dir), derived.lineitem_mask(spark, sf_dir))
+    query = rank_announced_cameras(
+        stream, *scene, f"{folder}/output", f"{folder}/checkpoint", pairs_per_task=50
+    )
+    query.awaitTermination()
+    assert query.exception() is None
+    assert len(os.listdir(f"{folder}/output")) >= len(uids)
+    # Cameras above 50 pairs take the way over written tables, and none of these is left.
+    assert set(os.listdir(shared)) == before
+    found = read_current_rankings(spark, f"{folder}/output")
+    assert {r[0] for r in found.select("camera_uid").distinct().collect()} == {1, 2, 4, 7}
+
+
 def test_registered_stream_covers_all_cameras(spark, sf_dir):
     found = driver.queries()["streamed_ranking"](spark, sf_dir)
     whole = driver.queries()["trajectory_ranking"](spark, sf_dir)

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..constants import DEFAULT_LEVELS
 from ..plans.trajectory import rank_trajectory
 from ..schemas import conform, mask_schema
-from ..sources.workspace import stored
+from ..sources.workspace import stored, workspace
 
 
 def rank_announced_cameras(
@@ -25,11 +25,13 @@ def rank_announced_cameras(
 ) -> StreamingQuery:
     """Start ranking the cameras named by the stream ``announcements`` (``camera_uid``).
 
-    A camera is announced once its rows are in ``mask``. A ranking needs all pairs of
+    A camera is announced once its rows are in ``mask``; an announcement that names none is
+    left out, as no camera without a name has a center. A ranking needs all pairs of
     its camera, so what streams is the announcement and not the mask: a camera is always
     ranked whole. Each micro-batch replaces the folder ``batch_id=<n>`` below
     ``output``, so one that is run again after a failure leaves no repeats. A camera that
     is announced again is ranked again; ``read_current_rankings`` gives its latest ranking.
+    Tables written on the way to a batch's ranking are removed once that is written.
 
     ``camera_sizes`` and the other options are those of ``rank_trajectory``.
 
@@ -38,25 +40,26 @@ def rank_announced_cameras(
     """
 
     def rank_batch(batch: DataFrame, batch_id: int) -> None:
-        # Written, as the optimizer does not know the size of a micro-batch.
-        wanted = stored(batch.select("camera_uid").distinct(), "announced")
-        # The range reaches the scan: files and row groups of other cameras are skipped.
-        lowest = wanted.agg(F.min("camera_uid")).scalar()
-        highest = wanted.agg(F.max("camera_uid")).scalar()
+        with workspace(batch.sparkSession):
+            # Written, as the optimizer does not know the size of a micro-batch.
+            named = batch.select("camera_uid").where(F.col("camera_uid").isNotNull()).distinct()
+            wanted = stored(named, "announced")
+            # The range reaches the scan: files and row groups of other cameras are skipped.
+            lowest, highest = wanted.agg(F.min("camera_uid"), F.max("camera_uid")).first()
 
-        def announced(table: DataFrame) -> DataFrame:
-            in_range = F.col("camera_uid").between(lowest, highest)
-            return table.where(in_range).join(wanted, "camera_uid", "left_semi")
+            def announced(table: DataFrame) -> DataFrame:
+                in_range = F.col("camera_uid").between(F.lit(lowest), F.lit(highest))
+                return table.where(in_range).join(wanted, "camera_uid", "left_semi")
 
-        ranking = rank_trajectory(
-            tiles,
-            cameras,
-            announced(conform(mask, mask_schema())),
-            num_levels,
-            camera_sizes=None if camera_sizes is None else announced(camera_sizes),
-            **options,
-        )
-        ranking.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+            ranking = rank_trajectory(
+                tiles,
+                cameras,
+                announced(conform(mask, mask_schema())),
+                num_levels,
+                camera_sizes=None if camera_sizes is None else announced(camera_sizes),
+                **options,
+            )
+            ranking.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 
     return (
         announcements.writeStream.foreachBatch(rank_batch)
