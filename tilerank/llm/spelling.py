@@ -194,14 +194,14 @@ class Index:
 
 
 def _answers(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """The near words of a block's rows (word, n, shorter, left, indexed)."""
-    counts = {word: n for word, n, _, _, indexed in rows if indexed}
+    """The near words of a block's rows (word, n, shorter, left, indexed, asked)."""
+    counts = {word: n for word, n, _, _, indexed, _ in rows if indexed}
     if not counts or len({word for word, *_ in rows}) < 2:
         return
     words = list(counts)
     index = Index(words, "".join({letter for word, *_ in rows for letter in word}))
     for side in (True, False):
-        asked = [(word, shorter) for word, _, shorter, left, _ in rows if left == side]
+        asked = [(word, shorter) for word, _, shorter, left, _, asks in rows if asks and left == side]
         for at in range(0, len(asked), _CHUNK):
             some = asked[at : at + _CHUNK]
             query, found = index.near([word for word, _ in some], np.array([m for _, m in some]), side)
@@ -218,15 +218,15 @@ def _answers(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group and part; whole groups are put together to blocks."""
+    """Rows come sorted by group, part and slice; whole ones are put together to blocks."""
     block: list[tuple] = []
     group: list[tuple] = []
     key, chars, more = None, 0, 0
     for batch in batches:
-        names = ("bucket", "part", "word", "n", "shorter", "left", "indexed")
+        names = ("bucket", "part", "slice", "word", "n", "shorter", "left", "indexed", "asked")
         columns = [batch.column(name).to_pylist() for name in names]
-        for bucket, part, *row in zip(*columns, strict=True):
-            if (bucket, part) != key:
+        for bucket, part, piece, *row in zip(*columns, strict=True):
+            if (bucket, part, piece) != key:
                 # A group of one row has nothing to find.
                 if len(group) > 1:
                     if chars + more > BLOCK_CHARS:
@@ -234,7 +234,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         block, chars = [], 0
                     block += group
                     chars += more
-                group, key, more = [], (bucket, part), 0
+                group, key, more = [], (bucket, part, piece), 0
             group.append(tuple(row))
             more += len(row[0]) + 1
     if len(group) > 1:
@@ -248,7 +248,8 @@ def near_words(words: DataFrame, least_length: int = LEAST_LENGTH, part_words: i
 
     A word goes to four groups: by the left and right halves of its length, and of a length
     less by one, so that two near words share a group of the shorter one's length. Groups above
-    ``part_words`` are split: each part indexes its own words and is asked for all.
+    ``part_words`` are split: each part indexes its own words, and is asked for all, slice by
+    slice, so that no task holds more than a part and a slice of one group.
     """
     sides = words.withColumn("_length", F.length("word")).withColumn(
         "shorter", F.explode(F.array(F.col("_length"), F.col("_length") - 1))
@@ -273,17 +274,28 @@ def near_words(words: DataFrame, least_length: int = LEAST_LENGTH, part_words: i
         "large-groups",
     )
     own = F.pmod(F.xxhash64("word"), F.col("_parts"))
+
+    def place(part, piece, indexed: bool, asked: bool):
+        return F.struct(
+            part.alias("part"), piece.alias("slice"), F.lit(indexed).alias("indexed"), F.lit(asked).alias("asked")
+        )
+
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)
+    split = F.concat(
+        F.transform(every, lambda part: place(part, own, False, True)),
+        F.transform(every, lambda piece: place(own, piece, True, False)),
+    )
+    none = F.lit(0).cast("bigint")
     placed = (
         grouped.join(large, "bucket", "left")
-        .withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("bigint")))
-        .withColumn("_own", own)
-        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)))
-        .select("bucket", "part", "word", "n", "shorter", "left", (F.col("part") == F.col("_own")).alias("indexed"))
+        .withColumn(
+            "_at", F.explode(F.when(F.col("_parts").isNull(), F.array(place(none, none, True, True))).otherwise(split))
+        )
+        .select("bucket", "_at.part", "_at.slice", "word", "n", "shorter", "left", "_at.indexed", "_at.asked")
     )
+    cell = ["bucket", "part", "slice"]
     found = (
-        placed.repartition("bucket", "part")
-        .sortWithinPartitions("bucket", "part")
-        .mapInArrow(_search, "word string, near string, near_n bigint")
+        placed.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_search, "word string, near string, near_n bigint")
     )
     # A pair can meet by both halves, and by others of its block.
     return found.dropDuplicates(["word", "near"])
