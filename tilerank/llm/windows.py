@@ -262,7 +262,7 @@ def pack_windows(
     fields += [("ids", "array<bigint>")] if with_ids else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _word_ids(tables, end_id)
+        words = _word_ids(tables.value, end_id)
         windows = Windows(capacity)
         # What no window has yet: ids from ``base`` on, and documents by their starts.
         base, n_windows, task = 0, 0, 0
@@ -324,19 +324,11 @@ def pack_windows(
     return rows.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in fields))
 
 
-_held: dict = {}
+def _word_ids(vocabulary: str, end_id: int) -> WordIds:
+    # Spark has a process per core already.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-
-def _word_ids(tables, end_id: int) -> WordIds:
-    """One per worker process, as it lives longer than a task."""
-    key = (tables.value, end_id)
-    if key not in _held:
-        # Spark has a process per core already.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(key[0])
-        tokenizer.encode_special_tokens = True
-        _held.clear()
-        _held[key] = WordIds(tokenizer, end_id)
-    return _held[key]
+    tokenizer = Tokenizer.from_str(vocabulary)
+    tokenizer.encode_special_tokens = True
+    return WordIds(tokenizer, end_id)
