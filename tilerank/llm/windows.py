@@ -56,7 +56,7 @@ class WordIds(dict):
 
     def __init__(self, tokenizer, end_id: int):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model = tokenizer, tokenizer.model
         self.end_id = end_id
         self._empty()
 
@@ -74,11 +74,13 @@ class WordIds(dict):
         return number
 
     def _ids_of_part(self, part: str) -> list[int]:
-        part = part.removesuffix(" ")
         if part == "\n":
             return []
-        shown = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_SHOWN)
-        return [token.id for token in self.tokenizer.model.tokenize(shown)]
+        if part[-1] == " ":
+            part = part[:-1]
+        if not (part.isascii() and part.isprintable()):
+            part = part.encode().decode("latin-1").translate(_SHOWN)
+        return [token.id for token in self.model.tokenize(part)]
 
     def _learn(self) -> None:
         if not self.new:
@@ -105,21 +107,22 @@ class WordIds(dict):
         sentences or lines end, texts included."""
         if len(self) > _WORDS_HELD or len(self.flat) > _IDS_HELD:
             self._empty()
-        numbers: list[int] = []
+        numbers: list[np.ndarray] = []
         for data in texts:
             text = data.decode()
             if _PLAIN.fullmatch(text):
-                numbers += map(self.__getitem__, _PART.findall(text.lower()))
+                parts = _PART.findall(text.lower())
             else:
-                numbers += map(self.__getitem__, data.replace(b"\n", b" \xff ").split())
-            numbers.append(1)
+                parts = data.replace(b"\n", b" \xff ").split()
+            parts.append(_TEXT_END)
+            numbers.append(np.fromiter(map(self.__getitem__, parts), np.int64, len(parts)))
         # Nothing here is part of a circle, and there is much to go through in search of them.
         gc.disable()
         try:
             self._learn()
         finally:
             gc.enable()
-        word = np.array(numbers, dtype=np.int64)
+        word = np.concatenate([np.empty(0, dtype=np.int64), *numbers])
         first, size = self.starts[word], self.starts[word + 1] - self.starts[word]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
