@@ -228,3 +228,43 @@ def test_task_numbers_follow_the_data(spark):
         assert re.search(r"hashpartitioning\(camera_uid#\d+L, 64\), REPARTITION_BY_COL", text)
     finally:
         spark.conf.unset(initial)
+
+
+@pytest.fixture
+def small_partitions(monkeypatch):
+    """Partitions are to hold 500 rows."""
+    for module in ("operators.heavy", "sources.derived"):
+        monkeypatch.setattr(f"tilerank.{module}.ROWS_PER_PARTITION", 500, raising=False)
+
+
+@pytest.mark.parametrize("name", ["utility_ranking_float32"])
+def test_cameras_are_not_merged_into_large_partitions(spark, sf_dir, name, small_partitions):
+    """Also if the session has more partitions than the rows ask for."""
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.conf.set(initial, "4000")
+    try:
+        text = plan(driver.queries()[name](spark, sf_dir))
+    finally:
+        spark.conf.unset(initial)
+    items = derived.table(spark, sf_dir, "lineitem").count()
+    wanted = re.findall(r"hashpartitioning\(camera_uid#\d+L, (\d+)\), REPARTITION_BY_NUM", text)
+    assert [int(n) for n in wanted] == [-(-3 * items // 500)]
+
+
+def test_a_large_mask_is_made_in_bounded_partitions(spark, sf_dir, monkeypatch, small_partitions):
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.conf.set(initial, "4000")
+    try:
+        mask = derived.lineitem_mask(spark, sf_dir)
+        text = plan(mask)
+    finally:
+        spark.conf.unset(initial)
+    items = derived.table(spark, sf_dir, "lineitem").count()
+    assert text.count("Exchange hashpartitioning") == 1
+    assert re.search(
+        rf"hashpartitioning\(camera_uid#\d+L, tile_index#\d+L, {-(-items // 500)}\), REPARTITION_BY_NUM", text
+    )
+    monkeypatch.undo()
+    few = derived.lineitem_mask(spark, sf_dir)
+    assert "REPARTITION_BY_NUM" not in plan(few)
+    assert mask.exceptAll(few).count() == 0 and mask.count() == few.count()

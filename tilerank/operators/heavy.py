@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..constants import ROWS_PER_PARTITION, ROWS_PER_TASK
 from ..sources.workspace import stored
@@ -73,8 +73,10 @@ def partitions_for(
 ) -> int | None:
     """Shuffle partitions for so many rows; None where the session's own number is
     enough (adaptive execution may then still merge small ones, and a join by the same
-    key before needs no further shuffle). With ``most``, partitions beyond that number
-    grow instead, and spill."""
+    key before needs no further shuffle). It is not where merging could make partitions
+    of more than ``ROWS_PER_PARTITION`` rows: their compressed bytes, by which they are
+    merged, say little about the memory that they take. With ``most``, partitions beyond
+    that number grow instead, and spill."""
     target = max(min(rows_per_task, ROWS_PER_PARTITION), 1)
     wanted = -(-rows // target)
     if most is not None:
@@ -83,4 +85,14 @@ def partitions_for(
     own = conf.get(
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum", None
     ) or conf.get("spark.sql.shuffle.partitions")
-    return wanted if wanted > int(own) else None
+    large = rows > _fewest_merged(df.sparkSession) * ROWS_PER_PARTITION
+    return wanted if wanted > int(own) or large else None
+
+
+def _fewest_merged(spark: SparkSession) -> int:
+    """How few partitions adaptive execution may leave, whatever their bytes."""
+    first = spark.conf.get("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    if first.lower() != "true":
+        return 1
+    fewest = spark.conf.get("spark.sql.adaptive.coalescePartitions.minPartitionNum", None)
+    return int(fewest or spark.sparkContext.defaultParallelism)

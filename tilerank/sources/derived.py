@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..constants import ROWS_PER_PARTITION
 from ..functions import box_center, point
+from ..operators.heavy import partitions_for
 from ..schemas import cameras_schema, conform, mask_schema, tiles_schema
 
 
@@ -65,10 +67,18 @@ def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lineitem_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (supplier, part): visible if any of their line items is open."""
+    """One row per (supplier, part): visible if any of their line items is open.
+
+    Files know how many rows they have. Many line items are dealt out by pair first, in
+    partitions of bounded numbers of rows: repeats are rare, so that merging them before
+    the shuffle as well would take memory and save none of it.
+    """
+    items = _line_items(spark, sf_dir)
+    partitions = partitions_for(items, items.count(), ROWS_PER_PARTITION)
+    if partitions:
+        items = items.repartition(partitions, "camera_uid", "tile_index")
     mask = (
-        _line_items(spark, sf_dir)
-        .groupBy("camera_uid", "tile_index")
+        items.groupBy("camera_uid", "tile_index")
         .agg(F.bool_or("open").alias("visible"))
     )
     return conform(mask, mask_schema())
