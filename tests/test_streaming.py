@@ -85,3 +85,19 @@ def test_registered_stream_covers_all_cameras(spark, sf_dir):
     found = driver.queries()["streamed_ranking"](spark, sf_dir)
     whole = driver.queries()["trajectory_ranking"](spark, sf_dir)
     assert found.exceptAll(whole).count() == 0 and found.count() == whole.count()
+
+
+def test_current_rankings_are_not_shuffled(spark, sf_dir, folder):
+    """Cameras are few beside what is ranked for them, and the optimizer knows that."""
+    ranking = driver.queries()["trajectory_ranking"](spark, sf_dir)
+    for batch in range(2):
+        ranking.write.parquet(f"{folder}/ranking/batch_id={batch}")
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "16KB")
+    try:
+        found = read_current_rankings(spark, f"{folder}/ranking")
+        text = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(threshold)
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+    assert found.exceptAll(ranking).count() == 0 and found.count() == ranking.count()

@@ -73,8 +73,11 @@ def read_current_rankings(spark: SparkSession, output: str) -> DataFrame:
     """What ``rank_announced_cameras`` has written, each camera by its latest ranking.
 
     The latest batch of each camera is a small table; rows of earlier ones drop out by a
-    semi join.
+    semi join. It is written at once, so that the optimizer knows its size and shuffles
+    the rankings only if it is large; batches that come later are not read.
     """
     written = spark.read.parquet(output)
-    latest = written.groupBy("camera_uid").agg(F.max("batch_id").alias("batch_id"))
+    latest = stored(
+        written.groupBy("camera_uid").agg(F.max("batch_id").alias("batch_id")), "latest"
+    )
     return written.join(latest, ["camera_uid", "batch_id"], "left_semi").drop("batch_id")
