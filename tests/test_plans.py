@@ -237,7 +237,7 @@ def small_partitions(monkeypatch):
         monkeypatch.setattr(f"tilerank.{module}.ROWS_PER_PARTITION", 500, raising=False)
 
 
-@pytest.mark.parametrize("name", ["utility_ranking_float32", "ranking_of_repeats", "trajectory_ranking", "ranking_pairs"])
+@pytest.mark.parametrize("name", ["utility_ranking_float32", "ranking_of_repeats", "trajectory_ranking", "ranking_pairs", "utility_ranking"])
 def test_cameras_are_not_merged_into_large_partitions(spark, sf_dir, name, small_partitions):
     """Also if the session has more partitions than the rows ask for."""
     initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
