@@ -268,3 +268,15 @@ def test_a_large_mask_is_made_in_bounded_partitions(spark, sf_dir, monkeypatch,
     few = derived.lineitem_mask(spark, sf_dir)
     assert "REPARTITION_BY_NUM" not in plan(few)
     assert mask.exceptAll(few).count() == 0 and mask.count() == few.count()
+
+
+def test_a_ranking_from_files_is_not_merged_into_large_partitions(spark, sf_dir, small_partitions):
+    """The mask and the ranking, which are written while the query is made."""
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.conf.set(initial, "4000")
+    try:
+        texts = executed_plans(spark, lambda: driver.queries()["ranking_from_files"](spark, sf_dir))
+    finally:
+        spark.conf.unset(initial)
+    for keys in (r"camera_uid#\d+L, tile_index#\d+L", r"camera_uid#\d+L"):
+        assert any(re.search(rf"hashpartitioning\({keys}, \d+\), REPARTITION_BY_NUM", t) for t in texts)
