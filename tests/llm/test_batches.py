@@ -5,11 +5,14 @@ And the whole pipeline over odd tables.
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tilerank.llm import bpe, chat, digests, embeddings, minhash, packing, phrases, quality
 from tilerank.llm import secret_scan, spelling, toxicity, warc, windows
+from tilerank.llm.arrow import map_texts
 
 SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 LONG = "long text of many words, again. " * 9_000
@@ -109,3 +112,45 @@ def test_pipeline_keeps_different_texts_of_one_id(spark, folder):
     write_tables(docs, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"), folder)
     kept = sorted((p.doc_id, p.piece_text[0]) for p in corpus_pipeline.run(spark, folder).collect())
     assert kept == [(1, "a"), (1, "b"), (3, "c"), (3, "c")]
+
+
+def test_a_function_gets_a_bounded_part_of_a_batch(spark):
+    """Whatever the number of rows that Arrow batches have."""
+    rows = spark.range(2000).coalesce(1)
+    long = rows.select("id", F.expr("if(id % 100 = 7, null, repeat(char(97 + id % 26), 10000))").alias("text"))
+    seen = map_texts(
+        long, "text", [("held", "bigint")], lambda texts: [[sum(map(len, texts))] * len(texts)], ["id", "text"]
+    ).withColumn("right", F.col("text").eqNullSafe(F.expr("if(id % 100 = 7, null, repeat(char(97 + id % 26), 10000))")))
+    got = seen.agg(F.count("id"), F.max("held"), F.bool_and("right")).first()
+    assert got[0] == 2000 and got[1] <= (4 << 20) + 10_000 and got[2]
+
+
+def test_packing_holds_the_texts_of_a_task_once():
+    texts = [chr(97 + n % 26) * (1000 + n % 2000) for n in range(10_000)]
+    whole = pa.RecordBatch.from_pydict(
+        {
+            "doc_id": list(range(10_000)),
+            "length": [len(text) for text in texts],
+            "source": [None] * 10_000,
+            "cluster": [None] * 10_000,
+            "text": texts,
+            "task": [0] * 10_000,
+        },
+        schema=pa.schema(
+            [("doc_id", "int64"), ("length", "int64"), ("source", "string"), ("cluster", "string"), ("text", "string"), ("task", "int64")]
+        ),
+    )
+    names = ["bin_id", "bin_offset", "doc_id", "piece", "piece_start", "piece_length", "piece_text"]
+    own, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(pool)
+    try:
+        found = {}
+        for batch in packing.pack_task(iter([whole]), names, 8192):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("piece_text").to_pylist()):
+                found[doc] = text
+            del batch
+    finally:
+        pa.set_memory_pool(own)
+    assert [found[n] for n in range(10_000)] == texts
+    # 20 MB of text, of which no second copy is made.
+    assert pool.max_memory() < 8e6

@@ -18,6 +18,10 @@ from .arrow import quoted
 CAPACITY = 8192
 ROWS_PER_TASK = 10_000
 
+# Pieces, and code points of their text, that are given out at once.
+PAGE_ROWS = 4096
+PAGE_CHARS = 1 << 20
+
 ALL = -1  # a bitmap with every bit set: no bin at all
 
 
@@ -125,6 +129,75 @@ def pack_rows(
     return last, full, total
 
 
+def pack_task(
+    batches: Iterator[pa.RecordBatch], names: list[str], capacity: int
+) -> Iterator[pa.RecordBatch]:
+    """The pieces of a task's rows, with their text if ``names`` has it. The texts stay in the
+    batches that they came in, and what is given out at once is bounded by rows and text."""
+    with_text = "piece_text" in names
+    held_batches = [batch for batch in batches if batch.num_rows]
+    if not held_batches:
+        return
+    table = pa.Table.from_batches(held_batches)
+    texts = table.column("text") if with_text else None
+    table = table.drop_columns(["text"]) if with_text else table
+    # The task's number sets its bins apart from those of other tasks.
+    first_bin = table.column("task")[0].as_py() << 33
+    places = pa.compute.sort_indices(
+        table, [("length", "descending")] + [(name, "ascending") for name in ("doc_id", "cluster", "source")]
+    )
+    table, places = table.take(places), places.to_pylist()
+    ids = table.column("doc_id").to_pylist()
+    lengths = table.column("length").to_pylist()
+    last, full, _ = pack_rows(
+        lengths, table.column("source").to_pylist(), table.column("cluster").to_pylist(), capacity
+    )
+    used: dict[int, int] = {}
+    out: list[list] = [[] for _ in names]
+
+    def flush() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays(
+            [
+                pa.array(values, type=pa.string() if name == "piece_text" else pa.int64())
+                for name, values in zip(names, out, strict=True)
+            ],
+            names=names,
+        )
+        for values in out:
+            values.clear()
+        return batch
+
+    # In the order of packing, so that offsets follow it.
+    size_out = 0
+    for row in sorted(range(len(ids)), key=lambda r: -(lengths[r] % capacity)):
+        length, whole = lengths[row], texts[places[row]].as_py() if texts is not None else None
+        pieces = [(k, k * capacity, capacity, full[row] + k) for k in range(length // capacity)]
+        if length % capacity or not length:
+            k = length // capacity
+            pieces.append((k, k * capacity, length - k * capacity, last[row]))
+        for k, start, size, number in pieces:
+            offset = used.get(number, 0)
+            used[number] = offset + size
+            values = [
+                first_bin + number if number >= 0 else None,
+                offset if number >= 0 else None,
+                ids[row],
+                k,
+                start,
+                size,
+            ]
+            if with_text:
+                values.append(whole[start : start + size])
+            for held, value in zip(out, values, strict=True):
+                held.append(value)
+            size_out += size
+            if len(out[0]) >= PAGE_ROWS or (with_text and size_out >= PAGE_CHARS):
+                yield flush()
+                size_out = 0
+    if out[0]:
+        yield flush()
+
+
 def pack(
     docs: DataFrame,
     capacity: int = CAPACITY,
@@ -177,67 +250,10 @@ def pack(
         ]
         + ([T.StructField("piece_text", T.StringType())] if with_text else [])
     )
-    names, page = schema.names, 4096
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_batches = list(batches)
-        table = pa.Table.from_batches(held_batches) if held_batches else None
-        if table is None or not table.num_rows:
-            return
-        # The task's number sets its bins apart from those of other tasks.
-        first_bin = table.column("task")[0].as_py() << 33
-        table = table.take(
-            pa.compute.sort_indices(
-                table, [("length", "descending")] + [(name, "ascending") for name in ("doc_id", "cluster", "source")]
-            )
-        )
-        ids = table.column("doc_id").to_pylist()
-        lengths = table.column("length").to_pylist()
-        last, full, _ = pack_rows(
-            lengths, table.column("source").to_pylist(), table.column("cluster").to_pylist(), capacity
-        )
-        texts = table.column("text") if with_text else None
-        used: dict[int, int] = {}
-        out: list[list] = [[] for _ in names]
-
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays(
-                [
-                    pa.array(values, type=pa.string() if name == "piece_text" else pa.int64())
-                    for name, values in zip(names, out, strict=True)
-                ],
-                names=names,
-            )
-            for values in out:
-                values.clear()
-            return batch
-
-        # In the order of packing, so that offsets follow it.
-        for row in sorted(range(len(ids)), key=lambda r: -(lengths[r] % capacity)):
-            length, whole = lengths[row], texts[row].as_py() if texts is not None else None
-            pieces = [(k, k * capacity, capacity, full[row] + k) for k in range(length // capacity)]
-            if length % capacity or not length:
-                k = length // capacity
-                pieces.append((k, k * capacity, length - k * capacity, last[row]))
-            for k, start, size, number in pieces:
-                offset = used.get(number, 0)
-                used[number] = offset + size
-                values = [
-                    first_bin + number if number >= 0 else None,
-                    offset if number >= 0 else None,
-                    ids[row],
-                    k,
-                    start,
-                    size,
-                ]
-                if with_text:
-                    values.append(whole[start : start + size])
-                for held, value in zip(out, values, strict=True):
-                    held.append(value)
-            if len(out[0]) >= page:
-                yield flush()
-        if out[0]:
-            yield flush()
+        return pack_task(batches, names, capacity)
 
     dealt = rows.repartition(n_tasks).withColumn("task", F.spark_partition_id().cast("bigint"))
     return dealt.mapInArrow(run, schema)
